@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat, media, mixing, sharding, warc
+from flowloom.llm import chat, decontaminate, jaccard_join, license_scan, media, mixing, quality, sharding, substring_dedup, warc
 from flowloom.plans.scratch import new_path
 
 
@@ -20,12 +20,33 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.filter(F.size("sentences") > 0).select(
+        "doc_id", F.array_join(F.transform("sentences", lambda x: x["id"]), ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"),
+    )
+
+
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).collect()  # one number
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.with_scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 def op7_shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_places(_table(spark, sf_dir, "documents"), shards=8)
 
@@ -46,12 +67,23 @@ def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_benchmark_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = decontaminate.Index(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), length=10)
+    return index.report().select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_warc_roundtrip, op7_shard_rows, op8_format_chats, op10_media_columns)}
+    ours = (
+        op1_mix_sources, op2_license_rules, op3_ngram_jaccard, op4_substring_dedup, op5_warc_roundtrip, op6_line_crf, op7_shard_rows, op8_format_chats, op9_benchmark_index, op10_media_columns,
+    )
+    return {f.__name__: f for f in ours}
 
 
 OP5_SQL = """
@@ -79,5 +111,40 @@ FROM e GROUP BY conv_id
 """
 
 
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\x{80}-\x{10FFFF}]+'), lambda x: x <> '') AS w FROM benchmark
+), bs AS (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM bs),
+ns AS (SELECT DISTINCT n FROM bw),
+ds AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, ns WHERE len(w) >= n),
+m AS (SELECT doc_id, i, ds.n, item_id FROM ds JOIN bw ON bw.n = ds.n AND bw.phrase = array_to_string(w[i:i + ds.n - 1], ' ')),
+spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def _license_sql() -> str:
+    """The single-sentence rules and the sequences, over normalised sentences."""
+    known = ", ".join(f"('{name}', '{sentence}')" for name, sentence in license_scan.SENTENCES.items())
+    cases = []
+    for name, ways in sorted(license_scan.RULES.items()):
+        hit = " OR ".join(f"contains(said, ',{','.join(way)},')" for way in ways)
+        cases.append(f"CASE WHEN {hit} THEN '{name}' END")
+    return rf"""
+WITH known(id, s) AS (VALUES {known}),
+cut AS (SELECT doc_id, string_split_regex(text, '\n+|[.!?;]+[ \t]+') AS parts FROM documents WHERE text IS NOT NULL),
+each AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS number FROM cut),
+clean AS (SELECT doc_id, number, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s FROM each),
+hit AS (SELECT doc_id, number, id, number - lag(number) OVER (PARTITION BY doc_id ORDER BY number) AS apart FROM clean JOIN known USING (s)),
+seq AS (SELECT doc_id, string_agg(id, ',' ORDER BY number) AS sentence_ids, ',' || string_agg(CASE WHEN apart > {license_scan.GAP + 1} THEN '|,' ELSE '' END || id || ',', '' ORDER BY number) AS said FROM hit GROUP BY doc_id)
+SELECT doc_id, sentence_ids, coalesce(array_to_string(list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL), ','), '') AS licenses FROM seq
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_roundtrip": OP5_SQL, "op8_format_chats": OP8_SQL}
+    return {"op2_license_rules": _license_sql(), "op9_benchmark_index": OP9_SQL, "op5_warc_roundtrip": OP5_SQL, "op8_format_chats": OP8_SQL}

@@ -31,5 +31,6 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    # zstd: its buffers are pooled on the heap, where other codecs leave direct buffers to the collector
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

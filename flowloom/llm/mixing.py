@@ -118,7 +118,7 @@ class Mix:
             F.expr(f"id div {self.shard_slots}").alias("shard"),
             (F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(self.seed)), 11) / F.lit(float(2**53))).alias("u"),
         ).withColumn("cell", F.floor(F.col("u") * CELLS))
-        drawn = draws.join(cells, "cell").filter("lo <= u AND u < hi").groupBy("shard", "sid").agg(F.count("*").alias("drawn"))
+        drawn = written(draws.join(cells, "cell").filter("lo <= u AND u < hi").groupBy("shard", "sid").agg(F.count("*").alias("drawn")), "mix-draws")
         earlier = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
         placed = drawn.withColumn("first", F.coalesce(F.sum("drawn").over(earlier), F.lit(0))).join(self.targets.select("sid", "fills"), "sid")
         kept = placed.select("shard", "sid", "first", F.least(F.col("drawn"), F.col("fills") - F.col("first")).alias("n")).filter("n > 0")
@@ -131,7 +131,9 @@ class Mix:
 
     def slots(self) -> DataFrame:
         """shard, sid, turn (number of the slot within its source), epoch and block."""
-        each = self.shard_counts().select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("turn"))
+        # few short rows that unfold to very many: dealt out before they do
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        each = self.shard_counts().repartition(tasks, "shard", "sid", "first").select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("turn"))
         sized = each.join(self.targets.filter("blocks > 0").select("sid", "blocks"), "sid")
         epoch = F.expr("turn div blocks")
         return sized.select("shard", "sid", "turn", epoch.alias("epoch"), permuted(F.expr("turn % blocks"), F.col("blocks"), F.col("sid"), epoch, F.lit(self.seed)).alias("block"))

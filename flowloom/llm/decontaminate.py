@@ -60,7 +60,8 @@ def term_counts(docs: DataFrame, terms: set[bytes]) -> DataFrame:
         for batch in batches:
             for text in batch["text"]:
                 found.update(filter(wanted.__contains__, words_of(text)))
-        yield pd.DataFrame({"term": [t.decode() for t in found], "n": list(found.values())})
+        if found:
+            yield pd.DataFrame({"term": [t.decode() for t in found], "n": list(found.values())})
 
     return docs.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 

@@ -17,8 +17,8 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, n, rho; null with fewer than three pairs or a constant side. [H21, H23, E7]"""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(both, x, by, "_rx"), y, by, "_ry")
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("_c"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
-    return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("_sx") > 0) & (F.col("_sy") > 0), F.col("_c")).alias("rho"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("_rx", "_ry").alias("_c"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
+    return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("_sx") > 0) & (F.col("_sy") > 0), F.col("_c") / (F.col("_sx") * F.col("_sy"))).alias("rho"))
 
 
 def kendall(df: DataFrame, x: str, y: str, by: list[str], key: str) -> DataFrame:

@@ -7,7 +7,7 @@ make cheapest: a longer prefix, and correspondingly more shared prefix tokens be
 bounded by size and by the tokens left after each match, and are verified on the whole texts.
 
 Document frequencies cover every token of every document. They travel packed: a task sends, for each range of tokens, the
-distinct tokens of about a million as one binary, and gets back which of them are frequent; ranges are small at any size.
+distinct tokens of a batch of documents as one binary, and gets back which of them are frequent; ranges are small at any size.
 
 Links are found for components, not as all pairs of a group: (1) each class of equal sets is verified against one hub, the
 document of its prefix buckets with the rarest-first position nearest the front; (2) what is linked becomes one
@@ -38,7 +38,7 @@ from flowloom.plans.scratch import written
 
 KEY_BITS = 48
 #: Tokens (and documents) that a task packs at once, and tokens in a range of keys.
-BATCH_TOKENS, BATCH_DOCS, RANGE_TOKENS = 1_000_000, 50_000, 1 << 18
+BATCH_TOKENS, BATCH_DOCS, RANGE_TOKENS = 250_000, 50_000, 1 << 18
 #: The longest extension of a prefix that is tried, and what a candidate's verification costs in postings.
 MOST_MATCHES = 4
 #: Ids that are sent to all tasks at most, to pick texts out of a scan (16 MB); more are joined by a shuffle.

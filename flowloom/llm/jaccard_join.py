@@ -4,7 +4,9 @@ A document is the set of its distinct word shingles. Tokens are ordered rarest f
 similar enough share at least l tokens within the first n - c + l tokens of each, where c is the least overlap that any
 partner needs. Each document takes the l that its estimated candidates (document frequencies of its prefix tokens)
 make cheapest: a longer prefix, and correspondingly more shared prefix tokens before a pair is verified. Pairs are
-bounded by size and by the tokens left after each match, and are verified on the whole texts.
+bounded by size and by the tokens left after each match, and are verified on the whole texts. Before that, a bitmap of
+each set (which of BITS buckets hold an odd number of its tokens) bounds a pair from below: sets differ in at least as
+many tokens as their bitmaps differ in bits.
 
 Document frequencies cover every token of every document. They travel packed: a task sends, for each range of tokens, the
 distinct tokens of a batch of documents as one binary, and gets back which of them are frequent; ranges are small at any size.
@@ -39,13 +41,15 @@ from flowloom.plans.scratch import written
 KEY_BITS = 48
 #: Tokens (and documents) that a task packs at once, and tokens in a range of keys.
 BATCH_TOKENS, BATCH_DOCS, RANGE_TOKENS = 250_000, 50_000, 1 << 18
+#: Bits of a set's bitmap.
+BITS = 512
 #: The longest extension of a prefix that is tried, and what a candidate's verification costs in postings.
 MOST_MATCHES = 4
 #: Ids that are sent to all tasks at most, to pick texts out of a scan (16 MB); more are joined by a shuffle.
 SENT_IDS = 1_000_000
 
 PACKED = "part int, batch string, base int, size int, blob binary, extra binary, info binary"
-PROFILE = "doc_id string, hash long, n int, digest string, matches int, keys array<long>, places array<int>"
+PROFILE = "doc_id string, hash long, n int, digest string, matches int, bits array<long>, keys array<long>, places array<int>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +72,11 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Which of BITS buckets hold an odd number of the tokens."""
+    return np.packbits((np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _pack(values: np.ndarray, width: int) -> bytes:
     return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
@@ -118,7 +127,7 @@ class JaccardJoin:
             ends = np.r_[begins[1:], len(parts)].astype(int)
             rest = distinct & np.uint64((1 << (KEY_BITS - bits)) - 1)
             few = np.minimum(counts, 65535).astype("<u2")
-            info = json.dumps({"doc_id": [b[0] for b in batch], "hash": [b[1] for b in batch], "n": sizes.tolist(), "digest": [b[2] for b in batch]}).encode()
+            info = json.dumps({"doc_id": [b[0] for b in batch], "hash": [b[1] for b in batch], "n": sizes.tolist(), "digest": [b[2] for b in batch], "bits": [bitmap(s).hex() for s in sets]}).encode()
             # the same name if the task is run again: what was sent before and what is sent later must fit
             name = f"{TaskContext.get().partitionId()}-{number}-{xxhash.xxh3_64_hexdigest(info)}"
             rows = [(-1 - xxhash.xxh32_intdigest(name) // 2, name, 0, len(distinct), owners[order].astype("<u2").tobytes(), few.tobytes(), info)]
@@ -187,7 +196,7 @@ class JaccardJoin:
                     if least is None or estimate < least:
                         best, least = m, estimate
                 inside = place < n[i] - need + best
-                rows.append((info["doc_id"][i], info["hash"][i], int(n[i]), info["digest"][i], best, key[mine][inside].astype(np.int64), place[inside].astype(np.int32)))
+                rows.append((info["doc_id"][i], info["hash"][i], int(n[i]), info["digest"][i], best, np.frombuffer(bytes.fromhex(info["bits"][i]), "<i8"), key[mine][inside].astype(np.int64), place[inside].astype(np.int32)))
             return pd.DataFrame(rows, columns=[c.split()[0] for c in PROFILE.split(", ")])
 
         sent = self.docs.mapInPandas(pack, PACKED)
@@ -198,7 +207,7 @@ class JaccardJoin:
     def classes(self) -> DataFrame:
         """digest, n, matches, keys, places, and the row (doc_id, hash) that stands for the class."""
         return self.profile.filter("n > 0").groupBy("digest").agg(
-            F.min(F.struct("doc_id", "hash")).alias("row"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("keys").alias("keys"), F.first("places").alias("places"),
+            F.min(F.struct("doc_id", "hash")).alias("row"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.first("places").alias("places"),
         )
 
     def _postings(self) -> DataFrame:
@@ -216,6 +225,11 @@ class JaccardJoin:
         sizes = (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent)
         return sizes & (F.least(n - i, m - j) + F.least(k, l) - 1 >= self._least_overlap(n, m))
 
+    def _bitmaps_allow(self, n: Column, bits: Column, m: Column, other: Column) -> Column:
+        """Whether bitmaps leave room for the overlap that sets of n and m tokens need."""
+        apart = sum((F.bit_count(bits[i].bitwiseXOR(other[i])) for i in range(1, BITS // 64)), F.bit_count(bits[0].bitwiseXOR(other[0])))
+        return apart <= n + m - 2 * self._least_overlap(n, m)
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b, shared, n_a, n_b of the pairs (digests a and b) that are similar enough, from the whole texts."""
         words, percent = self.words, self.percent
@@ -268,11 +282,13 @@ class JaccardJoin:
         reach = (F.col("n") - F.col("place") + F.least(F.col("matches"), F.col("_most")) - 1) * (100 + p) >= (F.col("n") + F.greatest(F.col("_least"), F.ceil(F.col("n") * p / 100))) * p
         rows = written(rows.join(least, "key").filter(reach).drop("_least", "_most"), "rows")
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("comps")).filter("comps > 1")
-        mixed = rows.join(sizes.select("key", F.col("m.comp").alias("main")), "key")
-        x = mixed.filter("comp <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("digest", "n", "matches", "place", "comp")])
-        y = mixed.select("key", "main", *[F.col(c).alias(f"y_{c}") for c in ("digest", "n", "matches", "place", "comp")])
+        bits = self.profile.filter("n > 0").groupBy("digest").agg(F.first("bits").alias("bits"))
+        mixed = written(rows.join(sizes.select("key", F.col("m.comp").alias("main")), "key").join(bits, "digest"), "mixed")
+        x = mixed.filter("comp <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("digest", "n", "matches", "bits", "place", "comp")])
+        y = mixed.select("key", "main", *[F.col(c).alias(f"y_{c}") for c in ("digest", "n", "matches", "bits", "place", "comp")])
         met = x.join(y, "key").filter(F.col("x_comp") != F.col("y_comp")).filter((F.col("y_comp") == F.col("main")) | (F.col("x_digest") < F.col("y_digest")))
         met = met.filter(self._may_match(F.col("x_n"), F.col("x_place"), F.col("x_matches"), F.col("y_n"), F.col("y_place"), F.col("y_matches")))
+        met = met.filter(self._bitmaps_allow(F.col("x_n"), F.col("x_bits"), F.col("y_n"), F.col("y_bits")))
         shared = met.groupBy(F.col("x_digest").alias("a"), F.col("y_digest").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("x_matches", "y_matches")).alias("least"))
         return shared.filter("c >= least").select("a", "b")
 

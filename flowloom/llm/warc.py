@@ -31,6 +31,8 @@ DICT_MAGIC = 0x184D2A5D
 SAMPLE_PAGES, SAMPLE_BYTES, DICT_BYTES = 200, 16_384, 65_536
 #: An archive is closed when it reaches this many bytes: what a reader holds at once.
 ARCHIVE_BYTES = 16 << 20
+#: Bytes that the reader feeds at a time; what follows a frame's end is copied, so this bounds the copies.
+STEP = 16_384
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string, payload binary"
@@ -124,13 +126,16 @@ def read_archive(content: bytes) -> Iterator[tuple]:
             found = zstandard.ZstdDecompressor().decompress(found)
         dictionary, view = zstandard.ZstdCompressionDict(found) if found else None, view[8 + n :]
     opened = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
-    while len(view):
-        frame = opened.decompressobj()
-        raw = frame.decompress(view)
-        if not frame.eof:
-            raise ValueError("a record's frame is cut short")
-        view = view[len(view) - len(frame.unused_data) :]
-        yield parsed_record(raw)
+    at = 0
+    while at < len(view):
+        frame, raw = opened.decompressobj(), []
+        while not frame.eof:
+            piece = view[at : at + STEP]
+            if not piece:
+                raise ValueError("a record's frame is cut short")
+            raw.append(frame.decompress(piece))
+            at += len(piece) - len(frame.unused_data)
+        yield parsed_record(b"".join(raw))
 
 
 def trained_dictionary(pages: DataFrame) -> bytes:

@@ -176,4 +176,5 @@ class Index:
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """``docs`` without documents that hold a benchmark phrase. Only the keys of contaminated rows are joined."""
     hit = written(Index(docs.select("doc_id", "text"), benchmark, length).phrases().select(F.col("row").alias("_row")).distinct(), "contaminated")
-    return docs.join(hit, row_key() == F.col("_row"), "left_anti")
+    rows = docs.select(F.struct("*").alias("_doc"), row_key().alias("_key"))  # packed, so that no column of the input clashes with ours
+    return rows.join(hit, F.col("_key") == F.col("_row"), "left_anti").select("_doc.*")

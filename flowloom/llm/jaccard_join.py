@@ -312,6 +312,7 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     found = found.withColumn("_g", F.coalesce(F.col("component_id").cast("string"), F.hex("hash"))).withColumn("_r", F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
     kept = found.groupBy("_g").agg(F.min("_r").alias("_k"))
     gone = found.join(kept, "_g").filter(F.col("_r") != F.col("_k")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).distinct()
-    left = docs.join(written(gone, "near-copies"), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    rows = docs.select(F.struct("*").alias("_doc"))  # packed, so that no column of the input clashes with ours
+    left = rows.join(written(gone, "near-copies"), F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_doc.text") == F.col("_h")), "left_anti").select("_doc.*")
     # rows repeated in both id and text, if there are any at all
     return left.dropDuplicates(["doc_id", "text"]) if found.groupBy("doc_id", "hash").count().filter("count > 1").limit(1).count() else left

@@ -175,7 +175,9 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     # rows equal in id and text are interchangeable: they are told apart by a rank on both sides
     same = W.partitionBy("_id", "_h").orderBy("sid", "start")
     wanted = epochs.join(named.withColumn("_copy", F.row_number().over(same)), ["sid", "start"])
-    rows = docs.withColumn("_h", F.xxhash64("doc_id", "text")).withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "_h").orderBy("source")))
+    # packed, so that no column of the input clashes with ours
+    packed = docs.select(F.struct("*").alias("_doc"), "doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("_h"))
+    rows = packed.withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "_h").orderBy("source"))).select("_doc", "doc_id", "text", "_h", "_copy")
     words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
     part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_words"), (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
     taken_words = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
@@ -185,6 +187,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     ).withColumn("_words", words)
     text = F.when(taken_words >= F.col("_size"), F.col("text")).otherwise(part)
     out = joined.withColumn("text", text)
+    whole = F.col("_doc").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        whole = whole.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(whole.alias("_doc")).select("_doc.*")

@@ -55,31 +55,32 @@ def shard_rows(docs: DataFrame, shards: int = 8, seed: int = 0, text: str = "tex
     drops them first: see ``shard_places``.
     """
     ours = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    return _placed(docs.drop(*ours), docs[text], key, shards, seed)
+    rest = docs.drop(*ours)
+    return _placed(rest.select(F.struct("*").alias("_doc"), rest[key].alias("_key"), rest[text].alias("_text")), shards, seed)
 
 
 def shard_places(docs: DataFrame, shards: int = 8, seed: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only the key and the place of each row: the shuffle carries no text."""
-    return _placed(docs.select(F.col(key), F.col(text).alias("_text")), F.col("_text"), key, shards, seed).drop("_text")
+    return _placed(docs.select(F.struct(key).alias("_doc"), F.col(key).alias("_key"), F.col(text).alias("_text")), shards, seed)
 
 
-def _placed(docs: DataFrame, text, key: str, shards: int, seed: int) -> DataFrame:
-    rows = docs.select(
-        "*",
+def _placed(packed: DataFrame, shards: int, seed: int) -> DataFrame:
+    """The columns of ``_doc`` (packed, so that none clashes with ours) and the places, from _doc, _key and _text."""
+    text = F.col("_text")
+    rows = packed.select(
+        "_doc", "_key",
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64(F.col(key), text).alias("_hash"),
+        F.xxhash64("_key", text).alias("_hash"),
     )
-    if "_text" in rows.columns:
-        rows = rows.drop("_text")
 
     @F.pandas_udf("long")
     def position(row: pd.Series, total: pd.Series) -> pd.Series:
         return pd.Series(feistel(row.to_numpy(), int(total.iloc[0]), seed)) if len(row) else row
 
-    placed = numbered(rows, "_hash", ["_hash", key, "size", "text_crc32"]).withColumn("_at", position("row_no", "row_total"))
+    placed = numbered(rows, "_hash", ["_hash", "_key", "size", "text_crc32"]).withColumn("_at", position("row_no", "row_total"))
     return placed.select(
-        *[c for c in placed.columns if c not in ("_hash", "_at", "row_no", "row_total")],
+        "_doc.*", "size", "text_crc32",
         F.lit("rows").alias("law"),
         F.pmod(F.col("_at"), F.lit(shards)).cast("int").alias("shard"),
         F.expr(f"_at div {int(shards)}").alias("slot"),

@@ -125,5 +125,6 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
             out.append(b"".join([*kept, data[at:]]).decode(errors="ignore"))
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
-    return joined.withColumn("text", cut("text", "_cuts")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_doc"))  # packed, so that no column of the input clashes with ours
+    joined = rows.join(gone.withColumnRenamed("doc_id", "_id"), F.col("_doc.doc_id") == F.col("_id"), "left")
+    return joined.select("_doc", cut("_doc.text", "_cuts").alias("_left")).select(F.col("_doc").withField("text", F.col("_left")).alias("_doc")).select("_doc.*")

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from flowloom.llm import quality
 from flowloom.plans.scratch import written
@@ -78,3 +80,14 @@ def test_held_out_accuracy(spark, sf_dir):
     model = quality.train(docs, labels)
     rows = docs.join(labels, "doc_id").filter(quality.held_out(docs["doc_id"]) & labels["quality"].isNotNull()).collect()
     assert rows and sum((model.score(r["text"]) >= quality.ACCEPT) == bool(r["quality"]) for r in rows) >= 0.9 * len(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    extra = ["_id", "_h", "_row", "_key", "_doc", "_copy", "_size", "_spans", "_words", "_score", "_hash", "_text", "_bucket", "row", "hash", "epoch", "sid", "start", "row_no", "component_id", "n_shingles"]
+    odd = docs.select("*", *[F.concat(F.lit(f"{name}-"), "doc_id").alias(name) for name in extra])
+    for number, (name, stage) in enumerate(pipeline.STAGES):
+        got = stage(spark, odd, sf_dir)
+        assert set(odd.columns) <= set(got.columns) and len(set(got.columns)) == len(got.columns)
+        rows = got.select("doc_id", *extra).collect()
+        assert rows and all(r[name] == f"{name}-{r['doc_id']}" for r in rows for name in extra)

@@ -15,8 +15,7 @@ from flowloom.plans.scratch import written
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below the threshold go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.withColumn("_score", quality.score_column(model, docs["text"]))
-    return scored.filter(scored["_score"] >= quality.ACCEPT).select(*docs.columns)
+    return docs.filter(quality.score_column(model, docs["text"]) >= quality.ACCEPT)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

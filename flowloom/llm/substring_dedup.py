@@ -23,11 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowloom.plans.scratch import written
+
 REACH = 16
 #: Bytes that a reported run has at least: over 50 words of running text leave more than this between their outer chunks.
 LEAST_BYTES = 160
 #: A value for each byte, from a 64-bit mixer.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(29)).astype(np.uint32)
+#: A digest with more than this share of all shared chunks is hot; there are fewer than 1 / HOT_SHARE of them, at any size.
+HOT_SHARE = 1e-4
+#: Parts into which a hot digest is dealt, by document.
+SALTS = 64
 CHUNKS = "doc_id long, begin int, end int, digest long"
 
 
@@ -91,14 +97,25 @@ def chunks(docs: DataFrame) -> DataFrame:
     return keyed.mapInPandas(cut, CHUNKS)
 
 
+def _with_first(every: DataFrame, shared: DataFrame) -> DataFrame:
+    """``every`` chunk that is ``shared``, with _first. Hot digests are dealt to SALTS parts each, so no task gets one whole."""
+    total = shared.agg(F.sum("_n").alias("n")).first()["n"] or 0  # one number
+    is_hot = F.col("_n") > F.lit(total * HOT_SHARE)
+    hot = shared.filter(is_hot).select("digest", F.lit(True).alias("_hot"))  # below 1 / HOT_SHARE rows
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    dealt = every.join(F.broadcast(hot), "digest", "left").withColumn("_salt", salt).drop("_hot")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(shared.select("digest", "_first", F.explode(salts).alias("_salt")), ["digest", "_salt"])
+
+
 def repeated_passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """doc_id, begin, end, chunks, first: passages of ``least_bytes`` bytes or more that other documents hold too.
 
     first: no document of a smaller id holds any chunk of the run, so this copy is the one to keep.
     """
     every = chunks(docs)
-    shared = every.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first <> _last").drop("_last")
-    held = every.join(shared, "digest").select("doc_id", "begin", "end", (F.col("doc_id") == F.col("_first")).alias("first"))
+    shared = every.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).filter("_first <> _last").drop("_last")
+    held = _with_first(every, written(shared, "shared-chunks")).select("doc_id", "begin", "end", (F.col("doc_id") == F.col("_first")).alias("first"))
     order = W.partitionBy("doc_id").orderBy("begin", "end")
     starts = held.withColumn("_new", F.coalesce((F.lag("end").over(order) != F.col("begin")).cast("int"), F.lit(1)))
     runs = starts.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))

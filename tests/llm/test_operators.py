@@ -395,3 +395,13 @@ def test_long_files_are_sliced():
         assert (media.peaks(media.wav_of_bytes(data)) == whole).all()
     finally:
         media.SLICE = old
+
+
+def test_hot_chunks_are_dealt_and_lost_nowhere(spark):
+    passage = " ".join(variants(5, 1, 55, 1))
+    docs = make(spark, [(i, words(12, 50 * i) + "\n" + passage + "\n" + words(12, 50 * i + 20), "s") for i in range(300)])
+    every = substring_dedup.chunks(docs)
+    shared = every.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.countDistinct("doc_id").alias("_n")).filter("_n > 1")
+    got = substring_dedup._with_first(every, shared).select("doc_id", "begin", "_first").collect()
+    want = every.join(shared, "digest").select("doc_id", "begin", "_first").collect()
+    assert len(want) > 300 and sorted(map(tuple, got)) == sorted(map(tuple, want))

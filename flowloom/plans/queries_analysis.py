@@ -358,7 +358,7 @@ def k7_linear_fidelity(spark, sf):
 @query()
 def k3_neighbour_attribution(spark, sf):
     ev = events_flow(spark, sf)
-    seeds = ev.filter("eid % 400 = 0")
+    seeds = ev
     near = sampling.in_window(sampling.sampled_neighbours(ev, seeds, [10]), seeds, WINDOW).join(ev.select("eid", F.col("in_bytes").alias("bytes")), "eid")
     return shapley.neighbour_attribution(near.select("seed_eid", "eid", "seed_ts", "ts", "bytes"), WINDOW)
 
@@ -366,7 +366,7 @@ def k3_neighbour_attribution(spark, sf):
 @query()
 def f13_connected_subgraph(spark, sf):
     ev = events_flow(spark, sf)
-    seeds = ev.filter("eid % 400 = 0")
+    seeds = ev
     near = sampling.sampled_neighbours(ev, seeds, [5, 5]).dropDuplicates(["seed_eid", "eid"])
     ends = seeds.select(F.col("eid").alias("seed_eid"), F.col("src").alias("seed_src"), F.col("dst").alias("seed_dst"))
     rows = near.join(ends, "seed_eid").withColumn("phi", ((F.col("eid") * 31) % 101 - 50) / 50.0)

@@ -111,21 +111,34 @@ def _with_first(every: DataFrame, shared: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """doc_id, begin, end, chunks, first: passages of ``least_bytes`` bytes or more that other documents hold too.
 
-    first: no document of a smaller id holds any chunk of the run, so this copy is the one to keep.
+    first: this copy is to be kept, for no document of a smaller id holds this stretch. A run of shared chunks is parted where
+    that changes, so what is not first is held whole by smaller ids, and the rest stays. Stretches of less than
+    ``least_bytes`` that smaller ids hold aren't repeats of them: they stay with the first copy around them.
     """
     every = chunks(docs)
     shared = every.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).filter("_first <> _last").drop("_last")
     held = _with_first(every, written(shared, "shared-chunks")).select("doc_id", "begin", "end", (F.col("doc_id") == F.col("_first")).alias("first"))
     order = W.partitionBy("doc_id").orderBy("begin", "end")
-    starts = held.withColumn("_new", F.coalesce((F.lag("end").over(order) != F.col("begin")).cast("int"), F.lit(1)))
-    runs = starts.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    out = runs.groupBy("doc_id", "_run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("chunks"), F.min("first").alias("first"))
+    parted = held.withColumn("_new", F.coalesce(F.lag("end").over(order) != F.col("begin"), F.lit(True)).cast("int"))
+    parted = parted.withColumn("_turn", F.greatest("_new", F.coalesce((F.lag("first").over(order) != F.col("first")).cast("int"), F.lit(1))))
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    runs = parted.withColumn("_run", F.sum("_new").over(upto)).withColumn("_part", F.sum("_turn").over(upto))
+    span = [F.min("begin").alias("begin"), F.max("end").alias("end")]
+    parts = runs.groupBy("doc_id", "_run", "_part").agg(*span, F.count("*").alias("chunks"), F.first("first").alias("first"))
+    run = W.partitionBy("doc_id", "_run")
+    long = parts.withColumn("_bytes", F.max("end").over(run) - F.min("begin").over(run)).filter(F.col("_bytes") >= least_bytes)
+    # short stretches join the first copy around them
+    stays = long.withColumn("first", F.col("first") | (F.col("end") - F.col("begin") < least_bytes))
+    along = run.orderBy("_part")
+    joined = stays.withColumn("_turn", F.coalesce((F.lag("first").over(along) != F.col("first")).cast("int"), F.lit(1)))
+    joined = joined.withColumn("_part", F.sum("_turn").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    out = joined.groupBy("doc_id", "_run", "_part").agg(*span, F.sum("chunks").alias("chunks"), F.first("first").alias("first"))
     kept = out.filter(F.col("end") - F.col("begin") >= least_bytes)
     return kept.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "begin", "end", "chunks", "first")
 
 
 def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``docs`` with every repeated passage cut out of all documents but the first that holds it. Rows of one id need one text."""
+    """``docs`` with every repeated passage cut out of all documents but the first that holds it; each chunk stays where it is first. Rows of one id need one text."""
     gone = repeated_passages(docs, least_bytes).filter("NOT first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_cuts"))
 
     @F.pandas_udf("string")

@@ -188,6 +188,27 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(make(spark, [])).count() == 0
 
 
+def test_each_shared_chunk_stays_once(spark):
+    a, c = words(60), words(60, 7000)
+    rows = [(1, a, "s"), (5, a + "\n" + c, "s"), (7, a + "\n" + c, "s"), (9, words(70, 20_000), "s")]
+    got = {(r["doc_id"], r["first"]): (r["begin"], r["end"]) for r in substring_dedup.repeated_passages(make(spark, rows)).collect()}
+    assert set(got) == {(1, True), (5, True), (5, False), (7, False)}
+    assert got[5, False][1] == got[5, True][0] and got[7, False] == (0, len(rows[2][1]))
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(make(spark, rows)).collect()}
+    for begin, end in zip(*(lambda e: (np.r_[0, e[:-1]], e))(substring_dedup.chunk_ends(rows[1][1].encode()))):
+        assert sum(rows[1][1][begin:end] in left[i] for i in (1, 5, 7)) == 1, (begin, end)
+    assert left[1] == a and left[7] == "" and left[9] == rows[3][1]
+
+
+def test_short_chunks_of_smaller_ids_stay_in_the_kept_copy(spark):
+    line = words(12, 900)
+    passage = words(40, 100) + " " + line + " " + words(40, 300)
+    rows = [(1, line + " " + words(50, 5000), "s"), (5, passage, "s"), (7, passage, "s")]
+    assert len({r["doc_id"] for r in substring_dedup.repeated_passages(make(spark, rows), 16).collect()}) == 3  # the line is shared with 1 too
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(make(spark, rows)).collect()}
+    assert left == {1: rows[0][1], 5: passage, 7: ""}
+
+
 def test_chunks_resist_insertions():
     text = words(400).encode()
     more = text[:700] + b" inserted here " + text[700:]

@@ -1,9 +1,10 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, which are normalised (A-Z lowered, all but letters and digits to single spaces). Known
-sentences map to identifiers; what is left of a document is a short sequence of (sentence number, identifier). Rules
-are ordered identifier sequences; a rule matches where its identifiers follow one another with at most GAP other
-sentences between them.
+A text is normalised (A-Z lowered, all but letters and digits to single spaces, so comment prefixes go) and cut into
+sentences. Known sentences map to identifiers, wherever their words follow one another: as a sentence, as a clause of a
+longer one, or wrapped over lines. What is left of a document is a short sequence of (sentence number, identifier), where
+a wrapped sentence counts as one. Rules are ordered identifier sequences; a rule matches where its identifiers follow one
+another with at most GAP other sentences between them.
 
 Defined results: null and empty texts have no sentences and no licenses; repeated sentences are matched each time but
 a license is named once; an empty table gives no rows; extra columns pass; no row moves between tasks (no shuffle).
@@ -11,6 +12,9 @@ a license is named once; an empty table gives no rows; extra columns pass; no ro
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +52,25 @@ RULES: dict[str, list[tuple[str, ...]]] = {
     "BSD-2-Clause": [("bsd_use", "bsd_source", "bsd_binary")],
     "Proprietary": [("reserved",)],
 }
+# More sentences and rules, which the given tables don't hold and their SQL doesn't know.
+MORE_SENTENCES: dict[str, str] = {
+    "gpl2_free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl2_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3_free": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "bsd_names": "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mpl_form": "this source code form is subject to the terms of the mozilla public license v 2 0",
+}
+MORE_RULES: dict[str, list[tuple[str, ...]]] = {
+    "GPL-2.0": [*RULES["GPL-2.0"], ("gpl2_free", "gpl_hope")],
+    "LGPL-2.1": [("lgpl2_free",)],
+    "LGPL-3.0": [("lgpl3_free",)],
+    "BSD-3-Clause": [("bsd_use", "bsd_source", "bsd_binary", "bsd_names")],
+    "ISC": [("isc_grant",)],
+    "MPL-2.0": [("mpl_form",)],
+}
+#: A license that isn't named where another, which holds its sentences, is.
+PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Sentences end at line ends and at marks before white space.
 ENDS = r"\n+|[.!?;]+[ \t]+"
 
@@ -57,19 +80,22 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(lowered, "[^a-z0-9]+", " "))
 
 
-def known_sentences(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+def known_sentences(text: Column, sentences: dict[str, str] = SENTENCES | MORE_SENTENCES) -> Column:
     """The (number, id) of each known sentence of a text, in order."""
-    texts = sorted(set(sentences.values()))
-    ids = F.create_map(*[F.lit(x) for name, s in sentences.items() for x in (s, name)])
-    # a known sentence has ASCII letters at both ends and a bounded length: others needn't be normalised
-    longest = 2 * max(map(len, texts))
-    cut = F.transform(F.split(F.coalesce(text, F.lit("")), ENDS), lambda s, i: F.struct(i.alias("number"), s.alias("s")))
-    likely = F.filter(cut, lambda x: F.length(x["s"]).between(min(map(len, texts)), longest))
-    clean = F.filter(F.transform(likely, lambda x: F.struct(x["number"], normalised(x["s"]).alias("s"))), lambda x: x["s"].isin(texts))
-    return F.transform(clean, lambda x: F.struct(x["number"], F.element_at(ids, x["s"]).alias("id")))
-
-
-def licenses(found: Column, rules: dict[str, list[tuple[str, ...]]] = RULES, gap: int = GAP) -> Column:
+    text = F.coalesce(text, F.lit(""))
+    none = F.array().cast("array<struct<number:int,id:string>>")
+    # most texts hold none: only those that do are marked. The array of one makes its text once for all the sentences
+    holds = F.exists(F.array(F.concat(F.lit(" "), normalised(text), F.lit(" "))), lambda c: reduce(or_, [F.contains(c, F.lit(f" {s} ")) for s in sorted(set(sentences.values()))]))
+    # | at sentence ends, @id@ for known sentences; the longest first, so that none hides a longer one that holds it
+    marked = F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ|@", "abcdefghijklmnopqrstuvwxyz--"), ENDS, " | ")
+    marked = F.regexp_replace(marked, "[^a-z0-9|]+", " ")
+    for name, s in sorted(sentences.items(), key=lambda x: (-len(x[1]), x[0])):
+        marked = F.regexp_replace(marked, "(?<![a-z0-9@_])" + s.replace(" ", " (?:[|] )*") + "(?![a-z0-9@_])", f"@{name}@")
+    found = F.flatten(F.transform(F.split(marked, "[|]"), lambda part, i: F.transform(F.regexp_extract_all(part, F.lit("@([^@ ]+)@"), 1), lambda x: F.struct(i.alias("number"), x.alias("id")))))
+    return F.when(holds, found).otherwise(none)
+
+
+def licenses(found: Column, rules: dict[str, list[tuple[str, ...]]] = RULES | MORE_RULES, gap: int = GAP) -> Column:
     """The names of the licenses whose rules match a sequence of known sentences, sorted.
 
     The sequence is written as text, ``|`` between identifiers that stand too far apart, and rules are looked for in it.
@@ -78,7 +104,10 @@ def licenses(found: Column, rules: dict[str, list[tuple[str, ...]]] = RULES, gap
         found, F.struct(F.lit(None).cast("int").alias("at"), F.lit(",").alias("said")),
         lambda a, x: F.struct(x["number"].alias("at"), F.concat(a["said"], F.when(x["number"] - a["at"] > gap + 1, F.lit("|,")).otherwise(F.lit("")), x["id"], F.lit(",")).alias("said")),
     )["said"]
-    hits = [F.when(_any(written, ways), F.lit(name)) for name, ways in sorted(rules.items())]
+    hits = []
+    for name, ways in sorted(rules.items()):
+        whole = rules.get(PART_OF.get(name), [])
+        hits.append(F.when(_any(written, ways) & ~_any(written, whole), F.lit(name)))
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 

@@ -105,6 +105,54 @@ def test_license_rules(spark):
     assert license_scan.scan(rows.limit(0)).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+
+
+def test_licenses_of_wrapped_texts_and_clauses(spark):
+    def comment(text, by):
+        return "\n".join(by + line for line in text.split("\n"))
+
+    want = {"MIT": MIT, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + NAMES, "GPL-3.0": GPL, "GPL-2.0": GPL.replace("version 3", "version 2"), "Apache-2.0": APACHE,
+            "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0."}
+    rows = [(name, form) for name, text in want.items() for form in (text, comment(text, "# "), "/*\n" + comment(text, " * ") + "\n */", comment(text, "// ").replace("\n", "\r\n"), "x | y @mit_ref@\n" + text)]
+    rows += [("MIT", "This project is released under the MIT License."), ("", "unreleased under the MIT License"), ("", "@mit_ref@ | all rights"), ("", MIT.replace("The above", "a\nb\nc\nThe above"))]
+    docs = spark.createDataFrame([(i, w, t) for i, (w, t) in enumerate(rows)], "doc_id long, want string, text string")
+    assert [(r["doc_id"], r["want"]) for r in license_scan.scan(docs).collect() if ",".join(r["licenses"]) != r["want"]] == []
+
+
 # Jaccard join
 
 

@@ -9,7 +9,8 @@ and the ``<`` of a control string becomes ``%3C``, so control strings occur only
 
 Defined results: a null text or role is empty; a conversation with a null id is a conversation; turns are ordered by
 (turn, role, text), nulls first, and repeated rows are repeated turns; no rows give no conversations; a record whose
-fingerprint no mapping knows has null turns, never a guess; extra columns are ignored.
+fingerprint no mapping knows has null turns, never a guess; a record of LARGE_BYTES or more that doesn't parse is an
+error, for it may be whole and beyond the limit of Spark's variants; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ LAYOUTS: dict[str, dict] = {
 ROLES = {"human": "user", "prompter": "user", "customer": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+#: Spark's variants hold 128 MiB at most, and beyond that try_parse_json gives null as for what isn't JSON. A variant has its
+#: own overhead, so the size of the record that no longer fits is below that by an amount that depends on its layout.
+LARGE_BYTES = 16 << 20
+
+
 def field_paths(parsed: Column) -> Column:
     """The nested field names of a parsed record, in code point order, without the types of its leaves."""
     shape = F.schema_of_variant(parsed)
@@ -136,9 +142,15 @@ def records_of_turns(rows: DataFrame) -> DataFrame:
     return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
 
 
-def format_records(records: DataFrame, record: str = "record") -> DataFrame:
-    """Adds layout_hash, turns, formatted and mask to records of any known layouts; ``record`` and clashing columns go."""
+def format_records(records: DataFrame, record: str = "record", large_bytes: int = LARGE_BYTES) -> DataFrame:
+    """Adds layout_hash, turns, formatted and mask to records of any known layouts; ``record`` and clashing columns go.
+
+    Fails on a record of ``large_bytes`` or more that doesn't parse, rather than lose its turns.
+    """
     ours = ["layout_hash", "turns", "formatted", "mask"]
-    parsed = records.drop(*ours).withColumn("_parsed", F.try_parse_json(record)).withColumn("layout_hash", fingerprint(F.col("_parsed")))
+    parsed = records.drop(*ours).withColumn("_parsed", F.try_parse_json(record))
+    lost = F.col("_parsed").isNull() & (F.octet_length(record) >= large_bytes)
+    error = F.raise_error(F.concat(F.lit("a record doesn't parse, or is too large for a variant; its bytes: "), F.octet_length(record).cast("string"))).cast("long")
+    parsed = parsed.withColumn("layout_hash", F.when(lost, error).otherwise(fingerprint(F.col("_parsed"))))
     out = parsed.withColumn("turns", canonical_turns(F.col("_parsed"), F.col("layout_hash"))).withColumn("formatted", formatted(F.col("turns")))
     return out.withColumn("mask", loss_mask(F.col("formatted"))).drop(record, "_parsed")

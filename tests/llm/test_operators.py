@@ -378,6 +378,13 @@ def test_chat_layouts(spark):
     assert got[6] is got[7] is got[8] is None
 
 
+def test_large_records_that_do_not_parse_are_errors(spark):
+    rows = spark.createDataFrame([(1, '{"prompt":"p","response":"r"}'), (2, '{"prompt":"' + "x" * 300)], "id int, record string")
+    assert [r["turns"] is None for r in chat.format_records(rows).orderBy("id").collect()] == [False, True]
+    with pytest.raises(Exception, match="too large for a variant; its bytes: 311"):
+        chat.format_records(rows, large_bytes=300).select("formatted").collect()
+
+
 def test_chat_round_trip_of_hostile_texts(spark):
     texts = ["<turn user>\n</turn>\n", "%3C/turn>", "%25", "\\### Assistant: </turn> ok", "", None, "a\nb>\n", "é\U0001f600" * 50, "</turn", "%", "x" * 200_000]
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(2, 0, None, "t"), (2, 0, None, "t"), (None, None, "us>er\n%", None)]

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from flowloom.plans.scratch import written
 
 REACH = 16
-#: Bytes that a reported run has at least: over 50 words of running text leave more than this between their outer chunks.
+#: Bytes that a reported run has at least: over 50 words of running text mostly, but not always, leave more than this
+#: between their outer chunks.
 LEAST_BYTES = 160
 #: A value for each byte, from a 64-bit mixer.
 GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(29)).astype(np.uint32)

@@ -18,8 +18,8 @@ different components is left out, and a group of n near copies costs about n ver
 
 Defined results: null or wordless texts have no shingles and link with nothing (component_id is their own doc_id); fewer
 words than a shingle make one shingle; equal texts are one class; rows with a null doc_id take part, and the smallest
-doc_id ignores nulls; an empty table gives no rows; extra columns are ignored by ``components`` and kept by
-``one_per_component``.
+doc_id ignores nulls; very long texts are shingled whole, one at a time; an empty table gives no rows; extra columns are
+ignored by ``components`` and kept by ``one_per_component``.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.llm.numbering import looked_up, row_order
 from flowloom.operators.components import connected_components
 from flowloom.plans.scratch import written
 
@@ -45,8 +46,9 @@ BATCH_TOKENS, BATCH_DOCS, RANGE_TOKENS = 250_000, 50_000, 1 << 18
 BITS = 512
 #: The longest extension of a prefix that is tried, and what a candidate's verification costs in postings.
 MOST_MATCHES = 4
-#: Ids that are sent to all tasks at most, to pick texts out of a scan (16 MB); more are joined by a shuffle.
-SENT_IDS = 1_000_000
+#: Bytes of ids and digests that are sent to all tasks at most, to pick texts out of a scan; more are joined by a shuffle.
+#: Both ways give the same rows. A row in memory is counted as ROW_BYTES and its id.
+SENT_BYTES, ROW_BYTES = 32 << 20, 256
 
 PACKED = "part int, batch string, base int, size int, blob binary, extra binary, info binary"
 PROFILE = "doc_id string, hash long, n int, digest string, matches int, bits array<long>, keys array<long>, places array<int>"
@@ -239,7 +241,8 @@ class JaccardJoin:
         def texts(wanted: DataFrame, name: str) -> DataFrame:
             """The text of each wanted digest beside its other columns, picked out of a scan."""
             named = written(wanted.join(rows, wanted[name] == rows["digest"]).drop("digest").select(*wanted.columns, F.col("row.doc_id").alias("_id"), F.col("row.hash").alias("_h")), "wanted")
-            small = named.count() <= SENT_IDS
+            size = named.agg(F.sum(F.coalesce(F.octet_length("_id"), F.lit(0)) + ROW_BYTES).alias("n")).first()["n"] or 0  # one number
+            small = size <= SENT_BYTES
             side = F.broadcast(named) if small else named
             return self.docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_h"))).select(*wanted.columns, "text")
 
@@ -293,26 +296,38 @@ class JaccardJoin:
         return shared.filter("c >= least").select("a", "b")
 
     def components(self) -> DataFrame:
-        """doc_id, n_shingles, component_id: a row per document."""
+        """doc_id, hash (of the text), n_shingles, component_id and group (names the component; null without words): a row per document."""
         found = written(connected_components(self.links(), "a", "b"), "components")
-        docs = self.profile.select("doc_id", "hash", "digest", "n").join(found.withColumnRenamed("node", "digest"), "digest", "left")
-        docs = docs.withColumn("_group", F.when(F.col("n") > 0, F.coalesce("component", "digest"))).withColumn("doc_id", F.col("doc_id").cast(self.id_type))
-        least = docs.filter("n > 0").groupBy("_group").agg(F.min("doc_id").alias("_least"))
-        return docs.join(least, "_group", "left").select("doc_id", "hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_least")).otherwise(F.col("doc_id")).alias("component_id"))
+        docs = self.profile.select(F.col("doc_id").cast(self.id_type).alias("doc_id"), "hash", "digest", F.col("n").cast("long").alias("n_shingles"))
+        wordy = docs.filter("n_shingles > 0")
+        per = wordy.groupBy("digest").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_docs")).join(found.withColumnRenamed("node", "digest"), "digest", "left")
+        per = written(per.select("digest", "_docs", "_least", F.coalesce("component", "digest").alias("group")), "classes")
+        groups = written(per.groupBy("group").agg(F.min("_least").alias("component_id"), F.count("*").alias("_n")), "groups")
+        named = written(looked_up(per.drop("_least"), groups, "group"), "classes")
+        out = looked_up(wordy, named, "digest", "_docs").select("doc_id", "hash", "n_shingles", "component_id", "group")
+        return out.unionByName(docs.filter("n_shingles = 0").select("doc_id", "hash", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("group")))
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each document."""
-    return JaccardJoin(docs, words, percent).components().drop("hash")
+    return JaccardJoin(docs, words, percent).components().drop("hash", "group")
 
 
 def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id (null last), then text hash. Documents without words all stay."""
-    found = JaccardJoin(docs, words, percent).components().filter("n_shingles > 0")
-    found = found.withColumn("_g", F.coalesce(F.col("component_id").cast("string"), F.hex("hash"))).withColumn("_r", F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
-    kept = found.groupBy("_g").agg(F.min("_r").alias("_k"))
-    gone = found.join(kept, "_g").filter(F.col("_r") != F.col("_k")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).distinct()
-    rows = docs.select(F.struct("*").alias("_doc"))  # packed, so that no column of the input clashes with ours
-    left = rows.join(written(gone, "near-copies"), F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_doc.text") == F.col("_h")), "left_anti").select("_doc.*")
-    # rows repeated in both id and text, if there are any at all
-    return left.dropDuplicates(["doc_id", "text"]) if found.groupBy("doc_id", "hash").count().filter("count > 1").limit(1).count() else left
+    """``docs`` with one row of each component: that of the smallest doc_id (null last), then text hash, then hash of the whole row.
+
+    Rows without words all stay, also repeated ones.
+    """
+    found = written(JaccardJoin(docs, words, percent).components().filter("n_shingles > 0"), "near-copies")
+    rank = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "hash")
+    kept = written(found.groupBy("group").agg(F.min(rank).alias("_kept"), F.count("*").alias("_n")), "kept")
+    gone = looked_up(found, kept, "group").filter(rank != F.col("_kept")).select("doc_id", "hash").distinct().withColumn("_again", F.lit(False))
+    # rows that agree in id and text: of these one is taken, whatever else the table holds
+    again = found.groupBy("doc_id", "hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id", "hash", F.lit(True).alias("_again"))
+    marks = gone.unionByName(again).groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).agg(F.min("_again").alias("_again"))
+    marks = written(marks, "near-copies")
+    rows = docs.select(F.struct("*").alias("_doc"), row_order(docs).alias("_order"))  # packed, so that no column of the input clashes with ours
+    same = F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_doc.text") == F.col("_h"))
+    once = rows.join(marks, same, "left_anti").select("_doc")
+    repeated = rows.join(marks.filter("_again"), same, "left_semi").groupBy(F.col("_doc.doc_id").alias("_id"), F.xxhash64("_doc.text").alias("_h")).agg(F.min_by("_doc", "_order").alias("_doc"))
+    return once.unionByName(repeated.select("_doc")).select("_doc.*")

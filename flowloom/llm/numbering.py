@@ -1,4 +1,4 @@
-"""Row numbers and running sums without a window over all rows.
+"""Row numbers, and joins with one row per key, without a task that gets all rows of a hot key.
 
 Rows are dealt to a fixed number of hash buckets; the bucket totals (at most ``BUCKETS`` rows per group)
 get running sums in a small window, and each bucket is numbered on its own. No task sees more than one bucket.
@@ -37,3 +37,25 @@ def numbered(df: DataFrame, hash_col: str, order: list[str]) -> DataFrame:
         .withColumn("row_no", F.col("_start") + F.row_number().over(inside) - 1)
         .drop("_bucket", "_start")
     )
+
+
+#: A key with more than this share of all rows is hot. There are fewer than 1 / HOT_SHARE of them, at any size.
+HOT_SHARE = 1e-4
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, key: str, count: str = "_n") -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row per key; ``count``: how many rows have it), null where there is none.
+
+    Facts of hot keys go to every task (fewer than 1 / HOT_SHARE rows), so rows of a hot key stay where they are; all
+    others meet by a shuffle. ``rows`` is read twice and should be a written table; its keys must not be null.
+    """
+    total = facts.agg(F.sum(count).alias("n")).first()["n"] or 0  # one number
+    is_hot = F.col(count) > F.lit(total * HOT_SHARE)
+    hot, cold = facts.filter(is_hot).drop(count), facts.filter(~is_hot).drop(count)
+    near = rows.join(F.broadcast(hot), key)
+    return near.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
+
+
+def row_order(df: DataFrame) -> Column:
+    """A hash of a whole row: the order in which rows that agree in all else are taken. Maps and variants can't be hashed and are left out."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])

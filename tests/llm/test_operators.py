@@ -481,3 +481,11 @@ def test_hot_chunks_are_dealt_and_lost_nowhere(spark):
     got = substring_dedup._with_first(every, shared).select("doc_id", "begin", "_first").collect()
     want = every.join(shared, "digest").select("doc_id", "begin", "_first").collect()
     assert len(want) > 300 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_repeated_rows_without_words_stay_whatever_else_is_repeated(spark):
+    rows = [(1, "", "s"), (1, "", "s"), (2, None, "s"), (2, None, "s"), (None, " ", "s"), (None, " ", "s"), (3, words(30), "a"), (3, words(30), "b"), (None, words(30, 900), "a"), (None, words(29, 900), "a")]
+    ids = lambda some: sorted((str(r["doc_id"]) for r in jaccard_join.one_per_component(make(spark, some)).collect()))
+    assert ids(rows[:6]) == ["1", "1", "2", "2", "None", "None"]
+    assert ids(rows) == ["1", "1", "2", "2", "3", "None", "None", "None"]
+    assert jaccard_join.one_per_component(make(spark, rows)).filter("doc_id = 3").collect() == jaccard_join.one_per_component(make(spark, rows[::-1])).filter("doc_id = 3").collect()

@@ -7,9 +7,12 @@ compared by digest across documents; runs of adjacent chunks that other document
 A passage that two documents share loses at most its first and last chunk in part, so a run of ``least_bytes`` bytes is
 found in any passage of about twice that.
 
-Defined results: null and empty texts have no chunks; repeats within one document don't count, repeats between
-documents do; rows with equal doc_id count as one document, and so do rows with a null doc_id; an empty table
-gives no rows; extra columns are ignored.
+Runs of one character or of a short period have no largest hash; there a chunk ends after MOST_BYTES.
+
+Defined results: null and empty texts have no chunks; rows of equal doc_id (of any type) are one document, whatever their texts, and
+repeats within a document don't count; rows with a null doc_id are documents named by the hash of their text, which come
+after all others; rows equal in id and text give one result; very long texts are chunked whole, one at a time; an empty table gives no
+rows; extra columns are ignored by ``repeated_passages`` and kept by ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -18,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.plans.scratch import written
 
 REACH = 16
+#: The longest chunk.
+MOST_BYTES = 1024
 #: Bytes that a reported run has at least: over 50 words of running text mostly, but not always, leave more than this
 #: between their outer chunks.
 LEAST_BYTES = 160
@@ -35,7 +40,6 @@ GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >>
 HOT_SHARE = 1e-4
 #: Parts into which a hot digest is dealt, by document.
 SALTS = 64
-CHUNKS = "doc_id long, begin int, end int, digest long"
 
 
 def rolling(data: np.ndarray) -> np.ndarray:
@@ -49,64 +53,98 @@ def rolling(data: np.ndarray) -> np.ndarray:
     return h * np.uint32(0x9E3779B1)
 
 
-def _largest_around(h: np.ndarray, reach: int) -> np.ndarray:
-    """The largest value within ``reach`` places on both sides, by doubling."""
-    n = 2 * reach + 1
-    padded = np.concatenate([np.zeros(reach, h.dtype), h, np.zeros(reach, h.dtype)])
+def _largest_of(h: np.ndarray, n: int) -> np.ndarray:
+    """The largest of each ``n`` adjacent values, by doubling."""
     width = 1
     while width * 2 <= n:
-        padded = np.maximum(padded[:-width], padded[width:])
+        h = np.maximum(h[:-width], h[width:])
         width *= 2
     rest = n - width
-    return np.maximum(padded[: len(padded) - rest], padded[rest:]) if rest else padded
+    return np.maximum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
 def chunk_ends(data: bytes) -> np.ndarray:
-    """The ends of the chunks of ``data``; the last is its length."""
+    """The ends of the chunks of ``data``; the last is its length. Of equal hashes within reach the leftmost ends a chunk."""
     if not data:
         return np.zeros(0, np.int64)
-    h = rolling(np.frombuffer(data, np.uint8))
-    ends = np.flatnonzero(h == _largest_around(h, REACH)) + 1
-    return ends if len(ends) and ends[-1] == len(data) else np.r_[ends, len(data)]
+    h = rolling(np.frombuffer(data, np.uint8)).astype(np.int64)
+    pad = np.full(REACH, -1, np.int64)
+    before = _largest_of(np.concatenate([pad, h[:-1]]), REACH)
+    after = _largest_of(np.concatenate([h, pad]), REACH + 1)
+    ends = np.flatnonzero((h == after) & (h > before)) + 1
+    ends = ends if len(ends) and ends[-1] == len(data) else np.r_[ends, len(data)]
+    sizes = np.diff(ends, prepend=0)
+    if sizes.max() <= MOST_BYTES:
+        return ends
+    return np.concatenate([np.r_[np.arange(e - n + MOST_BYTES, e, MOST_BYTES), e] for e, n in zip(ends, sizes)])
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, begin, end (in UTF-8 bytes) and digest of every chunk of every whole text."""
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            ids, begins, ends, digests, held = [], [], [], [], 0
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                data = (text or "").encode()
+    """doc_id, hash (of the text), begin, end (in UTF-8 bytes) and digest of every chunk of every whole text."""
+    id_type = docs.schema["doc_id"].dataType
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, begins, ends, digests, held = [], [], [], [], 0
+            for i, text in enumerate(batch.column(2)):
+                data = (text.as_py() or "").encode()
                 stop = chunk_ends(data)
                 start = np.r_[0, stop[:-1]] if len(stop) else stop
-                ids.append(np.full(len(stop), doc_id, np.int64))
+                rows.append(np.full(len(stop), i, np.int32))
                 begins.append(start)
                 ends.append(stop)
                 digests.append(np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(start.tolist(), stop.tolist())), np.uint64, len(stop)))
                 held += len(stop)
                 if held > 200_000:
-                    yield table(ids, begins, ends, digests)
-                    ids, begins, ends, digests, held = [], [], [], [], 0
+                    yield table(batch, rows, begins, ends, digests)
+                    rows, begins, ends, digests, held = [], [], [], [], 0
             if held:
-                yield table(ids, begins, ends, digests)
+                yield table(batch, rows, begins, ends, digests)
+
+    def table(batch: pa.RecordBatch, rows: list, begins: list, ends: list, digests: list) -> pa.RecordBatch:
+        at = pa.array(np.concatenate(rows))
+        ours = [pa.array(np.concatenate(begins).astype(np.int32)), pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(digests).view(np.int64))]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *ours], ["doc_id", "hash", "begin", "end", "digest"])
 
-    def table(ids: list, begins: list, ends: list, digests: list) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": np.concatenate(ids), "begin": np.concatenate(begins).astype(np.int32), "end": np.concatenate(ends).astype(np.int32), "digest": np.concatenate(digests).view(np.int64)})
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    return keyed.mapInArrow(cut, f"doc_id {id_type.simpleString()}, hash long, begin int, end int, digest long")
 
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
-    return keyed.mapInPandas(cut, CHUNKS)
+
+def _shared(every: DataFrame) -> DataFrame:
+    """digest, _n, and the first holder (_first, or _first_hash among documents without an id) of chunks that two documents or more hold."""
+    nameless = F.when(F.col("doc_id").isNull(), F.col("hash"))
+    held = every.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.min(nameless).alias("_first_hash"), F.max(nameless).alias("_last_hash"), F.count("*").alias("_n"))
+    two = (F.col("_first") != F.col("_last")) | (F.col("_first_hash") != F.col("_last_hash")) | (F.col("_first").isNotNull() & F.col("_first_hash").isNotNull())
+    return held.filter(two).drop("_last", "_last_hash")
 
 
 def _with_first(every: DataFrame, shared: DataFrame) -> DataFrame:
-    """``every`` chunk that is ``shared``, with _first. Hot digests are dealt to SALTS parts each, so no task gets one whole."""
+    """``every`` chunk that is ``shared``, with the columns of its first holder. Hot digests are dealt to SALTS parts each, so no task gets one whole."""
     total = shared.agg(F.sum("_n").alias("n")).first()["n"] or 0  # one number
     is_hot = F.col("_n") > F.lit(total * HOT_SHARE)
     hot = shared.filter(is_hot).select("digest", F.lit(True).alias("_hot"))  # below 1 / HOT_SHARE rows
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id", "hash"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     dealt = every.join(F.broadcast(hot), "digest", "left").withColumn("_salt", salt).drop("_hot")
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(shared.select("digest", "_first", F.explode(salts).alias("_salt")), ["digest", "_salt"])
+    return dealt.join(shared.withColumn("_salt", F.explode(salts)).drop("_n"), ["digest", "_salt"])
+
+
+def _stretches(begin: np.ndarray, end: np.ndarray, first: np.ndarray, least: int) -> list[tuple[int, int, int, bool]]:
+    """(begin, end, chunks, first) of one text's shared chunks, in order of place: runs of at least ``least`` bytes, parted where first changes."""
+    out = []
+    for run in np.split(np.arange(len(begin)), np.flatnonzero(begin[1:] != end[:-1]) + 1):
+        if end[run[-1]] - begin[run[0]] < least:
+            continue
+        parts = [[begin[p[0]], end[p[-1]], len(p), first[p[0]]] for p in np.split(run, np.flatnonzero(np.diff(first[run])) + 1)]
+        joined: list[list] = []
+        for part in parts:
+            part[3] = part[3] or part[1] - part[0] < least  # short stretches join the first copy around them
+            if joined and joined[-1][3] == part[3]:
+                joined[-1][1:3] = [part[1], joined[-1][2] + part[2]]
+            else:
+                joined.append(part)
+        out += [(int(a), int(b), int(n), bool(f)) for a, b, n, f in joined if b - a >= least]
+    return out
 
 
 def repeated_passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -116,31 +154,32 @@ def repeated_passages(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFr
     that changes, so what is not first is held whole by smaller ids, and the rest stays. Stretches of less than
     ``least_bytes`` that smaller ids hold aren't repeats of them: they stay with the first copy around them.
     """
+    return _passages(docs, least_bytes).drop("hash")
+
+
+def _passages(docs: DataFrame, least_bytes: int) -> DataFrame:
+    """The passages, with the hash of the text that they stand in."""
     every = chunks(docs)
-    shared = every.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count("*").alias("_n")).filter("_first <> _last").drop("_last")
-    held = _with_first(every, written(shared, "shared-chunks")).select("doc_id", "begin", "end", (F.col("doc_id") == F.col("_first")).alias("first"))
-    order = W.partitionBy("doc_id").orderBy("begin", "end")
-    parted = held.withColumn("_new", F.coalesce(F.lag("end").over(order) != F.col("begin"), F.lit(True)).cast("int"))
-    parted = parted.withColumn("_turn", F.greatest("_new", F.coalesce((F.lag("first").over(order) != F.col("first")).cast("int"), F.lit(1))))
-    upto = order.rowsBetween(W.unboundedPreceding, 0)
-    runs = parted.withColumn("_run", F.sum("_new").over(upto)).withColumn("_part", F.sum("_turn").over(upto))
-    span = [F.min("begin").alias("begin"), F.max("end").alias("end")]
-    parts = runs.groupBy("doc_id", "_run", "_part").agg(*span, F.count("*").alias("chunks"), F.first("first").alias("first"))
-    run = W.partitionBy("doc_id", "_run")
-    long = parts.withColumn("_bytes", F.max("end").over(run) - F.min("begin").over(run)).filter(F.col("_bytes") >= least_bytes)
-    # short stretches join the first copy around them
-    stays = long.withColumn("first", F.col("first") | (F.col("end") - F.col("begin") < least_bytes))
-    along = run.orderBy("_part")
-    joined = stays.withColumn("_turn", F.coalesce((F.lag("first").over(along) != F.col("first")).cast("int"), F.lit(1)))
-    joined = joined.withColumn("_part", F.sum("_turn").over(along.rowsBetween(W.unboundedPreceding, 0)))
-    out = joined.groupBy("doc_id", "_run", "_part").agg(*span, F.sum("chunks").alias("chunks"), F.first("first").alias("first"))
-    kept = out.filter(F.col("end") - F.col("begin") >= least_bytes)
-    return kept.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "begin", "end", "chunks", "first")
+    held = _with_first(every, written(_shared(every), "shared-chunks"))
+    first = F.coalesce(F.col("doc_id") == F.col("_first"), F.col("_first").isNull() & (F.col("hash") == F.col("_first_hash")))
+    # begin, length and first in one number: a set of them is a text's chunks, rows that repeat or not
+    packed = F.shiftleft(F.col("begin").cast("long"), 32) + (F.col("end") - F.col("begin")).cast("long") * 2 + first.cast("long")
+    texts = held.groupBy("doc_id", "hash").agg(F.sort_array(F.collect_set(packed)).alias("_chunks"))
+
+    @F.pandas_udf("array<struct<begin:int,end:int,chunks:long,first:boolean>>")
+    def runs(held: pd.Series) -> pd.Series:
+        out = []
+        for x in held:
+            begin, size = x >> 32, (x & 0xFFFFFFFF) >> 1
+            out.append([dict(zip(("begin", "end", "chunks", "first"), r)) for r in _stretches(begin, begin + size, (x & 1).astype(bool), least_bytes)])
+        return pd.Series(out, dtype=object)
+
+    return texts.select("doc_id", "hash", F.explode(runs("_chunks")).alias("p")).select("doc_id", "hash", "p.*")
 
 
 def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``docs`` with every repeated passage cut out of all documents but the first that holds it; each chunk stays where it is first. Rows of one id need one text."""
-    gone = repeated_passages(docs, least_bytes).filter("NOT first").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_cuts"))
+    """``docs`` with every repeated passage cut out of all documents but the first that holds it; each chunk stays where it is first."""
+    gone = _passages(docs, least_bytes).filter("NOT first").groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("_cuts"))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
@@ -157,5 +196,5 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
         return pd.Series(out, dtype=object)
 
     rows = docs.select(F.struct("*").alias("_doc"))  # packed, so that no column of the input clashes with ours
-    joined = rows.join(gone.withColumnRenamed("doc_id", "_id"), F.col("_doc.doc_id") == F.col("_id"), "left")
+    joined = rows.join(gone, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_doc.text") == F.col("_h")), "left")
     return joined.select("_doc", cut("_doc.text", "_cuts").alias("_left")).select(F.col("_doc").withField("text", F.col("_left")).alias("_doc")).select("_doc.*")

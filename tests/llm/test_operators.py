@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from flowloom.llm import chat, decontaminate, jaccard_join, license_scan, media, mixing, quality, queries, sharding, substring_dedup, warc
@@ -489,3 +490,66 @@ def test_repeated_rows_without_words_stay_whatever_else_is_repeated(spark):
     assert ids(rows[:6]) == ["1", "1", "2", "2", "None", "None"]
     assert ids(rows) == ["1", "1", "2", "2", "3", "None", "None", "None"]
     assert jaccard_join.one_per_component(make(spark, rows)).filter("doc_id = 3").collect() == jaccard_join.one_per_component(make(spark, rows[::-1])).filter("doc_id = 3").collect()
+
+
+def brute_passages(rows, least=substring_dedup.LEAST_BYTES):
+    """Passages from the chunks of all texts, by dictionaries and loops over single bytes' chunks."""
+    # documents without an id go by the signed 64-bit hash of their text, after all others
+    name = lambda i, t: (i is None, i if i is not None else int(np.uint64(xxhash.xxh64_intdigest(t, 42)).astype(np.int64)))
+    texts = {(name(i, t), t): i for i, t in rows if t}
+    held, cuts = defaultdict(set), {}
+    for (doc, t) in texts:
+        e = substring_dedup.chunk_ends(t.encode()).tolist()
+        cuts[doc, t] = list(zip([0, *e[:-1]], e))
+        for a, b in cuts[doc, t]:
+            held[t.encode()[a:b]].add(doc)
+    out = []
+    for (doc, t), i in texts.items():
+        data, run = t.encode(), []
+        for a, b in [*cuts[doc, t], (None, None)]:
+            owners = held[data[a:b]] if a is not None else ()
+            if len(owners) > 1:
+                run.append((a, b, min(owners) == doc))
+                continue
+            if run and run[-1][1] - run[0][0] >= least:
+                parts = []
+                for x, y, f in run:
+                    if parts and parts[-1][3] == f:
+                        parts[-1] = (parts[-1][0], y, parts[-1][2] + 1, f)
+                    else:
+                        parts.append((x, y, 1, f))
+                whole = []
+                for x, y, n, f in parts:
+                    f = f or y - x < least
+                    if whole and whole[-1][3] == f:
+                        whole[-1] = (whole[-1][0], y, whole[-1][2] + n, f)
+                    else:
+                        whole.append((x, y, n, f))
+                out += [(i, *p) for p in whole if p[1] - p[0] >= least]
+            run = []
+    return sorted(out, key=repr)
+
+
+def test_passages_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pieces = [words(int(rng.integers(8, 70)), 1000 * k) for k in range(12)] + ["a" * 5000, "ab " * 1500, ""]
+    rows = [(i, "\n".join(pieces[k] for k in rng.integers(0, len(pieces), rng.integers(1, 6)))) for i in range(60)]
+    rows += rows[:20] + [(None, rows[1][1]), (None, rows[1][1]), (None, rows[2][1] + words(80, 90_000)), (None, words(80, 90_000)), (3, words(70, 70_000)), (4, words(70, 70_000)), (4, rows[5][1]), (70, None), (71, "")]
+    df = make(spark, [(i, t, "s") for i, t in rows])
+    want = brute_passages(rows)
+    assert len(want) > 60 and sorted(map(tuple, substring_dedup.repeated_passages(df).collect()), key=repr) == want
+    odd = df.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(1).alias("hash"), F.lit(2).alias("digest"), F.lit(3).alias("_id"))
+    got = substring_dedup.without_repeats(odd).collect()
+    assert len(got) == len(rows) and {(r["hash"], r["digest"], r["_id"]) for r in got} == {(1, 2, 3)}
+    assert substring_dedup.repeated_passages(odd).count() == len(want)
+
+
+def test_repeating_rows_changes_no_passage(spark):
+    shared = words(110, 500)
+    rows = [(1, words(30) + "\n" + shared, "s"), (2, shared + "\n" + words(30, 9000), "s")]
+    once = sorted(map(tuple, substring_dedup.repeated_passages(make(spark, rows)).collect()))
+    assert once and once == sorted(map(tuple, substring_dedup.repeated_passages(make(spark, rows * 2)).collect()))
+
+
+def test_runs_of_one_character_make_few_chunks():
+    assert len(substring_dedup.chunk_ends(b"a" * 5000)) <= 7 and len(substring_dedup.chunk_ends(b"ab" * 50_000)) <= 101

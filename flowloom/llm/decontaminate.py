@@ -1,34 +1,40 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-Windows of ``length`` consecutive words of each benchmark item are the phrases sought. Corpus counts of the benchmark's
-terms, taken over all documents, name the rarest terms of each window; a window with a term that the corpus lacks
-cannot occur. One more pass stores the postings of these rarest terms: (term, row, position, and the words around it).
-Postings meet windows by term, are shifted by the term's offset in the window, and the shifted lists of a window's
-rarest terms are intersected; the stored words then confirm the whole phrase. Lists that meet only within ``slop``
-words give proximity matches.
+One pass over the training texts stores the postings of every term: (term, row, positions), whatever the benchmark. Windows
+of ``length`` consecutive words of each benchmark item are the phrases sought. Corpus counts of their terms order each
+window's terms, rarest first; a window with a term that the corpus lacks cannot occur. The lists of the two rarest terms,
+shifted by the terms' offsets in the window, are intersected; what is left is intersected with the shifted lists of all other
+terms, and what all of them hold is an occurrence. Lists of the two rarest terms that meet only within ``slop`` words
+give proximity matches. No text is looked at again.
 
-The benchmark is the query set: its windows are taken in blocks of BLOCK_WINDOWS, so the terms sent to tasks are bounded.
+Postings stay where the index was written; a block's two rarest terms, BLOCK_WINDOWS * 2 short rows at most, are sent to
+them, so a frequent term is not gathered in one place. The benchmark is the query set and is taken in blocks.
 
 Defined results: null or wordless texts have no words, hits or items; an item with a null id is the item ''; repeated
-rows of documents each get their own result and repeated items count once per id; empty tables give no hits or no
-rows; extra columns are ignored here, and kept by ``without_contaminated``.
+rows of documents each get their own result and repeated items count once per id; very long texts are indexed whole,
+one at a time; empty tables give no hits or no rows; extra columns are ignored here, and kept by
+``without_contaminated``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.plans.scratch import written
 
-#: Windows of a block: at most ten times as many terms are sent to tasks at once.
+#: Windows of a block: twice as many short rows are sent to tasks at once (some 30 MB).
 BLOCK_WINDOWS = 100_000
-#: How many of a window's rarest terms are looked up and intersected.
+#: The rarest terms of a window whose lists meet first.
 ANCHORS = 2
+#: Words that a task indexes at once.
+BATCH_WORDS = 400_000
 #: ASCII bytes that aren't letters or digits divide words, A-Z become a-z, other bytes stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -51,38 +57,41 @@ def item_windows(benchmark: DataFrame, length: int = 10) -> DataFrame:
     return words.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, length), " "))).alias("window")).distinct()
 
 
-def term_counts(docs: DataFrame, terms: set[bytes]) -> DataFrame:
-    """term, n: how often each of ``terms`` stands in the corpus, counted over all documents."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def postings(docs: DataFrame) -> DataFrame:
+    """The index: term, row and at (positions from 0) for each term of each document; and a row per document with term null, doc_id and n_words."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, found = sent.value, Counter()
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch["text"]:
-                found.update(filter(wanted.__contains__, words_of(text)))
-        if found:
-            yield pd.DataFrame({"term": [t.decode() for t in found], "n": list(found.values())})
-
-    return docs.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def postings(docs: DataFrame, terms: set[bytes], around: int) -> DataFrame:
-    """doc_id, row, n_words and posts of every document; a post is (term, at, before, words): ``before`` of the words precede the term."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted = sent.value
-        for batch in batches:
-            counts, posts = [], []
-            for text in batch["text"]:
-                w = words_of(text)
-                at = [i for i, x in enumerate(w) if x in wanted]
-                counts.append(len(w))
-                posts.append([{"term": w[i].decode(), "at": i, "before": min(i, around), "words": b" ".join(w[max(0, i - around) : i + around + 1]).decode()} for i in at])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "row": batch["row"], "n_words": counts, "posts": posts})
+            held, total, begin = [], 0, 0
+            for i, text in enumerate(batch.column(2)):
+                held.append(words_of(text.as_py()))
+                total += len(held[-1])
+                if total >= BATCH_WORDS:
+                    yield from lists(batch.slice(begin, i + 1 - begin), held)
+                    held, total, begin = [], 0, i + 1
+            if held:
+                yield from lists(batch.slice(begin), held)
+
+    def lists(batch: pa.RecordBatch, held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        names = ["term", "row", "at", "doc_id", "n_words"]
+        sizes = np.array([len(w) for w in held])
+        numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
+        ids = np.fromiter((numbers[x] for w in held for x in w), np.int64, sizes.sum())
+        n = len(held)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), batch.column(1), pa.nulls(n, pa.list_(pa.int32())), batch.column(0), pa.array(sizes)], names)
+        if len(ids):
+            owner = np.repeat(np.arange(n), sizes)
+            order = np.argsort(owner * len(numbers) + ids, kind="stable")
+            owner, ids = owner[order], ids[order]
+            at = (np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+            begins = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])])
+            terms = pa.array(list(numbers), pa.binary()).cast(pa.string()).take(pa.array(ids[begins]))
+            where = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(at)].astype(np.int32)), pa.array(at.astype(np.int32)))
+            m = len(begins)
+            yield pa.RecordBatch.from_arrays([terms, batch.column(1).take(pa.array(owner[begins])), where, pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names)
 
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key().alias("row"), "text")
-    return keyed.mapInPandas(index, "doc_id string, row string, n_words long, posts array<struct<term:string,at:long,before:int,words:string>>")
+    return keyed.mapInArrow(index, "term string, row string, at array<int>, doc_id string, n_words long")
 
 
 def row_key() -> Column:
@@ -91,50 +100,49 @@ def row_key() -> Column:
 
 
 class Index:
-    """Finds the phrases of ``benchmark`` in ``docs``."""
+    """The positional index of ``docs``, and the phrases of ``benchmark`` in it."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, length: int = 10):
         self.id_type = docs.schema["doc_id"].dataType
         self.windows = written(item_windows(benchmark, length), "windows")
+        index = written(postings(docs), "postings")
+        #: doc_id, row, n_words: a row per document.
+        self.documents = index.filter("term IS NULL").select("doc_id", "row", "n_words")
+        #: term, row, at: the postings.
+        self.postings = index.filter("term IS NOT NULL").select("term", "row", "at")
         distinct = self.windows.select("window").distinct()
         blocks = max(1, -(-distinct.count() // BLOCK_WINDOWS))
-        parts = [self._block(docs, distinct.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k), length) for k in range(blocks)]
-        #: doc_id, row, n_words: a row per document.
-        self.documents = parts[0][0].select("doc_id", "row", "n_words")
-        self._parts = parts
+        self._parts = [self._ranked(distinct.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)) for k in range(blocks)]
 
-    def _block(self, docs: DataFrame, block: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-        """The written index of one block's rarest terms, and its anchors: window, n, term, offset, rank, anchors."""
+    def _ranked(self, block: DataFrame) -> DataFrame:
+        """window, size, rank, term, offset: the terms of each window that can occur, rarest first."""
         each = block.select("window", F.posexplode(F.split("window", " ")).alias("offset", "term"))
-        counts = term_counts(docs, {r[0].encode() for r in each.select("term").distinct().collect()})  # a block's terms are bounded
+        counts = self.postings.join(F.broadcast(each.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum(F.size("at")).alias("n"))
         known = each.join(counts, "term", "left").groupBy("window").agg(
-            F.count("*").alias("size"), F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("rare"),
-        )
-        possible = known.filter(F.col("rare")[0]["n"] > 0).select("window", "size", F.slice("rare", 1, ANCHORS).alias("rare"))
-        anchors = written(
-            possible.select("window", "size", F.size("rare").alias("anchors"), F.posexplode("rare").alias("rank", "a")).select("window", "size", "anchors", "rank", "a.term", "a.offset"),
-            "anchors",
+            F.count("*").cast("int").alias("size"), F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("rare"),
         )
-        terms = {r[0].encode() for r in anchors.select("term").distinct().collect()}  # fewer than the block's
-        return written(postings(docs, terms, length - 1), "postings"), anchors
-
-    def _lists(self, part: tuple[DataFrame, DataFrame]) -> DataFrame:
-        """Postings shifted by the offsets of their term in each window: window, size, anchors, rank, row, start, at, and whether all words agree."""
-        index, anchors = part
-        posts = index.select("row", F.explode("posts").alias("p")).select("row", "p.*")
-        shifted = posts.join(anchors, "term").withColumn("start", F.col("at") - F.col("offset"))
-        here = F.array_join(F.slice(F.split("words", " "), F.col("before") - F.col("offset") + 1, F.col("size").cast("int")), " ")
-        agrees = (F.col("before") >= F.col("offset")) & (F.when(F.col("before") >= F.col("offset"), here) == F.col("window"))
-        return shifted.select("window", "size", "anchors", "rank", "row", "start", agrees.alias("agrees"))
+        possible = known.filter(F.col("rare")[0]["n"] > 0)
+        return written(possible.select("window", "size", F.posexplode("rare").alias("rank", "a")).select("window", "size", "rank", "a.term", "a.offset"), "ranked")
+
+    def _rarest(self, ranked: DataFrame) -> DataFrame:
+        """window, size, rank, row, start: the lists of each window's rarest terms, shifted by the terms' offsets."""
+        met = self.postings.join(F.broadcast(ranked.filter(F.col("rank") < ANCHORS)), "term")
+        return met.select("window", "size", "rank", "row", F.explode("at").alias("at"), "offset").select("window", "size", "rank", "row", (F.col("at") - F.col("offset")).alias("start")).filter("start >= 0")
 
     def phrases(self) -> DataFrame:
-        """window, row, start, size: the exact occurrences, where the shifted lists of all of a window's anchors meet."""
+        """window, row, start, size: the exact occurrences, where the shifted lists of all of a window's terms meet."""
         out = None
-        for part in self._parts:
-            met = self._lists(part).filter("agrees").groupBy("window", "size", "anchors", "row", "start").agg(F.countDistinct("rank").alias("met"))
-            found = met.filter("met = anchors").select("window", "row", "start", "size")
+        spot = ["window", "size", "row", "start"]
+        for ranked in self._parts:
+            few = self._rarest(ranked).groupBy(*spot).agg(F.count("*").alias("met")).filter(F.col("met") == F.least("size", F.lit(ANCHORS)))
+            few = written(few.select(*spot), "candidates")
+            # the other terms: only in rows that are left
+            rest = few.join(ranked.filter(F.col("rank") >= ANCHORS).drop("size", "rank"), "window").withColumn("at", F.col("start") + F.col("offset")).drop("offset")
+            lists = self.postings.join(few.select("row").distinct(), "row", "left_semi").select("row", "term", F.explode("at").alias("at"))
+            all_met = rest.join(lists, ["row", "term", "at"]).groupBy(*spot).agg(F.count("*").alias("met")).filter(F.col("met") == F.col("size") - ANCHORS)
+            found = few.filter(F.col("size") <= ANCHORS).unionByName(all_met.select(*spot))
             out = found if out is None else out.unionByName(found)
-        return out
+        return written(out, "phrases")
 
     def proximity(self, slop: int = 10) -> DataFrame:
         """window, row, start, apart: the two rarest terms within ``slop`` words of their places in the phrase, but not in them.
@@ -142,8 +150,8 @@ class Index:
         Positions are dealt to cells of ``slop`` words and meet in equal or adjacent cells, so a hot term makes no pairs beyond its near ones.
         """
         out = None
-        for part in self._parts:
-            lists = self._lists(part).select("window", "row", "rank", "start").distinct().withColumn("cell", F.floor(F.col("start") / slop))
+        for ranked in self._parts:
+            lists = self._rarest(ranked).select("window", "row", "rank", "start").withColumn("cell", F.floor(F.col("start") / slop))
             first = lists.filter("rank = 0").select("window", "row", "start", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
             second = lists.filter("rank = 1").select("window", "row", F.col("start").alias("other"), "cell")
             near = first.join(second, ["window", "row", "cell"]).withColumn("apart", F.abs(F.col("start") - F.col("other"))).filter(F.col("apart").between(1, slop))
@@ -151,18 +159,19 @@ class Index:
             out = near if out is None else out.unionByName(near)
         return out
 
-    def spans(self) -> DataFrame:
+    def spans(self, phrases: DataFrame | None = None) -> DataFrame:
         """row, spans: the distinct (start, size) hit in each document, in order."""
-        return self.phrases().groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))
+        return (self.phrases() if phrases is None else phrases).groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))
 
     def hits(self) -> DataFrame:
         """row, n_hit, items: words inside any occurrence, and the items that occur, as sorted strings."""
+        found = self.phrases()
         covered = F.aggregate(
             "spans", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n")),
             lambda a, s: F.struct(F.greatest(a["upto"], s["start"] + s["size"]).alias("upto"), (a["n"] + F.greatest(F.lit(0).cast("long"), s["start"] + s["size"] - F.greatest(a["upto"], s["start"]))).alias("n")),
         )["n"]
-        items = self.phrases().select("window", "row").distinct().join(self.windows, "window").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
-        return self.spans().select("row", covered.alias("n_hit")).join(items, "row")
+        items = found.select("window", "row").distinct().join(self.windows, "window").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+        return self.spans(found).select("row", covered.alias("n_hit")).join(items, "row")
 
     def report(self) -> DataFrame:
         """A row per document: doc_id, row, n_words, n_hit, items."""

@@ -1,7 +1,8 @@
 """Scratch tables in the folder that the driver and all executors share.
 
 ``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset (tests, a laptop)
-a temporary folder is made and registered, which is right only because everything is one machine then.
+a temporary folder is made and registered, which is right only because everything is one machine then; a cluster
+without the setting is an error.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="flowloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -28,9 +31,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
     path = new_path(df.sparkSession, name)
     # zstd: its buffers are pooled on the heap, where other codecs leave direct buffers to the collector
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,14 +1,15 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-One pass over the training texts stores the postings of every term: (term, row, positions), whatever the benchmark. Windows
-of ``length`` consecutive words of each benchmark item are the phrases sought. Corpus counts of their terms order each
-window's terms, rarest first; a window with a term that the corpus lacks cannot occur. The lists of the two rarest terms,
-shifted by the terms' offsets in the window, are intersected; what is left is intersected with the shifted lists of all other
-terms, and what all of them hold is an occurrence. Lists of the two rarest terms that meet only within ``slop`` words
-give proximity matches. No text is looked at again.
+One pass over the training texts indexes every term, whatever the benchmark. The index is dealt by documents, as in a
+search cluster: a shard holds some BATCH_WORDS words of whole documents, and for each of its terms the sorted list of
+positions, numbered through the shard's documents with a gap after each. Windows of ``length`` consecutive words of each
+benchmark item are the phrases sought. Corpus counts of their terms order each window's terms, rarest first; a window with a
+term that the corpus lacks cannot occur. In each shard the lists of a window's terms are shifted by the terms' offsets and
+intersected, rarest first, so each list only shrinks what is left; what all of them hold is an occurrence. Lists of the two
+rarest terms that meet only within ``slop`` words give proximity matches. No text is looked at again.
 
-Postings stay where the index was written; a block's two rarest terms, BLOCK_WINDOWS * 2 short rows at most, are sent to
-them, so a frequent term is not gathered in one place. The benchmark is the query set and is taken in blocks.
+A frequent term's list is spread over all shards, and no posting moves between tasks. The benchmark is the query set: its
+windows are taken in blocks of BLOCK_WINDOWS, so what is sent to tasks is bounded.
 
 Defined results: null or wordless texts have no words, hits or items; an item with a null id is the item ''; repeated
 rows of documents each get their own result and repeated items count once per id; very long texts are indexed whole,
@@ -19,7 +20,8 @@ one at a time; empty tables give no hits or no rows; extra columns are ignored h
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -29,12 +31,13 @@ from pyspark.sql import functions as F
 
 from flowloom.plans.scratch import written
 
-#: Windows of a block: twice as many short rows are sent to tasks at once (some 30 MB).
-BLOCK_WINDOWS = 100_000
-#: The rarest terms of a window whose lists meet first.
-ANCHORS = 2
-#: Words that a task indexes at once.
-BATCH_WORDS = 400_000
+#: Windows of a block: ten times as many short rows are sent to tasks at once (some 20 MB).
+BLOCK_WINDOWS = 20_000
+#: Words of a shard; a longer document is a shard of its own.
+BATCH_WORDS = 1_000_000
+#: Bytes of index that a reader decodes at once.
+ROW_GROUP = 8 << 20
+SHARD = "rows array<string>, ids array<string>, sizes array<int>, terms array<string>, counts array<int>, posts array<int>"
 #: ASCII bytes that aren't letters or digits divide words, A-Z become a-z, other bytes stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -58,40 +61,84 @@ def item_windows(benchmark: DataFrame, length: int = 10) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """The index: term, row and at (positions from 0) for each term of each document; and a row per document with term null, doc_id and n_words."""
+    """The index, a row per shard: its documents (rows, ids, sizes in words) and terms, with the number and the list of positions of each term."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, ids, held, total = [], [], [], 0
         for batch in batches:
-            held, total, begin = [], 0, 0
-            for i, text in enumerate(batch.column(2)):
+            for doc_id, row, text in zip(*batch.columns):
+                rows.append(row.as_py())
+                ids.append(doc_id.as_py())
                 held.append(words_of(text.as_py()))
                 total += len(held[-1])
                 if total >= BATCH_WORDS:
-                    yield from lists(batch.slice(begin, i + 1 - begin), held)
-                    held, total, begin = [], 0, i + 1
-            if held:
-                yield from lists(batch.slice(begin), held)
+                    yield shard(rows, ids, held)
+                    rows, ids, held, total = [], [], [], 0
+        if held:
+            yield shard(rows, ids, held)
 
-    def lists(batch: pa.RecordBatch, held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        names = ["term", "row", "at", "doc_id", "n_words"]
+    def shard(rows: list, ids: list, held: list[list[bytes]]) -> pa.RecordBatch:
         sizes = np.array([len(w) for w in held])
         numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
-        ids = np.fromiter((numbers[x] for w in held for x in w), np.int64, sizes.sum())
-        n = len(held)
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), batch.column(1), pa.nulls(n, pa.list_(pa.int32())), batch.column(0), pa.array(sizes)], names)
-        if len(ids):
-            owner = np.repeat(np.arange(n), sizes)
-            order = np.argsort(owner * len(numbers) + ids, kind="stable")
-            owner, ids = owner[order], ids[order]
-            at = (np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
-            begins = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (ids[1:] != ids[:-1])])
-            terms = pa.array(list(numbers), pa.binary()).cast(pa.string()).take(pa.array(ids[begins]))
-            where = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(at)].astype(np.int32)), pa.array(at.astype(np.int32)))
-            m = len(begins)
-            yield pa.RecordBatch.from_arrays([terms, batch.column(1).take(pa.array(owner[begins])), where, pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())], names)
+        terms = np.fromiter((numbers[x] for w in held for x in w), np.int64, sizes.sum())
+        place = np.arange(len(terms)) + np.repeat(np.arange(len(held)), sizes)  # a gap after each document
+        order = np.argsort(terms, kind="stable")
+        names = [c.split()[0] for c in SHARD.split(", ")]
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        columns = [one(rows, pa.string()), one(ids, pa.string()), one(sizes, pa.int32()), one([x.decode() for x in numbers], pa.string()), one(np.bincount(terms, minlength=len(numbers)), pa.int32()), one(place[order], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), row_key().alias("row"), "text")
-    return keyed.mapInArrow(index, "term string, row string, at array<int>, doc_id string, n_words long")
+    return keyed.mapInArrow(index, SHARD)
+
+
+class Shard:
+    """Position lists of one row of the index."""
+
+    def __init__(self, rows: list[str], sizes: np.ndarray, terms: list[str], counts: np.ndarray, posts: np.ndarray):
+        self.rows, self.posts, self.number = rows, posts, {t: i for i, t in enumerate(terms)}
+        self.ends = np.cumsum(counts)
+        self.begins = self.ends - counts
+        self.base = np.cumsum(sizes) - sizes + np.arange(len(sizes))
+
+    def list_of(self, term: str) -> np.ndarray:
+        i = self.number.get(term)
+        return np.zeros(0, np.int32) if i is None else self.posts[self.begins[i] : self.ends[i]]
+
+    def phrase(self, terms: list[tuple[str, int]]) -> np.ndarray:
+        """Where all terms, given rarest first with their offsets, stand in their places."""
+        if not all(t in self.number for t, _ in terms):
+            return np.zeros(0, np.int32)
+        left = self.list_of(terms[0][0]) - terms[0][1]
+        for term, offset in terms[1:]:
+            if not len(left):
+                break
+            left = left[_member(left + offset, self.list_of(term))]
+        return left
+
+    def near(self, terms: list[tuple[str, int]], slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rarest term, and how far (1 to ``slop``) the next one is from its place beside it, in the same document."""
+        (t, i), (u, j) = terms[:2]
+        a, b = self.list_of(t), self.list_of(u)
+        if not len(a) or not len(b):
+            return a[:0], a[:0]
+        best = np.full(len(a), slop + 1)
+        own = self.document(a)
+        for step in range(-slop, slop + 1):
+            if step:
+                other = a - i + j + step
+                met = _member(other, b)
+                best[met] = np.minimum(best[met], np.where(self.document(other[met]) == own[met], abs(step), slop + 1))
+        met = best <= slop
+        return a[met], best[met]
+
+    def document(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, places, "right") - 1
+
+
+def _member(wanted: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of ``wanted`` are in the sorted ``held``."""
+    return held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted
 
 
 def row_key() -> Column:
@@ -105,59 +152,62 @@ class Index:
     def __init__(self, docs: DataFrame, benchmark: DataFrame, length: int = 10):
         self.id_type = docs.schema["doc_id"].dataType
         self.windows = written(item_windows(benchmark, length), "windows")
-        index = written(postings(docs), "postings")
+        self.shards = written(postings(docs), "postings", **{"parquet.block.size": str(ROW_GROUP)})
         #: doc_id, row, n_words: a row per document.
-        self.documents = index.filter("term IS NULL").select("doc_id", "row", "n_words")
-        #: term, row, at: the postings.
-        self.postings = index.filter("term IS NOT NULL").select("term", "row", "at")
+        self.documents = self.shards.select(F.explode(F.arrays_zip("ids", "rows", "sizes")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.rows").alias("row"), F.col("d.sizes").cast("long").alias("n_words"))
         distinct = self.windows.select("window").distinct()
         blocks = max(1, -(-distinct.count() // BLOCK_WINDOWS))
         self._parts = [self._ranked(distinct.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)) for k in range(blocks)]
 
     def _ranked(self, block: DataFrame) -> DataFrame:
-        """window, size, rank, term, offset: the terms of each window that can occur, rarest first."""
+        """window and rare: the (n, term, offset) of each window that can occur, rarest first."""
         each = block.select("window", F.posexplode(F.split("window", " ")).alias("offset", "term"))
-        counts = self.postings.join(F.broadcast(each.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum(F.size("at")).alias("n"))
-        known = each.join(counts, "term", "left").groupBy("window").agg(
-            F.count("*").cast("int").alias("size"), F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("rare"),
-        )
-        possible = known.filter(F.col("rare")[0]["n"] > 0)
-        return written(possible.select("window", "size", F.posexplode("rare").alias("rank", "a")).select("window", "size", "rank", "a.term", "a.offset"), "ranked")
-
-    def _rarest(self, ranked: DataFrame) -> DataFrame:
-        """window, size, rank, row, start: the lists of each window's rarest terms, shifted by the terms' offsets."""
-        met = self.postings.join(F.broadcast(ranked.filter(F.col("rank") < ANCHORS)), "term")
-        return met.select("window", "size", "rank", "row", F.explode("at").alias("at"), "offset").select("window", "size", "rank", "row", (F.col("at") - F.col("offset")).alias("start")).filter("start >= 0")
+        held = self.shards.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+        counts = held.join(F.broadcast(each.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+        known = each.join(counts, "term", "left").groupBy("window").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))).alias("rare"))
+        return written(known.filter(F.col("rare")[0]["n"] > 0), "ranked")
+
+    def _each_shard(self, ranked: DataFrame, find: Callable[[Shard, list], tuple[np.ndarray, np.ndarray, int]]) -> DataFrame:
+        """window, row, start and value, from the places, values and offset in the window that ``find`` gives for each shard and window."""
+        block = [(r["window"], [(x["term"], x["offset"]) for x in r["rare"]]) for r in ranked.collect()]  # BLOCK_WINDOWS rows at most
+        sent = ranked.sparkSession.sparkContext.broadcast(block)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, sizes, terms, counts, posts in zip(*batch.columns):
+                    ints = lambda x: x.values.to_numpy()
+                    shard = Shard(rows.as_py(), ints(sizes), terms.as_py(), ints(counts), ints(posts))
+                    out: list[list] = [[], [], [], []]
+                    for window, rare in sent.value:
+                        places, values, offset = find(shard, rare)
+                        if len(places):
+                            doc = shard.document(places)
+                            for column, more in zip(out, ([window] * len(places), [shard.rows[d] for d in doc], (places - shard.base[doc] - offset).tolist(), values.tolist())):
+                                column += more
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32())], ["window", "row", "start", "value"])
+
+        return self.shards.select("rows", "sizes", "terms", "counts", "posts").mapInArrow(search, "window string, row string, start long, value int")
 
     def phrases(self) -> DataFrame:
         """window, row, start, size: the exact occurrences, where the shifted lists of all of a window's terms meet."""
-        out = None
-        spot = ["window", "size", "row", "start"]
-        for ranked in self._parts:
-            few = self._rarest(ranked).groupBy(*spot).agg(F.count("*").alias("met")).filter(F.col("met") == F.least("size", F.lit(ANCHORS)))
-            few = written(few.select(*spot), "candidates")
-            # the other terms: only in rows that are left
-            rest = few.join(ranked.filter(F.col("rank") >= ANCHORS).drop("size", "rank"), "window").withColumn("at", F.col("start") + F.col("offset")).drop("offset")
-            lists = self.postings.join(few.select("row").distinct(), "row", "left_semi").select("row", "term", F.explode("at").alias("at"))
-            all_met = rest.join(lists, ["row", "term", "at"]).groupBy(*spot).agg(F.count("*").alias("met")).filter(F.col("met") == F.col("size") - ANCHORS)
-            found = few.filter(F.col("size") <= ANCHORS).unionByName(all_met.select(*spot))
-            out = found if out is None else out.unionByName(found)
-        return written(out, "phrases")
+
+        def find(shard: Shard, rare: list) -> tuple[np.ndarray, np.ndarray, int]:
+            places = shard.phrase(rare)
+            return places, np.full(len(places), len(rare)), 0
+
+        return written(reduce(DataFrame.unionByName, [self._each_shard(ranked, find) for ranked in self._parts]).withColumnRenamed("value", "size"), "phrases")
 
     def proximity(self, slop: int = 10) -> DataFrame:
         """window, row, start, apart: the two rarest terms within ``slop`` words of their places in the phrase, but not in them.
 
-        Positions are dealt to cells of ``slop`` words and meet in equal or adjacent cells, so a hot term makes no pairs beyond its near ones.
+        ``start`` is where the phrase would begin by the rarest term's place; it may lie before the document.
         """
-        out = None
-        for ranked in self._parts:
-            lists = self._rarest(ranked).select("window", "row", "rank", "start").withColumn("cell", F.floor(F.col("start") / slop))
-            first = lists.filter("rank = 0").select("window", "row", "start", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-            second = lists.filter("rank = 1").select("window", "row", F.col("start").alias("other"), "cell")
-            near = first.join(second, ["window", "row", "cell"]).withColumn("apart", F.abs(F.col("start") - F.col("other"))).filter(F.col("apart").between(1, slop))
-            near = near.groupBy("window", "row", "start").agg(F.min("apart").alias("apart"))
-            out = near if out is None else out.unionByName(near)
-        return out
+
+        def find(shard: Shard, rare: list) -> tuple[np.ndarray, np.ndarray, int]:
+            none = np.zeros(0, int)
+            return (*(shard.near(rare, slop) if len(rare) > 1 else (none, none)), rare[0][1])
+
+        return reduce(DataFrame.unionByName, [self._each_shard(ranked, find) for ranked in self._parts]).withColumnRenamed("value", "apart")
 
     def spans(self, phrases: DataFrame | None = None) -> DataFrame:
         """row, spans: the distinct (start, size) hit in each document, in order."""

@@ -67,8 +67,8 @@ def chunk_ends(data: bytes) -> np.ndarray:
     """The ends of the chunks of ``data``; the last is its length. Of equal hashes within reach the leftmost ends a chunk."""
     if not data:
         return np.zeros(0, np.int64)
-    h = rolling(np.frombuffer(data, np.uint8)).astype(np.int64)
-    pad = np.full(REACH, -1, np.int64)
+    h = np.maximum(rolling(np.frombuffer(data, np.uint8)), 1)
+    pad = np.zeros(REACH, h.dtype)
     before = _largest_of(np.concatenate([pad, h[:-1]]), REACH)
     after = _largest_of(np.concatenate([h, pad]), REACH + 1)
     ends = np.flatnonzero((h == after) & (h > before)) + 1

@@ -554,3 +554,27 @@ def test_repeating_rows_changes_no_passage(spark):
 
 def test_runs_of_one_character_make_few_chunks():
     assert len(substring_dedup.chunk_ends(b"a" * 5000)) <= 7 and len(substring_dedup.chunk_ends(b"ab" * 50_000)) <= 101
+
+
+def test_chat_roles_of_conversations_are_not_renamed(spark):
+    kinds = {1: ["user", "assistant"], 2: ["human", "bot"], 3: ["system", "user", "assistant"], 4: ["user"], 5: ["gpt", "model", "user"], 6: ["user", "assistant", "user", "assistant"], 7: ["", "assistant"]}
+    rows = [(c, i, role, f"{c} {i}") for c, roles in kinds.items() for i, role in enumerate(roles)]
+    table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, record string")
+    records = chat.records_of_turns(table)
+    made = chat.format_records(records)
+    assert made.select("layout_hash").distinct().count() == 4
+    got = {r["conv_id"]: [tuple(t) for t in r["back"]] for r in made.select("conv_id", chat.turns_of(F.col("formatted")).alias("back")).collect()}
+    assert got == {c: [(role, f"{c} {i}") for i, role in enumerate(roles)] for c, roles in kinds.items()}
+    assert {r["conv_id"]: r["n"] for r in made.select("conv_id", F.size("mask").alias("n")).collect()} == {c: roles.count("assistant") for c, roles in kinds.items()}
+    assert chat.format_records(chat.records_of_turns(table.limit(0))).count() == 0
+    empty = spark.createDataFrame([('{"messages":[]}',)], "record string")
+    assert chat.format_records(empty).select("turns", "formatted", "mask").first()[:] == ([], "", [])
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text"))
+    made = chat.format_records(chat.records_of_turns(rows))
+    got = made.select(F.size("turns").alias("turns"), F.sha2(chat.masked_text(F.col("formatted"), F.slice("mask", 1, 2000)), 256).alias("under"), F.size("mask").alias("spans"), F.col("mask")[n // 2 - 1].alias("last"), F.length("formatted").alias("n")).first()
+    assert (got["turns"], got["spans"], got["under"]) == (n, n // 2, hashlib.sha256("".join(f"t{2 * i + 1}" for i in range(2000)).encode()).hexdigest())
+    assert got["last"]["from"] + got["last"]["n"] + len("</turn>\n") == got["n"]

@@ -23,3 +23,10 @@ def build_session(app: str = "flowloom", cpus: int | str = "*", **conf: str) ->
     spark = SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the bytes of an Arrow batch, for tasks whose rows hold long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):  # the default: a setting of the user's own stays
+        spark.conf.set(key, str(most))

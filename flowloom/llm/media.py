@@ -3,10 +3,13 @@
 ``wav_of_bytes`` stores a payload losslessly as 8-bit mono samples; ``payload_of_wav`` reads it back with ``wave``.
 ``fingerprints`` takes short-time Fourier transforms (Hann windows of 576 samples, hop 288), keeps the strongest bin of each of six
 bands in frames where it stands out, and pairs each peak with the next peaks in time: (frame, f1, f2, gap) as a
-time-coded array. A file is read in slices of frames, so memory is bounded by the slice, not by the file.
+time-coded array. A file is read in slices of frames, so memory is bounded by the slice, not by the file. ``stored_media`` writes
+both columns to the shared folder, and all digests are taken from what is read back.
 
 Defined results: a null text is the empty payload; a payload is padded with bytes 255 to a positive multiple of 576;
-equal payloads have equal files and features; silence has no peaks and an empty array; an empty table gives no rows.
+equal payloads have equal files and features; silence has no peaks and an empty array; repeated rows and null ids are
+documents like any other; an empty table gives no rows; extra columns pass through ``with_media``, where columns named media or
+fingerprint are replaced, and are left out of ``media_digests``.
 """
 
 from __future__ import annotations
@@ -19,16 +22,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.plans.scratch import written
+
 FRAME, HOP, RATE = 576, 288, 8000
 #: Edges of the bands of spectral bins in which peaks are sought; bin 0 (the mean) is left out.
 BANDS = (1, 10, 20, 40, 80, 160, 289)
 #: A peak pairs with the peaks of this many later frames, and at most FAN of them.
 AHEAD, FAN = 3, 3
 SLICE = 2048
+#: Bytes of stored columns that a reader decodes at once.
+ROW_GROUP = 16 << 20
 _HANN = np.hanning(FRAME).astype(np.float32)
 FINGERPRINT = T.ArrayType(T.StructType([T.StructField("t", T.IntegerType()), T.StructField("hash", T.IntegerType())]))
 
@@ -100,10 +107,15 @@ def wav_column(text: pd.Series) -> pd.Series:
     return text.map(lambda t: wav_of_bytes(padded((t or "").encode())))
 
 
-@F.pandas_udf(FINGERPRINT)
-def fingerprint_column(media: pd.Series) -> pd.Series:
+def fingerprint_column(media: Column) -> Column:
     """WAV file -> its time-coded fingerprints."""
-    return media.map(lambda m: [{"t": int(t), "hash": int(h)} for t, h in fingerprints(m)])
+    return F.arrays_zip(_marks(media)["t"].alias("t"), _marks(media)["hash"].alias("hash"))
+
+
+@F.pandas_udf(T.StructType([T.StructField(name, T.ArrayType(T.IntegerType())) for name in ("t", "hash")]))
+def _marks(media: pd.Series) -> pd.DataFrame:
+    found = [fingerprints(m).astype(np.int32) for m in media]
+    return pd.DataFrame({"t": [x[:, 0] for x in found], "hash": [x[:, 1] for x in found]})
 
 
 def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -113,25 +125,27 @@ def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
 
 DIGESTS = T.StructType(
     [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType())]
-    + [T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())]
 )
 
 
 @F.pandas_udf(DIGESTS)
-def media_digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """What a stored file says of itself, from its bytes alone."""
+def payload_digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """What the samples of a stored file say."""
     for media in batches:
-        rows = []
-        for m in media:
-            payload, marks = payload_of_wav(m), fingerprints(m)
-            feature = f"{len(marks)}:{hashlib.sha256(marks.astype('<i4').tobytes()).hexdigest()[:32]}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-        yield pd.DataFrame(rows, columns=DIGESTS.names)
+        payloads = [payload_of_wav(m) for m in media]
+        yield pd.DataFrame([(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])) for p in payloads], columns=DIGESTS.names)
 
 
-def media_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document the digests of its stored file; files stay in the Python worker between storing and reading."""
-    stored = docs.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), media_digest(wav_column(F.col(text))).alias("_d"))
-    return stored.select(key, "n_bytes", "_d.*")
+def stored_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_bytes, media and fingerprint of each document, written to the shared folder and read back."""
+    rows = docs.select(F.col(key), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("_text"))
+    # small row groups: a reader decodes one at a time
+    return written(with_media(rows, "_text").drop("_text"), "media", **{"parquet.block.size": str(ROW_GROUP)})
 
 
+def media_digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Per document the digests of its stored file and its stored fingerprints, with these as the last column."""
+    marks = F.array_join(F.transform("fingerprint", lambda x: F.concat_ws(":", x["t"], x["hash"])), ",")
+    feature = F.concat_ws(":", F.size("fingerprint"), F.substring(F.sha2(marks, 256), 1, 32))
+    back = stored_media(docs, text, key).withColumn("_d", payload_digest("media"))
+    return back.select(key, "n_bytes", "_d.*", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "fingerprint")

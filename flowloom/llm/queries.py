@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import chat, decontaminate, jaccard_join, license_scan, media, mixing, quality, sharding, substring_dedup, warc
-from flowloom.plans.scratch import new_path
+from flowloom.plans.scratch import new_path, written
+from flowloom.plans.session import bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,8 +39,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
-    warc.write_archives(_table(spark, sf_dir, "pages"), folder).agg(F.sum("records")).collect()  # one number
-    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = written(warc.write_archives(_table(spark, sf_dir, "pages"), folder), "warc-manifest")
+    return warc.read_archives(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

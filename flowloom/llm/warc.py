@@ -1,9 +1,10 @@
 """WARC archives compressed with Zstandard and a shared dictionary.
 
 An archive starts with a skippable frame that holds the dictionary; then comes one frame per record. The writer packs
-records of ``pages`` into archives of bounded size, in tasks; each is written under a name of its attempt and renamed, so
-retried and lost tasks leave no half archives. The reader loads the dictionary from the leading frame, decodes frame
-by frame, and checks each record's version line, headers, lengths and digests.
+records of ``pages`` into archives of bounded size, in tasks, under names of the task's attempt. Its result is the manifest;
+once that is written, it names exactly the archives of the attempts that counted, whatever retried or lost tasks left in
+the folder. The reader takes the archives of a manifest, loads the dictionary from the leading frame, decodes frame by
+frame, and checks each record's version line, headers, lengths and digests, and the number of records of each archive.
 
 Payloads of at least ``dedup_from`` bytes that are equal are stored once: the record of the smallest page_id is the
 response, others are revisits that keep the HTTP head and refer to it.
@@ -25,6 +26,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm.numbering import looked_up
+from flowloom.plans.scratch import written
+
 #: The skippable frame type that holds a dictionary at the start of an archive.
 DICT_MAGIC = 0x184D2A5D
 #: The dictionary is trained on this many pages at most, and on this many bytes of each.
@@ -39,16 +43,18 @@ RECORD = "page_id long, payload_bytes long, payload_digest string, record_type s
 
 
 def with_first_copies(pages: DataFrame, dedup_from: int = 100) -> DataFrame:
-    """page_id, url, html, digest and refers_to (null for responses). Only repeated payloads have a partner in the join."""
-    rows = pages.select(
-        "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"),
-    ).withColumn("digest", F.sha2("html", 256))
-    repeated = (
-        rows.filter(F.octet_length("html") >= dedup_from).groupBy("digest")
-        .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 AND _first IS NOT NULL").drop("_n")
-    )
-    joined = rows.join(repeated, "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
+    """page_id, url, html, digest and refers_to (null for responses).
+
+    Equal payloads are found among ids and digests alone; a payload meets its first copy by its own page_id, so a payload
+    that many pages share is not gathered.
+    """
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    keys = written(rows.filter(F.octet_length("html") >= dedup_from).select("page_id", F.sha2("html", 256).alias("digest")), "page-digests")
+    repeated = keys.groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 AND _first IS NOT NULL")
+    found = looked_up(keys, written(repeated, "repeated"), "digest").filter("NOT page_id <=> _first AND _first IS NOT NULL")
+    refers = written(found.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "_first").distinct(), "revisits")
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
+    return rows.withColumn("digest", F.sha2("html", 256)).join(refers, same, "left").select("page_id", "url", "html", "digest", F.col("_first").alias("refers_to"))
 
 
 def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -139,8 +145,9 @@ def read_archive(content: bytes) -> Iterator[tuple]:
 
 
 def trained_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample (SAMPLE_PAGES pages, SAMPLE_BYTES of each); empty where there is too little."""
-    sample = [r[0].encode() for r in pages.filter("html IS NOT NULL").select(F.substring("html", 1, SAMPLE_BYTES)).limit(SAMPLE_PAGES).collect() if r[0]]
+    """A dictionary from a bounded sample (SAMPLE_PAGES pages, by a hash of their ids, SAMPLE_BYTES of each); empty where there is too little."""
+    chosen = pages.filter("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(SAMPLE_PAGES)
+    sample = [r[0].encode() for r in chosen.select(F.substring("html", 1, SAMPLE_BYTES)).collect() if r[0]]
     if sum(map(len, sample)) < 8 * DICT_BYTES // 4:
         return b""
     try:
@@ -167,10 +174,9 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes | None = Non
 
         def closed() -> pd.DataFrame:
             content = dictionary_frame(words) + b"".join(frames)
-            name = f"{top}/pages-{part:06d}-{number:04d}.warc.zst"
-            with store.open_output_stream(f"{top}/.{attempt}-{number}") as out:
+            name = f"{top}/pages-{part:06d}-{number:04d}-{attempt}.warc.zst"
+            with store.open_output_stream(name, compression=None) as out:
                 out.write(content)
-            store.move(f"{top}/.{attempt}-{number}", name)
             return pd.DataFrame({"path": [name], "records": [len(frames)], "bytes": [len(content)]})
 
         size = 0
@@ -190,26 +196,46 @@ def write_archives(pages: DataFrame, folder: str, dictionary: bytes | None = Non
     return text.mapInPandas(pack, "path string, records long, bytes long")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all archives below ``folder``: RECORD. A record that fails a check fails the job."""
+def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
+    """The records of the archives that a written ``manifest`` names, or else of all archives below ``folder``: RECORD.
+
+    A record that fails a check fails the job, and so does an archive that holds another number of records than its manifest says.
+    """
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
+    def unpacked(content: bytes, records: int | None) -> Iterator[pd.DataFrame]:
+        rows, size, n = [], 0, 0
+        for row in read_archive(content):
+            rows.append(row)
+            size += len(row[-1])
+            n += 1
+            if size > 4 << 20:
+                yield frame(rows)
+                rows, size = [], 0
+        if rows:
+            yield frame(rows)
+        if records is not None and n != records:
+            raise ValueError(f"{n} records in an archive of {records}")
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, records in zip(batch["path"], batch["records"]):
+                with store.open_input_stream(path, compression=None) as opened:
+                    content = opened.read()
+                yield from unpacked(content, records)
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows, size = [], 0
-                for row in read_archive(content):
-                    rows.append(row)
-                    size += len(row[-1])
-                    if size > 4 << 20:
-                        yield frame(rows, names)
-                        rows, size = [], 0
-                if rows:
-                    yield frame(rows, names)
-
-    def frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield from unpacked(content, None)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
+    if manifest is not None:
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return manifest.select("path", "records").repartition(tasks, "path").mapInPandas(named, RECORD)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInPandas(unpack, RECORD)
+    return files.mapInPandas(listed, RECORD)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from flowloom.llm import chat, decontaminate, jaccard_join, license_scan, media, mixing, quality, queries, sharding, substring_dedup, warc
-from flowloom.plans.scratch import new_path
+from flowloom.plans.scratch import new_path, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -578,3 +578,50 @@ def test_a_conversation_of_very_many_turns(spark):
     got = made.select(F.size("turns").alias("turns"), F.sha2(chat.masked_text(F.col("formatted"), F.slice("mask", 1, 2000)), 256).alias("under"), F.size("mask").alias("spans"), F.col("mask")[n // 2 - 1].alias("last"), F.length("formatted").alias("n")).first()
     assert (got["turns"], got["spans"], got["under"]) == (n, n // 2, hashlib.sha256("".join(f"t{2 * i + 1}" for i in range(2000)).encode()).hexdigest())
     assert got["last"]["from"] + got["last"]["n"] + len("</turn>\n") == got["n"]
+
+
+def brute_marks(data):
+    """Fingerprints of samples by a plain Fourier sum over each frame."""
+    x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128
+    k = np.arange(576 // 2 + 1)
+    waves = np.exp(-2j * np.pi * np.outer(k, np.arange(576)) / 576)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(576) / 575)
+    found = []
+    for frame in range((len(x) - 576) // 288 + 1):
+        part = x[frame * 288 : frame * 288 + 576]
+        power = np.abs(waves @ ((part - part.mean()) * window))
+        for lo, hi in zip((1, 10, 20, 40, 80, 160), (10, 20, 40, 80, 160, 289)):
+            top = max(range(lo, hi), key=lambda b: (round(power[b], 4), -b))
+            if power[top] > max(2 * power[1:].mean(), 1e-3):
+                found.append((frame, top))
+    out = []
+    for i, (t, f) in enumerate(found):
+        out += [(t, (f << 16) | (g << 4) | (u - t)) for u, g in found[i + 1 : i + 4] if u - t <= 3]
+    return sorted(out)
+
+
+def test_stored_media_against_brute_force(spark):
+    rows = make(spark, EDGE + [(20, words(400), "s"), (21, words(400), "s"), (20, words(400), "s")]).withColumn("fingerprint", F.lit("clash")).withColumn("_text", F.lit("clash"))
+    text = [r["text"] for r in rows.collect()]
+    got = media.media_digests(rows).collect()
+    assert len(got) == len(text) and media.media_digests(rows.limit(0)).count() == 0
+    by = {media.padded((t or "").encode()): None for t in text}
+    want = {hashlib.sha256(p).hexdigest(): (len(p), zlib.crc32(p[-32:]), hashlib.sha256(media.wav_of_bytes(p)).hexdigest(), brute_marks(p)) for p in by if len(p) < 20_000}
+    checked = [r for r in got if r["payload_sha256"] in want]
+    assert len(checked) == len(text) - 1
+    for r in checked:
+        assert (r["payload_bytes"], r["tail_crc32"], r["media_sha256"], [tuple(x) for x in r["fingerprint"]]) == want[r["payload_sha256"]]
+
+
+def test_archives_of_lost_attempts_are_not_read(spark):
+    rows = [(i, f"http://{i % 3}", "<p>" + "x" * (200 + i % 5) + "</p>", "clash") for i in range(40)] + [(None, None, None, None), (7, "http://1", "<p>" + "x" * 202 + "</p>", None), (50, "u", "y" * 300_000, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string")
+    folder = new_path(spark, "warc-lost")
+    written_twice = [warc.write_archives(pages, folder, archive_bytes=400) for _ in range(2)]
+    first, second = (written(m, "manifest") for m in written_twice)
+    got = warc.read_archives(spark, folder, second)
+    assert got.count() == len(rows) and warc.read_archives(spark, folder).count() == 2 * len(rows)
+    hot = spark.createDataFrame([(i, "u", "same " * 40) for i in range(500)], "page_id long, url string, html string")
+    assert warc.with_first_copies(hot).groupBy("refers_to").count().orderBy("refers_to").collect() == [(None, 1), (0, 499)]
+    with pytest.raises(Exception, match="records in an archive of"):
+        warc.read_archives(spark, folder, second.withColumn("records", F.col("records") + 1)).count()

@@ -6,13 +6,14 @@ shard's source counts are one multinomial draw). The k-th slot of a source takes
 k div blocks, where perm is a keyed permutation of the block numbers, and slots and blocks are joined by (source, block).
 
 The multinomial totals miss the targets by a random few slots; these are settled, so that each source fills exactly
-the slots that its target asks for: surplus draws are left out, missing ones are added.
+the slots that its target asks for: surplus draws are left out and missing ones added, at random shards both.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and share ``share`` times all words. None
 gets more than ``most`` times its own words; the excess goes to the others by weight.
 
 Defined results: a null text has no words and is never taken; an empty table gives no rows; repeated rows are separate
-documents; a null source is a source of its own; a null doc_id is a document like any other.
+documents; a null source is a source of its own; a null doc_id is a document like any other; words of very long texts are
+counted whole; extra columns are ignored by ``Mix`` and kept by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowloom.llm.numbering import bucket_of
+from flowloom.llm.numbering import bucket_of, row_order
 from flowloom.plans.scratch import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CELLS = 1024
 #: Rounds of the block permutation. Each round swaps half of all pairs i, key - i.
 ROUNDS = 16
+#: Shards of which the draws are summed up at once.
+SHARD_RANGE = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -72,10 +75,10 @@ def permuted(index: Column, n: Column, *keys: Column) -> Column:
 class Mix:
     """The mix of a table. ``documents``, ``slots`` and ``pieces`` are DataFrames; texts are never shuffled for them."""
 
-    def __init__(self, docs: DataFrame, block_words: int = 128, shard_slots: int = 4096, seed: int = 0, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0):
+    def __init__(self, docs: DataFrame, block_words: int = 128, shard_slots: int = 4096, seed: int = 0, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, identity: Column | None = None):
         self.block_words, self.shard_slots, self.seed = block_words, shard_slots, seed
         sized = docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("_hash"),
+            "doc_id", "source", word_count(F.col("text")).alias("size"), (F.xxhash64("doc_id", "text") if identity is None else identity).alias("_hash"),
         ).withColumn("_bucket", bucket_of(F.col("_hash")))
         sized = written(sized, "mix-sized")
         buckets = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
@@ -119,24 +122,33 @@ class Mix:
             (F.shiftrightunsigned(F.xxhash64(F.col("id"), F.lit(self.seed)), 11) / F.lit(float(2**53))).alias("u"),
         ).withColumn("cell", F.floor(F.col("u") * CELLS))
         drawn = written(draws.join(cells, "cell").filter("lo <= u AND u < hi").groupBy("shard", "sid").agg(F.count("*").alias("drawn")), "mix-draws")
-        earlier = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-        placed = drawn.withColumn("first", F.coalesce(F.sum("drawn").over(earlier), F.lit(0))).join(self.targets.select("sid", "fills"), "sid")
-        kept = placed.select("shard", "sid", "first", F.least(F.col("drawn"), F.col("fills") - F.col("first")).alias("n")).filter("n > 0")
-        got = self.targets.filter("fills > 0").select("sid", "fills").join(drawn.groupBy("sid").agg(F.sum("drawn").alias("had")), "sid", "left")
-        more = got.select("sid", F.coalesce(F.col("had"), F.lit(0)).alias("first"), (F.col("fills") - F.coalesce(F.col("had"), F.lit(0))).alias("n")).filter("n > 0")
+        # running numbers of each source's draws: over ranges of shards first, then within a range
+        drawn = drawn.withColumn("range", F.expr(f"shard div {SHARD_RANGE}"))
+        ranges = drawn.groupBy("sid", "range").agg(F.sum("drawn").alias("_d"))
+        ranges = ranges.withColumn("_before", F.coalesce(F.sum("_d").over(W.partitionBy("sid").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        inside = W.partitionBy("sid", "range").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+        placed = drawn.join(ranges.drop("_d"), ["sid", "range"]).withColumn("first", F.col("_before") + F.coalesce(F.sum("drawn").over(inside), F.lit(0)))
+        got = self.targets.filter("fills > 0").select("sid", "fills").join(ranges.groupBy("sid").agg(F.sum("_d").alias("had")), "sid", "left").withColumn("had", F.coalesce("had", F.lit(0)))
+        #: sid, fills and had: slots that a source's target asks for, and its draws.
+        self.settled = written(got, "mix-settled")
+        more = self.settled.filter("fills > had").select("sid", F.col("had").alias("first"), (F.col("fills") - F.col("had")).alias("n"))
         dealt = more.select(
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"), "sid", "first",
         ).select(F.pmod(F.xxhash64("sid", "i", F.lit(self.seed)), F.lit(self.shards)).alias("shard"), "sid", (F.col("first") + F.col("i")).alias("first"), F.lit(1).cast("long").alias("n"))
-        return kept.unionByName(dealt)
+        return placed.select("shard", "sid", "first", F.col("drawn").alias("n")).unionByName(dealt)
 
     def slots(self) -> DataFrame:
         """shard, sid, turn (number of the slot within its source), epoch and block."""
         # few short rows that unfold to very many: dealt out before they do
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         each = self.shard_counts().repartition(tasks, "shard", "sid", "first").select("shard", "sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("turn"))
-        sized = each.join(self.targets.filter("blocks > 0").select("sid", "blocks"), "sid")
+        goal = self.targets.filter("blocks > 0").select("sid", "blocks").join(self.settled, "sid")
+        sized = each.join(F.broadcast(goal), "sid")  # a row per source
+        # of surplus draws those go that a permutation of all draws puts behind the target: the rest are numbered by their places in it
+        surplus = F.when(F.col("had") > F.col("fills"), permuted(F.col("turn"), F.col("had"), F.col("sid"), F.lit(self.seed + 1))).otherwise(F.col("turn"))
+        kept = sized.withColumn("turn", surplus).filter("turn < fills")
         epoch = F.expr("turn div blocks")
-        return sized.select("shard", "sid", "turn", epoch.alias("epoch"), permuted(F.expr("turn % blocks"), F.col("blocks"), F.col("sid"), epoch, F.lit(self.seed)).alias("block"))
+        return kept.select("shard", "sid", "turn", epoch.alias("epoch"), permuted(F.expr("turn % blocks"), F.col("blocks"), F.col("sid"), epoch, F.lit(self.seed)).alias("block"))
 
     def blocks(self) -> DataFrame:
         """sid, block, start (names the document), from and to: which words of which documents make up each block."""
@@ -167,27 +179,29 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: for each document and epoch a row with the words that the mix takes, in the input's columns.
 
     A document taken whole keeps its text as it is; of others the taken words are joined by spaces. Documents of which
-    the mix takes nothing go. ``n_chars`` is recounted where present. Empty documents are never taken.
+    the mix takes nothing go. ``n_chars`` is recounted where present. Empty documents are never taken. Rows equal in all
+    columns are copies: each is taken by itself, and all show the columns of one.
     """
-    mix = Mix(docs, **settings)
+    mix = Mix(docs, identity=row_order(docs), **settings)
     epochs = mix.pieces().groupBy("sid", "start", "epoch").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("_spans"))
     named = mix.documents.filter("size > 0").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"), "sid", "start", F.col("size").alias("_size"))
-    # rows equal in id and text are interchangeable: they are told apart by a rank on both sides
-    same = W.partitionBy("_id", "_h").orderBy("sid", "start")
-    wanted = epochs.join(named.withColumn("_copy", F.row_number().over(same)), ["sid", "start"])
+    wanted = written(epochs.join(named, ["sid", "start"]).select("_id", "_h", "epoch", "_spans", "_size"), "mix-wanted")
+    copies = written(named.groupBy("_id", "_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_id", "_h"), "mix-copies")
     # packed, so that no column of the input clashes with ours
-    packed = docs.select(F.struct("*").alias("_doc"), "doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("_h"))
-    rows = packed.withColumn("_copy", F.row_number().over(W.partitionBy("doc_id", "_h").orderBy("source"))).select("_doc", "doc_id", "text", "_h", "_copy")
-    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
-    part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_words"), (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " ")
+    rows = docs.select(F.struct("*").alias("_doc"), row_order(docs).alias("_row"))
+
+    def same(other: DataFrame) -> Column:
+        return F.col("_doc.doc_id").eqNullSafe(other["_id"]) & (F.col("_row") == other["_h"])
+
+    single = rows.join(copies, same(copies), "left_anti")
+    one_of_many = rows.join(copies, same(copies), "left_semi").groupBy(F.col("_doc.doc_id").alias("_key"), "_row").agg(F.first("_doc").alias("_doc")).select("_doc", "_row")
+    joined = single.unionByName(one_of_many).join(wanted, same(wanted))
     taken_words = F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"])
-    joined = rows.join(
-        wanted.select("_id", F.col("_h").alias("_h2"), F.col("_copy").alias("_copy2"), "epoch", "_spans", "_size"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_h2")) & (F.col("_copy") == F.col("_copy2")),
-    ).withColumn("_words", words)
-    text = F.when(taken_words >= F.col("_size"), F.col("text")).otherwise(part)
-    out = joined.withColumn("text", text)
-    whole = F.col("_doc").withField("text", F.col("text"))
+    words = F.split(F.regexp_replace("_doc.text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
+    # an array of one splits a text once, and only if it is cut
+    part = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(w, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")))), " "))[0]
+    out = joined.select("_doc", F.when(taken_words >= F.col("_size"), F.col("_doc.text")).otherwise(part).alias("_taken"))
+    whole = F.col("_doc").withField("text", F.col("_taken"))
     if "n_chars" in docs.columns:
-        whole = whole.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        whole = whole.withField("n_chars", F.length("_taken").cast(docs.schema["n_chars"].dataType))
     return out.select(whole.alias("_doc")).select("_doc.*")

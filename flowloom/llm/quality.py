@@ -5,12 +5,16 @@ of adjacent labels by a transition weight. Forward-backward gives the marginal p
 marginals, weighted by line length, make the document's mean, which a logistic curve fitted on the training documents
 turns into the probability of label 1.
 
-Training takes SAMPLE_DOCS labelled documents at most (chosen by a hash of the id) and SAMPLE_LINES lines of each; this
-bounds the driver's memory. All else covers all documents and whole texts. Line labels start as the document's; then the
-field relabels the lines of bad documents that it finds good, and is fitted once more.
+Training takes SAMPLE_DOCS labelled documents at most, in the order of a hash of the id, and of these whole documents while
+all their lines stay within SAMPLE_LINES; this bounds the driver's memory. All else covers all documents and whole
+texts. Line labels start as the document's; then the field relabels the lines of bad documents that it finds good, and is
+fitted once more. For the fit, a document's chain is parted after every CHAIN_LINES lines: each line keeps the features of both
+its neighbours, and only the transition at the cut isn't counted.
 
 Defined results: a null or empty text is one empty line and is scored like any other; no labelled rows give every
-document score 1.0 (nothing is rejected); rows are scored one by one, so repeats and ties agree; extra columns pass.
+document score 1.0 (nothing is rejected); of a doc_id's conflicting labels the larger counts, and of its different texts the one
+of the least hash trains; ids may have any type; rows are scored one by one, so repeats and ties agree; very long texts
+are scored whole, one at a time; an empty table gives no rows; extra columns pass.
 """
 
 from __future__ import annotations
@@ -26,7 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE_DOCS, SAMPLE_LINES = 4000, 64
+from flowloom.plans.scratch import written
+
+SAMPLE_DOCS, SAMPLE_LINES = 4000, 200_000
+#: Lines of a chain in training.
+CHAIN_LINES = 64
 #: Documents of this score or more are accepted.
 ACCEPT = 0.3
 SYMBOLS = re.compile(r"[#$%&*+=<>@\\^_~|]")
@@ -50,9 +58,9 @@ def line_features(line: str, seen: int) -> list[float]:
     ]
 
 
-def document_features(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each line, those of the lines before and after beside them, and line lengths."""
-    lines = (text or "").split("\n")[:most]
+def document_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each line, and line lengths."""
+    lines = (text or "").split("\n")
     seen: dict[str, int] = {}
     rows = np.empty((len(lines), N))
     for i, line in enumerate(lines):
@@ -132,27 +140,27 @@ def _logit(p: float) -> float:
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 2, steps: int = 120) -> Model:
-    """Fits the field by gradient ascent on its likelihood, all documents of a step side by side, then the curve."""
+    """Fits the field by gradient ascent on its likelihood, all chains side by side, then the curve."""
     if not len(docs):
         return Model()
     if len(set(labels.tolist())) < 2:
         return Model() if labels[0] == 1 else Model(np.zeros(N), np.ones(N), np.zeros(3 * N + 1), np.zeros((2, 2)), (0.0, -3.0))
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i][0]))
-    docs, labels = [docs[i] for i in order], labels[order]
     every = np.concatenate([d[0] for d in docs])
     mean, scale = every.mean(axis=0), np.maximum(every.std(axis=0), 1e-3)
     x = [_design(d[0], mean, scale) for d in docs]
-    sizes = np.array([len(d) for d in x])
+    y = [np.full(len(d), float(label)) for d, label in zip(x, labels)]
+    # the chains, longest first: (document, first line)
+    chains = sorted(((i, at) for i, d in enumerate(x) for at in range(0, len(d), CHAIN_LINES)), key=lambda c: -min(CHAIN_LINES, len(x[c[0]]) - c[1]))
+    sizes = np.array([min(CHAIN_LINES, len(x[i]) - at) for i, at in chains])
     longest = int(sizes[0])
     live = [int((sizes > t).sum()) for t in range(longest)]
-    by_time = [np.stack([x[i][t] for i in range(live[t])]) for t in range(longest)]
-    y = [np.full(len(d), float(label)) for d, label in zip(x, labels)]
+    by_time = [np.stack([x[i][at + t] for i, at in chains[: live[t]]]) for t in range(longest)]
     # a bad document weighs as much as the good ones that outnumber it do, at most fivefold
     balance = min(5.0, max(1.0, (labels == 1).sum() / max(1, (labels == 0).sum())))
-    weight = np.where(labels == 1, 1.0, balance)
+    weight = np.array([1.0 if labels[i] == 1 else balance for i, _ in chains])
     w, trans = np.zeros(3 * N + 1), np.zeros((2, 2))
     for turn in range(rounds):
-        truth = [np.array([y[i][t] for i in range(live[t])]) for t in range(longest)]
+        truth = [np.array([y[i][at + t] for i, at in chains[: live[t]]]) for t in range(longest)]
         w, trans = _ascend(by_time, truth, live, weight, w, trans, steps)
         if turn + 1 < rounds:
             for i in np.flatnonzero(labels == 0):
@@ -165,7 +173,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
 
 
 def _ascend(by_time, truth, live, weight, w, trans, steps):
-    """Adam on the conditional log likelihood; forward-backward runs over lines, vectorised over documents."""
+    """Adam on the conditional log likelihood; forward-backward runs over lines, vectorised over chains."""
     longest, n = len(by_time), live[0]
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     lines = sum(live)
@@ -230,19 +238,28 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from labelled documents that aren't held out: ``sample_docs`` at most."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("_label"))
-    chosen = known.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Model:
+    """A model from labelled documents that aren't held out: ``sample_docs`` at most, whole, of ``sample_lines`` lines together at most."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("_label"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.groupBy("doc_id").agg(F.max("_label").alias("_label")).orderBy(*order).limit(sample_docs)
+    # sample_docs rows: a broadcast of proven size; one text for each id
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("_label").alias("_label"), F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("_t"))
+    texts = written(texts.select(F.col("doc_id").cast("string").alias("doc_id"), "_label", "_t.text", *[o.alias(f"_o{i}") for i, o in enumerate(order)]), "training-texts")
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    fit_in, total = [], 0
+    for r in texts.select("doc_id", lines.alias("n"), "_o0", "_o1").orderBy("_o0", "_o1").collect():  # sample_docs short rows at most
+        if total + r["n"] <= sample_lines:
+            fit_in.append(r["doc_id"])
+            total += r["n"]
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [document_features(t, SAMPLE_LINES) for t in batch["text"]]
+            made = [document_features(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["_label"], "rows": [r.ravel() for r, _ in made], "lengths": [n for _, n in made]})
 
-    # sample_docs rows: a broadcast of proven size
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(featured, "doc_id long, label int, rows array<double>, lengths array<double>")
-    got = sorted(rows.limit(2 * sample_docs).collect(), key=lambda r: (r["doc_id"], r["rows"]))
+    taken = texts.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fit_in], "doc_id string")), "doc_id").select("doc_id", "_label", "text")
+    got = sorted(taken.mapInPandas(featured, "doc_id string, label int, rows array<double>, lengths array<double>").collect(), key=lambda r: r["doc_id"])  # sample_lines lines at most
     return fit([(np.array(r["rows"]).reshape(-1, N), np.array(r["lengths"])) for r in got], np.array([r["label"] for r in got]))
 
 

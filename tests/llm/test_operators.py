@@ -625,3 +625,27 @@ def test_archives_of_lost_attempts_are_not_read(spark):
     assert warc.with_first_copies(hot).groupBy("refers_to").count().orderBy("refers_to").collect() == [(None, 1), (0, 499)]
     with pytest.raises(Exception, match="records in an archive of"):
         warc.read_archives(spark, folder, second.withColumn("records", F.col("records") + 1)).count()
+
+
+def test_training_takes_whole_texts_and_one_text_for_each_id(spark):
+    good, bad = "A plain line of words that ends well.", "$$ ## @@ || ~~ ## ^^ $$ ||"
+    long = lambda k: "\n".join([good] * 64 + [bad] * 60 + [f"x{k}"])  # noqa: E731  bad beyond the 64th line alone
+    rows = [(i, "\n".join([good] * 70), "s") for i in range(30)] + [(100 + i, long(i), "s") for i in range(30)] + [(100, long(99), "s")] * 3
+    docs = make(spark, rows).withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    labels = docs.select("doc_id", F.when(F.col("text").contains("##"), 0).otherwise(1).alias("quality")).distinct()
+    model = quality.train(docs, labels)
+    assert model.score("\n".join([good] * 50)) > 0.6 > 0.4 > model.score(long(0))
+    again = quality.train(docs.orderBy(F.desc("text")).repartition(3), labels)
+    assert np.allclose(again.weights, model.weights) and quality.train(docs, labels, sample_lines=500).weights is not None
+
+
+def test_surplus_draws_are_settled_at_random_shards(spark):
+    rows = make(spark, [(i, words(200, i), f"s{i % 3}") for i in range(200)])
+    mix = mixing.Mix(rows, block_words=4, shard_slots=100)
+    got = mix.slots().toPandas()
+    fills = {r["sid"]: (r["fills"], r["had"]) for r in mix.settled.collect()}
+    assert any(had > n for n, had in fills.values())
+    for sid, part in got.groupby("sid"):
+        assert sorted(part["turn"]) == list(range(fills[sid][0]))
+    counts = got.groupby("shard").size()
+    assert counts.std() < 20 and abs(counts.iloc[-10:].mean() - counts.mean()) < 15

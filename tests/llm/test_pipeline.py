@@ -91,3 +91,23 @@ def test_stages_keep_columns_of_any_name(spark, sf_dir):
         assert set(odd.columns) <= set(got.columns) and len(set(got.columns)) == len(got.columns)
         rows = got.select("doc_id", *extra).collect()
         assert rows and all(r[name] == f"{name}-{r['doc_id']}" for r in rows for name in extra)
+
+
+def test_stages_on_empty_tables_nulls_and_repeats(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    line = "This is a plain sentence of a normal document, and it goes on for a while until it ends."
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (None, line, "en", "b", len(line)), (3, line + " More.", "en", None, 10), (3, line + " More.", "en", None, 10), (4, "b " * 20_000, "en", "a", 40_000)]
+    docs = spark.createDataFrame(rows, schema)
+    for number, (name, stage) in enumerate(pipeline.STAGES):
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+        got = stage(spark, docs, sf_dir)
+        kept = [r["doc_id"] for r in got.collect()]
+        assert set(kept) <= {1, 2, 3, 4, None} and set(docs.columns) <= set(got.columns), name
+        if name == "n-gram jaccard join":
+            assert sorted(map(str, kept)) == ["1", "2", "3", "4"]
+        if name == "benchmark decontamination":
+            assert len(kept) == len(rows)
+        if name == "mixing sources":
+            assert not set(kept) & {1, 2}
+        if name == "sharding":
+            assert len(kept) == len(rows)

@@ -146,7 +146,8 @@ class Mix:
         sized = each.join(F.broadcast(goal), "sid")  # a row per source
         # of surplus draws those go that a permutation of all draws puts behind the target: the rest are numbered by their places in it
         surplus = F.when(F.col("had") > F.col("fills"), permuted(F.col("turn"), F.col("had"), F.col("sid"), F.lit(self.seed + 1))).otherwise(F.col("turn"))
-        kept = sized.withColumn("turn", surplus).filter("turn < fills")
+        # made by a generator, which is evaluated once, however often the number is used
+        kept = sized.select("shard", "sid", "blocks", "fills", F.explode(F.array(surplus)).alias("turn")).filter("turn < fills")
         epoch = F.expr("turn div blocks")
         return kept.select("shard", "sid", "turn", epoch.alias("epoch"), permuted(F.expr("turn % blocks"), F.col("blocks"), F.col("sid"), epoch, F.lit(self.seed)).alias("block"))
 

@@ -155,11 +155,12 @@ def scale_with(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFram
 
 def fit_categories(train: DataFrame, column: str, least_share: float = 0.001) -> DataFrame:
     """value, index: categories with at least that share of training rows; null is the category 'nan'. Rare ones share index 0. [H6]"""
-    from pyspark.sql import Window as W
+    from flowloom.operators.ranges import running
 
     counts = train.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("value")).agg(F.count("*").alias("n"))
-    marked = counts.withColumn("often", F.col("n") >= F.sum("n").over(W.partitionBy()) * F.lit(least_share))
-    return marked.withColumn("index", F.when(F.col("often"), F.sum(F.col("often").cast("int")).over(W.orderBy("value").rowsBetween(W.unboundedPreceding, 0))).otherwise(0)).select("value", "index")
+    marked = counts.join(F.broadcast(counts.agg(F.sum("n").alias("_all"))), F.lit(True)).withColumn("often", F.col("n") >= F.col("_all") * F.lit(least_share))
+    ranked = running(marked, F.col("often").cast("long"), ["value"], name="_rank")
+    return ranked.select("value", F.when(F.col("often"), F.col("_rank")).otherwise(0).alias("index"))
 
 
 def encode_categories(df: DataFrame, fitted: DataFrame, column: str) -> DataFrame:

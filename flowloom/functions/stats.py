@@ -6,11 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowloom.operators.ranges import joined_on, numbered, ranked_values, running
+from flowloom.plans.scratch import written
+
 
 def average_rank(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
-    """Ranks from 1 within ``by``, ties sharing their mean. [E7]"""
-    ties = W.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(ties) - 1) / 2)
+    """Ranks from 1 within ``by``, ties sharing their mean; null for a null value. [E7]
+
+    Ranked are the distinct values, over ranges; rows look their value's rank up.
+    """
+    ranks = ranked_values(df, value, by).select(*by, value, (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
+    return joined_on(df, ranks, [*by, value], "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -21,12 +27,29 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("_sx") > 0) & (F.col("_sy") > 0), F.col("_c") / (F.col("_sx") * F.col("_sy"))).alias("rho"))
 
 
-def kendall(df: DataFrame, x: str, y: str, by: list[str], key: str) -> DataFrame:
-    """by, tau (b): over pairs of the few ranked items of each group. [H21]"""
-    a, b = df.select(*by, F.col(key).alias("_k1"), F.col(x).alias("_x1"), F.col(y).alias("_y1")), df.select(*by, F.col(key).alias("_k2"), F.col(x).alias("_x2"), F.col(y).alias("_y2"))
-    pairs = a.join(b, by).filter("_k1 < _k2").withColumn("_dx", F.signum(F.col("_x1") - F.col("_x2"))).withColumn("_dy", F.signum(F.col("_y1") - F.col("_y2")))
-    out = pairs.groupBy(*by).agg(F.sum(F.col("_dx") * F.col("_dy")).alias("s"), F.sum(F.abs("_dx")).alias("nx"), F.sum(F.abs("_dy")).alias("ny"))
-    return out.select(*by, F.when((F.col("nx") > 0) & (F.col("ny") > 0), F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
+def kendall(df: DataFrame, x: str, y: str, by: list[str], key: str, bits: int = 32) -> DataFrame:
+    """by, tau (b): null with a constant side. [H21]
+
+    No pairs are made. Values become dense ranks; two items whose y ranks differ part at one bit, above which they agree: so
+    for each bit the items of one prefix count, in order of x, those of the other bit before them. ``bits`` must hold
+    the number of distinct values of y.
+    """
+    rows = df.select(*by, F.col(key).alias("_k"), F.col(x).alias("_x"), F.col(y).alias("_y")).filter("_x IS NOT NULL AND _y IS NOT NULL")
+    places = numbered(rows.select(*by, "_y").distinct(), ["_y"], by, "_place")
+    placed = written(joined_on(rows, places, [*by, "_y"]), "placed")
+    top = placed.agg(F.max("_place").alias("m")).first()["m"] or 0  # one number
+    levels = F.array(*[F.struct(F.lit(b).alias("level"), F.expr(f"_place >> {b + 1}").alias("prefix"), F.expr(f"(_place >> {b}) & 1").alias("bit")) for b in range(min(bits, max(1, int(top).bit_length())))])
+    each = placed.select(*by, "_x", F.explode(levels).alias("l")).groupBy(*by, "l.level", "l.prefix", "_x").agg(F.sum(F.when(F.col("l.bit") == 0, 1).otherwise(0)).alias("low"), F.sum(F.when(F.col("l.bit") == 1, 1).otherwise(0)).alias("high"))
+    group = [*by, "level", "prefix"]
+    counted = joined_on(running(each, F.col("low"), ["_x"], group), each.groupBy(*group).agg(F.sum("low").alias("all_low")), group)
+    # a high item agrees with the low ones of smaller x, and disagrees with those of larger x
+    pairs = counted.groupBy(*by).agg(F.sum(F.col("high") * ((F.col("upto") - F.col("low")) - (F.col("all_low") - F.col("upto")))).alias("s"))
+    half = lambda c: c * (c - 1) / 2
+    sizes = rows.groupBy(*by).agg(half(F.count("*")).alias("n0"))
+    tied = lambda c, name: rows.groupBy(*by, c).agg(F.count("*").alias("c")).groupBy(*by).agg(F.sum(half(F.col("c"))).alias(name))
+    out = joined_on(joined_on(joined_on(pairs, sizes, by), tied("_x", "tx"), by), tied("_y", "ty"), by)
+    a, b = F.col("n0") - F.col("tx"), F.col("n0") - F.col("ty")
+    return out.select(*by, F.when((a > 0) & (b > 0), F.col("s") / F.sqrt(a * b)).alias("tau"))
 
 
 def set_overlap(a: Column, b: Column) -> Column:

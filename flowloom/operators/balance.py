@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowloom.operators.ranges import joined_on, numbered
+
 
 def class_counts(df: DataFrame, label: str, classes: int) -> DataFrame:
     """label, n for every class 0 to classes - 1, zero-filled. [D5]"""
@@ -35,23 +37,23 @@ def _order(eid: str, seed: int):
 def oversample(df: DataFrame, label: str, ratio: float, eid: str = "eid", seed: int = 0) -> DataFrame:
     """All rows, and of each class below ceil(largest * ratio) repeats up to that count. [F11]
 
-    A class's repeats go round its rows, ceil or floor of the needed share each: which rows get one more is a hash of the
-    row, so a class is ranked over buckets of hashes and nothing is drawn on the driver.
+    A class's repeats go round its rows, ceil or floor of the needed share each: which rows get one more is decided by a hash
+    of the row. Classes are ranked over ranges of hashes, so a large one is spread, and nothing is drawn on the driver.
     """
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     goal = counts.select(label, "_n", F.ceil(F.max("_n").over(W.partitionBy()) * F.lit(ratio)).alias("_goal"))
-    short = df.join(goal, label).withColumn("_need", F.greatest(F.col("_goal") - F.col("_n"), F.lit(0)))
+    short = joined_on(numbered(df.withColumn("_hash", _order(eid, seed)), ["_hash", eid], [label], "_rank"), goal, [label]).withColumn("_need", F.greatest(F.col("_goal") - F.col("_n"), F.lit(0)))
     whole, rest = F.expr("_need div _n"), F.expr("_need % _n")
-    ranked = short.withColumn("_rank", F.when(rest > 0, F.row_number().over(W.partitionBy(label).orderBy(_order(eid, seed), eid)) - 1))
     copies = (1 + whole + F.when(F.col("_rank") < rest, 1).otherwise(0)).cast("int")
-    return ranked.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), copies))).select(*df.columns)
+    return short.withColumn("_copies", F.explode(F.array_repeat(F.lit(0), copies))).select(*df.columns)
 
 
 def undersample(df: DataFrame, label: str, majority: int, ratio: float, eid: str = "eid", seed: int = 0) -> DataFrame:
     """The majority class cut to int(ratio * others), by hash order. [F12]"""
     others = df.filter(F.col(label) != majority).agg(F.floor(F.count("*") * F.lit(ratio)).alias("_most"))
-    ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(label).orderBy(_order(eid, seed), eid))).join(F.broadcast(others), F.lit(True))
-    return ranked.filter((F.col(label) != majority) | (F.col("_rank") <= F.col("_most"))).select(*df.columns)
+    many = numbered(df.filter(F.col(label) == majority).withColumn("_hash", _order(eid, seed)), ["_hash", eid], name="_rank")
+    kept = many.join(F.broadcast(others), F.lit(True)).filter("_rank < _most").select(*df.columns)
+    return df.filter((F.col(label) != majority) | F.col(label).isNull()).unionByName(kept)
 
 
 def hybrid(df: DataFrame, label: str, majority: int, under: float, over: float, eid: str = "eid", seed: int = 0) -> DataFrame:

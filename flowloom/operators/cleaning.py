@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.operators.ranges import quantiles
+
 
 def check_label_columns(df: DataFrame, names: tuple[str, str] = ("Label", "Attack")) -> DataFrame:
     """Raises unless the last two columns are the label columns. [B7]"""
@@ -35,8 +37,10 @@ def infinities_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def impute_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls become the exact median of the column over the whole table, found in one pass for all columns. [B5]"""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in columns])
+    """Nulls become the exact median of the column over the whole table, found for all columns at once, over ranges of their values. [B5]"""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
+    found = quantiles(long, "value", {"median": 0.5}, ["name"])
+    medians = found.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(f"_{c}") for c in columns])
     joined = df.join(F.broadcast(medians), F.lit(True))  # one row
     return joined.select(*[F.coalesce(c, f"_{c}").alias(c) if c in columns else c for c in df.columns])
 

@@ -10,13 +10,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.operators.components import connected_components
+from flowloom.operators.ranges import numbered
 from flowloom.plans.scratch import written
 
 
 def node_dictionary(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """name, id: all endpoints in sorted order, from 0. [G1, G4, A9, J1]"""
     names = edges.select(F.col(src).alias("name")).union(edges.select(F.col(dst).alias("name"))).distinct()
-    return names.select("name", (F.row_number().over(W.orderBy("name")) - 1).alias("id"))
+    return numbered(names, ["name"], name="id")
 
 
 def encoded_edges(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -49,21 +50,24 @@ def roles(edges: DataFrame, internal: Column) -> DataFrame:
     return flat.join(F.broadcast(some), F.lit(True)).withColumn("is_internal", F.when(F.col("_some"), F.col("is_internal")).otherwise(F.col("is_dst"))).drop("_some")
 
 
-def gateway_distances(edges: DataFrame, node_roles: DataFrame, most: int = 64) -> DataFrame:
-    """node, d: steps from the nearest external source, along edges; unreachable nodes are absent. [J6]
+def gateway_distances(edges: DataFrame, node_roles: DataFrame) -> DataFrame:
+    """node, d: steps from the nearest external source, along edges, however many; unreachable nodes are absent. [J6]
 
-    A frontier join per step; the reached set is written each step. ``most`` bounds the steps.
+    A frontier join per step until a step finds no new node. Each step writes its new nodes only.
     """
     hops = written(edges.select("src", "dst").distinct().filter("src <> dst"), "hops")
     sources = edges.select(F.col("src").alias("node")).distinct().join(node_roles.filter("NOT is_internal").select("node"), "node")
-    reached = written(sources.withColumn("d", F.lit(0)), "reached")
-    for step in range(1, most + 1):
-        front = reached.filter(F.col("d") == step - 1).join(hops, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        new = written(front.join(reached, "node", "left_anti").withColumn("d", F.lit(step)), "front")
-        if not new.limit(1).count():
-            break
-        reached = written(reached.unionByName(new), "reached")
-    return reached
+    front = written(sources.withColumn("d", F.lit(0)), "front")
+    reached, step = front, 0
+    while True:
+        step += 1
+        next_ = front.join(hops, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        front = written(next_.join(reached, "node", "left_anti").withColumn("d", F.lit(step)), "front")
+        if not front.limit(1).count():
+            return reached
+        reached = reached.unionByName(front)
+        if step % 32 == 0:  # a plan of few files
+            reached = written(reached, "reached")
 
 
 def k_star(distances: DataFrame, most: int = 4) -> DataFrame:

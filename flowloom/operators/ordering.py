@@ -3,20 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
 
+from flowloom.operators.ranges import numbered
 
-def with_eid(df: DataFrame, ts: str = "ts", ties: tuple[str, ...] = (), name: str = "eid", slices: int = 64) -> DataFrame:
+
+def with_eid(df: DataFrame, ts: str = "ts", ties: tuple[str, ...] = (), name: str = "eid") -> DataFrame:
     """Adds ``name``: 0 to n - 1 by (ts, ties). [E6, F1]
 
-    Rows are dealt to time slices at approximate quantiles, counted, and numbered slice by slice: equal times share a
-    slice, and the offsets (one row per slice) are a broadcast of fixed size. ``ties`` must make the order total.
+    Rows are dealt to ranges of (ts, ties), so a day of very many ties is spread as well. ``ties`` must make the order total.
     """
-    bounds = df.select(F.col(ts).cast("double").alias("t")).approxQuantile("t", [i / slices for i in range(1, slices)], 0.005) if slices > 1 else []
-    cuts = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
-    sliced = df.withColumn("_slice", F.coalesce(F.size(F.filter(cuts, lambda b: b <= F.col(ts))), F.lit(0)))
-    counts = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
-    starts = counts.select("_slice", F.coalesce(F.sum("_n").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    within = W.partitionBy("_slice").orderBy(ts, *ties)
-    return sliced.join(F.broadcast(starts), "_slice").withColumn(name, F.col("_start") + F.row_number().over(within) - 1).drop("_slice", "_start")
+    return numbered(df, [ts, *ties], name=name)

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowloom.operators.ranges import joined_on, ranked_values, running
+from flowloom.plans.scratch import written
+
 
 def thresholds(df: DataFrame, train: float, val: float, ts: str = "ts", shift: int = 0) -> DataFrame:
     """One row, n, tau_train, tau_val: the times of rank int(n * share) + shift. [B9, I1]
 
-    ``shift`` 0 and -1 are the two conventions in use. Times are counted first, so the ranking runs over distinct times.
+    ``shift`` 0 and -1 are the two conventions in use. Times are counted first, and ranked over ranges of times.
     """
-    counts = df.groupBy(F.col(ts).alias("t")).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)))
-    total = F.sum("c").over(W.partitionBy())
-    ranked = upto.withColumn("n", total)
+    ranked = ranked_values(df.select(F.col(ts).alias("t")), "t").withColumnRenamed("total", "n_all").withColumn("n", F.col("n_all"))
     at = lambda share: F.least(F.greatest(F.floor(F.col("n") * F.lit(share)) + shift, F.lit(0)), F.col("n") - 1)
     first = lambda share: F.min(F.when(F.col("upto") > at(share), F.col("t")))
     return ranked.agg(F.max("n").alias("n"), first(train).alias("tau_train"), first(train + val).alias("tau_val"))
@@ -54,9 +53,9 @@ def split_sweep(df: DataFrame, trains: list[float], val_share: float, ts: str =
     One pass counts rows by (time, class); the candidates' thresholds, a handful of rows, meet these counts.
     """
     spark = df.sparkSession
-    counts = df.groupBy(F.col(ts).alias("t"), F.col(cls).alias("cls")).agg(F.count("*").alias("c"))
-    upto = counts.groupBy("t").agg(F.sum("c").alias("c")).withColumn("upto", F.sum("c").over(W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)))
-    upto = upto.withColumn("n", F.sum("c").over(W.partitionBy()))
+    counts = written(df.groupBy(F.col(ts).alias("t"), F.col(cls).alias("cls")).agg(F.count("*").alias("c")), "counts")
+    every = counts.groupBy("t").agg(F.sum("c").alias("c"))
+    upto = joined_on(running(every, F.col("c"), ["t"]), every.agg(F.sum("c").alias("n")), [])
     grid = spark.createDataFrame([(round(t, 6), round(t + (1 - t) * val_share, 6)) for t in trains], "train double, upto_val double")
     first = lambda c: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * F.col(c)), F.col("n") - 1), F.col("t")))
     cuts = upto.join(F.broadcast(grid), F.lit(True)).groupBy("train").agg(first("train").alias("a"), first("upto_val").alias("b"))

@@ -2,6 +2,9 @@
 
 A node's events are cut into time slices; each slice also carries the events of the last W before it, so every window lies
 within one slice. A hot node is thereby spread over tasks, and an event is copied at most once when slices are longer than W.
+
+Within a slice each event is added when it happens and taken off when it leaves the window, so every dimension is a running
+sum: work and memory a row don't depend on how many events a window holds.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowloom.functions.encode import N_BINS, entropy, gaps, season, variation
+from flowloom.functions.encode import N_BINS, entropy, season
 
 #: A slice is this many windows long.
 SLICE_WINDOWS = 16
@@ -45,27 +48,53 @@ def _window(window: int):
 def rolling_state(events: DataFrame, window: int, probes: DataFrame | None = None, baselines: DataFrame | None = None, internal: Column | None = None, trained: DataFrame | None = None) -> DataFrame:
     """The 15 dimensions at each probe (node, t), or at each event's own node and time. [E1, E2, C7, C9, C10, D1]
 
-    Probes join the events as marked rows of the same window instead of a range join. ``trained`` (nodes of the training
-    split) switches novelty from "first seen within the window" to "not seen in training".
+    Probes join the events as marked rows of the same order instead of a range join. ``trained`` (nodes of the training
+    split) switches novelty from "first seen within the window" to "not seen in training". Times are whole numbers. A peer
+    counts from its last event, so an event's peer leaves when the same peer's next event comes or the window passes; a
+    gap between events leaves with the earlier of them.
     """
-    cols = ["node", "ts", "incoming", "bytes", "bin", "peer"]
-    rows = events.select(*cols, F.lit(False).alias("probe"))
-    at = (events if probes is None else probes).select("node", "ts").distinct()
-    marks = at.select("node", "ts", F.lit(None).cast("boolean").alias("incoming"), F.lit(None).cast("double").alias("bytes"), F.lit(None).cast("int").alias("bin"), F.lit(None).cast(events.schema["peer"].dataType).alias("peer"), F.lit(True).alias("probe"))
-    w = _window(window)
-    real = ~F.col("probe")
-    inc, out = real & F.col("incoming"), real & ~F.col("incoming")
-    bins = [F.count_if(out & (F.col("bin") == b)).over(w) for b in range(N_BINS)]
-    stated = sliced(rows.unionByName(marks), window).select(
-        "node", "ts", "probe", "core",
-        F.max(F.when(real, F.col("ts"))).over(w).alias("last"),
-        F.count_if(inc).over(w).alias("in_degree"), F.count_if(out).over(w).alias("out_degree"),
-        F.size(F.collect_set(F.when(out, F.col("peer"))).over(w)).alias("unique_dst"), F.size(F.collect_set(F.when(inc, F.col("peer"))).over(w)).alias("unique_src"),
-        F.array(*bins).alias("bins"),
-        F.log1p(F.coalesce(F.sum(F.when(inc, F.col("bytes"))).over(w), F.lit(0.0))).alias("in_bytes"),
-        F.log1p(F.coalesce(F.sum(F.when(out, F.col("bytes"))).over(w), F.lit(0.0))).alias("out_bytes"),
-        F.collect_list(F.when(real, F.col("ts"))).over(w).alias("times"),
-    ).filter("probe AND core")
+    here = sliced(events.select("node", "ts", "incoming", "bytes", "bin", "peer", "eid"), window).repartition("node", "slice")
+    in_time, same_peer = W.partitionBy("node", "slice").orderBy("ts", "eid"), W.partitionBy("node", "slice", "incoming", "peer").orderBy("ts", "eid")
+    leaves = F.col("ts") + F.lit(window + 1)
+    marked = here.select(
+        "*", leaves.alias("leaves"), F.least(F.coalesce(F.lead("ts").over(same_peer), leaves), leaves).alias("peer_leaves"),
+        (F.col("ts") - F.lag("ts").over(in_time)).alias("gap"), (F.lead("ts").over(in_time) - F.col("ts")).alias("next_gap"),
+    )
+
+    def gap_of(name: str, sign: int) -> list[Column]:
+        counted = F.col(name) <= window
+        part = lambda v: F.when(counted, v * sign).otherwise(F.lit(0)).cast("long")
+        return [part(F.lit(1)).alias("gaps"), part(F.col(name)).alias("gap_sum"), part(F.col(name) * F.col(name)).alias("gap_squares")]
+
+    none = [F.lit(0).cast("long").alias(n) for n in ("gaps", "gap_sum", "gap_squares")]
+    zero = F.lit(0)
+    steps = F.array(
+        F.struct(F.col("ts").alias("t"), F.lit(1).alias("event"), F.lit(1).alias("peers"), *gap_of("gap", 1)),
+        F.struct(F.col("leaves").alias("t"), F.lit(-1).alias("event"), zero.alias("peers"), *gap_of("next_gap", -1)),
+        F.struct(F.col("peer_leaves").alias("t"), zero.alias("event"), F.lit(-1).alias("peers"), *none),
+    )
+    moves = marked.select("node", "slice", "core", "incoming", "bin", "bytes", "ts", F.explode(steps).alias("s")).select("node", "slice", "core", "incoming", "bin", "bytes", F.col("s.event").alias("event"), F.col("s.t").alias("t"), "s.peers", "s.gaps", "s.gap_sum", "s.gap_squares")
+    if probes is None:
+        rows = moves.withColumn("probe", (F.col("event") == 1) & F.col("core"))
+    else:
+        at = sliced(probes.select("node", "ts").distinct(), window).filter("core")
+        blank = {"incoming": F.lit(False), "bin": zero, "bytes": F.lit(0.0), "event": zero, "peers": zero, "gaps": F.lit(0).cast("long"), "gap_sum": F.lit(0).cast("long"), "gap_squares": F.lit(0).cast("long")}
+        rows = moves.withColumn("probe", F.lit(False)).unionByName(at.select("node", "slice", "core", F.col("ts").alias("t"), F.lit(True).alias("probe"), *[v.alias(k) for k, v in blank.items()])).repartition("node", "slice")
+    w = W.partitionBy("node", "slice").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
+    inc, out = F.col("incoming"), ~F.col("incoming")
+    total = lambda test, value: F.coalesce(F.sum(F.when(test, value)).over(w), F.lit(0))
+    held = F.coalesce(F.sum("event").over(w), F.lit(0))
+    # a sum of bytes that came and went may leave a rounding error; without events it is 0
+    volume = lambda test: F.log1p(F.when(total(test, F.col("event")) > 0, F.greatest(total(test, F.col("bytes") * F.col("event")), F.lit(0.0))).otherwise(F.lit(0.0)))
+    stated = rows.select(
+        "node", "slice", "probe", F.col("t").alias("ts"), F.max(F.when(F.col("event") == 1, F.col("t"))).over(w).alias("last"),
+        total(inc, F.col("event")).alias("in_degree"), total(out, F.col("event")).alias("out_degree"), total(out, F.col("peers")).cast("int").alias("unique_dst"), total(inc, F.col("peers")).cast("int").alias("unique_src"),
+        F.array(*[total(out & (F.col("bin") == b), F.col("event")) for b in range(N_BINS)]).alias("bins"), volume(inc).alias("in_bytes"), volume(out).alias("out_bytes"),
+        held.alias("held"), F.sum("gaps").over(w).alias("gaps"), F.sum("gap_sum").over(w).alias("gap_sum"), F.sum("gap_squares").over(w).alias("gap_squares"),
+    ).filter("probe").dropDuplicates(["node", "slice", "ts"])
+    mean = F.col("gap_sum") / F.col("gaps")
+    spread = F.sqrt(F.greatest(F.col("gap_squares") / F.col("gaps") - mean * mean, F.lit(0.0)))
+    stated = stated.withColumn("iat_cv", F.when((F.col("gaps") > 0) & (F.col("gap_sum") > 0), spread / mean).otherwise(F.lit(0.0)))
     joined = stated.join(first_seen(events), "node", "left")
     if trained is None:
         novelty = F.coalesce(F.col("first_seen").between(F.col("ts") - window, F.col("ts")), F.lit(False))
@@ -83,7 +112,7 @@ def rolling_state(events: DataFrame, window: int, probes: DataFrame | None = Non
         F.coalesce(F.least(F.lit(1.0), (F.col("ts") - F.col("last")) / F.lit(float(window))), F.lit(1.0)).alias("recency"),
         "in_degree", "out_degree", "unique_dst", "unique_src", F.size(F.filter("bins", lambda x: x > 0)).alias("unique_bins"),
         entropy(F.transform("bins", lambda x: x.cast("double"))).alias("port_entropy"), "in_bytes", "out_bytes", sin.alias("time_sin"), cos.alias("time_cos"),
-        (F.col("in_bytes") + F.col("out_bytes") - usual).alias("volume_deviation"), variation(gaps(F.col("times"))).alias("iat_cv"),
+        (F.col("in_bytes") + F.col("out_bytes") - usual).alias("volume_deviation"), "iat_cv",
     )
 
 
@@ -99,6 +128,16 @@ def rolled_back(events: DataFrame, excluded: DataFrame) -> DataFrame:
     return number(mine).join(number(excluded.select("probe", *key)), ["probe", *key, "_k"], "left_anti").drop("_k")
 
 
+def rolled_back_counts(events: DataFrame, excluded: DataFrame) -> DataFrame:
+    """probe, node, records: how many records ``rolled_back`` leaves, from the node's total less what cancels; no event is repeated. [C11]"""
+    key = ["node", "ts", "incoming", "peer"]
+    gone = excluded.groupBy("probe", *key).agg(F.count("*").alias("_x"))
+    there = events.join(excluded.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("_k"))
+    less = gone.join(there, key, "left").groupBy("probe", "node").agg(F.sum(F.least("_x", F.coalesce("_k", F.lit(0)))).alias("_less"))
+    totals = events.groupBy("node").agg(F.count("*").alias("_n"))
+    return less.join(totals, "node").select("probe", "node", (F.col("_n") - F.col("_less")).alias("records")).filter("records > 0")
+
+
 def snapshots(events: DataFrame, edges: DataFrame, every: int, window: int) -> DataFrame:
     """The state of all nodes seen so far at edges every - 1, 2 * every - 1, ... [E3]"""
     marks = edges.filter(F.pmod(F.col("eid"), F.lit(every)) == every - 1).select("eid", "ts")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowloom.operators.ranges import joined_on, numbered
+
 HOUR = 3_600_000
 
 
@@ -96,6 +98,7 @@ def window_means(df: DataFrame, value: str, windows: int, kind: str = "equal_tim
 
 def halves(df: DataFrame, value: str, eid: str = "eid", cls: str = "cls") -> DataFrame:
     """cls, first_mean, rest_mean: the first floor(n / 2) rows of each class against the rest. [E15]"""
-    r = df.withColumn("_r", F.row_number().over(W.partitionBy(cls).orderBy(eid))).withColumn("_n", F.count("*").over(W.partitionBy(cls)))
-    early = F.col("_r") <= F.floor(F.col("_n") / 2)
+    n = df.groupBy(cls).agg(F.count("*").alias("_n"))
+    r = joined_on(numbered(df.select(cls, eid, value), [eid], [cls], "_r"), n, [cls])
+    early = F.col("_r") < F.floor(F.col("_n") / 2)
     return r.groupBy(F.col(cls).alias("cls")).agg(F.avg(F.when(early, F.col(value))).alias("first_mean"), F.avg(F.when(~early, F.col(value))).alias("rest_mean"))

@@ -21,8 +21,10 @@ PORT_SQL = "CASE WHEN port=80 THEN 0 WHEN port=443 THEN 1 WHEN port=53 THEN 2 WH
 EV = f"""ev AS (SELECT *, {PORT_SQL} AS bin FROM (SELECT event_id AS eid, epoch_us(ts) // 1000 AS ts, user_id AS src, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS dst,
  value AS in_bytes, value AS out_bytes, (event_id * 7919) % 65536 AS port, event_type AS cls FROM events))"""
 NE = """ne AS (SELECT src AS node, ts, false AS inc, out_bytes AS bytes, bin, dst AS peer, eid FROM ev UNION ALL SELECT dst, ts, true, in_bytes, 0, src, eid FROM ev)"""
-TAU = """ranked AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS r, count(*) OVER () AS n FROM ev),
-tau AS (SELECT min(ts) FILTER (WHERE r = CAST(floor(n * 0.6) AS BIGINT)) AS a, min(ts) FILTER (WHERE r = CAST(floor(n * 0.9) AS BIGINT)) AS b FROM ranked),
+#: The second cut is a sum of doubles, 0.8999999999999999, as in the original; not the decimal 0.9.
+SECOND_CUT = "(CAST(0.6 AS DOUBLE) + CAST(0.3 AS DOUBLE))"
+TAU = f"""ranked AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS r, count(*) OVER () AS n FROM ev),
+tau AS (SELECT min(ts) FILTER (WHERE r = CAST(floor(n * CAST(0.6 AS DOUBLE)) AS BIGINT)) AS a, min(ts) FILTER (WHERE r = CAST(floor(n * {SECOND_CUT}) AS BIGINT)) AS b FROM ranked),
 sp AS (SELECT ev.*, CASE WHEN ts <= a THEN 'train' WHEN ts <= b THEN 'val' ELSE 'test' END AS split FROM ev, tau)"""
 
 
@@ -121,8 +123,8 @@ def d35_split_coverage(spark, sf):
     return splitting.coverage(_split(spark, sf))
 
 
-@query("""WITH e AS (SELECT row_number() OVER (ORDER BY epoch_ms(ts), event_id) - 1 AS eid, count(*) OVER () AS n, event_type FROM events),
-s AS (SELECT CASE WHEN eid < floor(n * 0.6) THEN 'train' WHEN eid < floor(n * 0.9) THEN 'val' ELSE 'test' END AS split, event_type FROM e) SELECT split, event_type AS cls, count(*) AS n FROM s GROUP BY ALL""")
+@query(f"""WITH e AS (SELECT row_number() OVER (ORDER BY epoch_ms(ts), event_id) - 1 AS eid, count(*) OVER () AS n, event_type FROM events),
+s AS (SELECT CASE WHEN eid < floor(n * CAST(0.6 AS DOUBLE)) THEN 'train' WHEN eid < floor(n * {SECOND_CUT}) THEN 'val' ELSE 'test' END AS split, event_type FROM e) SELECT split, event_type AS cls, count(*) AS n FROM s GROUP BY ALL""")
 def j10_positional_split(spark, sf):
     numbered = with_eid(events_flow(spark, sf).withColumnRenamed("eid", "id"), "ts", ("id",))
     return splitting.positional_split(numbered, 0.6, 0.3).groupBy("split", "cls").agg(F.count("*").alias("n"))
@@ -205,13 +207,14 @@ def f12_undersample(spark, sf):
 _BINS = ", ".join(f"count(*) FILTER (WHERE NOT inc AND bin = {b}) OVER w AS b{b}" for b in range(16))
 _TOTAL = " + ".join(f"b{b}" for b in range(16))
 _ENTROPY = " ".join(f"- CASE WHEN b{b} > 0 THEN b{b} * 1.0 / tot * ln(b{b} * 1.0 / tot) ELSE 0 END" for b in range(16))
+_USED = " + ".join(f"CAST(b{b} > 0 AS INTEGER)" for b in range(16))
 STATE_SQL = f"""WITH {EV}, {NE}, fs AS (SELECT node, min(ts) AS first_seen FROM ne GROUP BY node),
 bl AS (SELECT node, CAST(floor((ts / 3600000.0) % 24) AS INTEGER) AS hour, avg(ln(1 + greatest(bytes, 0))) AS base FROM ne GROUP BY ALL), gm AS (SELECT avg(ln(1 + greatest(bytes, 0))) AS g FROM ne),
 st AS (SELECT DISTINCT node, ts, count(*) FILTER (WHERE inc) OVER w AS in_degree, count(*) FILTER (WHERE NOT inc) OVER w AS out_degree,
- list(peer) FILTER (WHERE NOT inc) OVER w AS lo, list(peer) FILTER (WHERE inc) OVER w AS li, sum(bytes) FILTER (WHERE inc) OVER w AS bi, sum(bytes) FILTER (WHERE NOT inc) OVER w AS bo, list(ts) OVER w AS times, {_BINS}
+ max(ts) OVER w AS last, list(peer) FILTER (WHERE NOT inc) OVER w AS lo, list(peer) FILTER (WHERE inc) OVER w AS li, sum(bytes) FILTER (WHERE inc) OVER w AS bi, sum(bytes) FILTER (WHERE NOT inc) OVER w AS bo, list(ts) OVER w AS times, {_BINS}
  FROM ne WINDOW w AS (PARTITION BY node ORDER BY ts RANGE BETWEEN {WINDOW} PRECEDING AND CURRENT ROW)),
 s2 AS (SELECT *, {_TOTAL} AS tot, list_sort(times) AS o FROM st), s3 AS (SELECT *, list_transform(range(2, len(o) + 1), lambda i: (o[i] - o[i - 1]) * 1.0) AS gaps FROM s2)
-SELECT s3.node, ts, CASE WHEN first_seen BETWEEN ts - {WINDOW} AND ts THEN 1 ELSE 0 END AS novelty, in_degree, out_degree, coalesce(len(list_distinct(lo)), 0) AS unique_dst, coalesce(len(list_distinct(li)), 0) AS unique_src,
+SELECT s3.node, ts, CAST(s3.node % 3 <> 0 AS INTEGER) AS is_internal, round(least(1.0, (ts - last) / {float(WINDOW)}), 5) AS recency, {_USED} AS unique_bins, round(cos(2 * pi() * ((ts / 3600000.0) % 24) / 24), 5) AS time_cos, CASE WHEN first_seen BETWEEN ts - {WINDOW} AND ts THEN 1 ELSE 0 END AS novelty, in_degree, out_degree, coalesce(len(list_distinct(lo)), 0) AS unique_dst, coalesce(len(list_distinct(li)), 0) AS unique_src,
  round(CASE WHEN tot > 0 THEN 0 {_ENTROPY} ELSE 0 END, 5) AS port_entropy, round(ln(1 + coalesce(bi, 0)), 5) AS in_bytes, round(ln(1 + coalesce(bo, 0)), 5) AS out_bytes,
  round(sin(2 * pi() * ((ts / 3600000.0) % 24) / 24), 5) AS time_sin, round(ln(1 + coalesce(bi, 0)) + ln(1 + coalesce(bo, 0)) - coalesce(base, g), 5) AS volume_deviation,
  round(CASE WHEN len(gaps) > 0 AND list_avg(gaps) > 0 THEN list_stddev_pop(gaps) / list_avg(gaps) ELSE 0 END, 5) AS iat_cv
@@ -220,9 +223,9 @@ FROM s3 JOIN fs ON fs.node = s3.node LEFT JOIN bl ON bl.node = s3.node AND bl.ho
 
 @query(STATE_SQL)
 def e1_rolling_state(spark, sf):
-    s = state.rolling_state(node_events(events_flow(spark, sf)), WINDOW)
-    five = ("port_entropy", "in_bytes", "out_bytes", "time_sin", "volume_deviation", "iat_cv")
-    return s.select("node", "ts", "novelty", "in_degree", "out_degree", "unique_dst", "unique_src", *[r(c, 5).alias(c) for c in five])
+    s = state.rolling_state(node_events(events_flow(spark, sf)), WINDOW, internal=F.col("node") % 3 != 0)
+    five = ("recency", "port_entropy", "in_bytes", "out_bytes", "time_sin", "time_cos", "volume_deviation", "iat_cv")
+    return s.select("node", "ts", "is_internal", "unique_bins", "novelty", "in_degree", "out_degree", "unique_dst", "unique_src", *[r(c, 5).alias(c) for c in five])
 
 
 @query(f"""WITH {EV}, {NE}, b AS (SELECT node, CAST(floor((ts / 3600000.0) % 24) AS INTEGER) AS hour, avg(ln(1 + greatest(bytes, 0))) AS m FROM ne GROUP BY ALL)
@@ -231,13 +234,13 @@ def d1_hourly_baselines(spark, sf):
     return state.hourly_baselines(node_events(events_flow(spark, sf))).select("node", "hour", r("baseline").alias("baseline"), r("global_mean").alias("global_mean"))
 
 
-@query(f"""WITH {EV}, {NE}, p AS (SELECT eid AS probe, node, ts, inc, peer FROM ne WHERE eid % 50 = 0), x AS (SELECT probe, node, ts, inc, peer, count(*) AS k FROM p GROUP BY ALL),
+@query(f"""WITH {EV}, {NE}, p AS (SELECT eid AS probe, node, ts, inc, peer FROM ne WHERE eid % 100 = 0), x AS (SELECT probe, node, ts, inc, peer, count(*) AS k FROM p GROUP BY ALL),
 m AS (SELECT DISTINCT probe, node FROM p), a AS (SELECT m.probe, ne.node, ne.ts, ne.inc, ne.peer, count(*) AS k FROM m JOIN ne USING (node) GROUP BY ALL)
 SELECT a.probe, a.node, CAST(sum(greatest(a.k - coalesce(x.k, 0), 0)) AS BIGINT) AS records FROM a LEFT JOIN x ON a.probe = x.probe AND a.node = x.node AND a.ts = x.ts AND a.inc = x.inc AND a.peer = x.peer GROUP BY ALL HAVING records > 0""")
 def c11_rollback(spark, sf):
     ne = node_events(events_flow(spark, sf))
-    excluded = ne.filter("eid % 50 = 0").select(F.col("eid").alias("probe"), "node", "ts", "incoming", "peer")
-    return state.rolled_back(ne, excluded).groupBy("probe", "node").agg(F.count("*").alias("records"))
+    excluded = ne.filter("eid % 100 = 0").select(F.col("eid").alias("probe"), "node", "ts", "incoming", "peer")
+    return state.rolled_back_counts(ne, excluded)
 
 
 @query(f"""WITH {EV}, {NE}, m AS (SELECT eid, ts FROM ev WHERE eid % 500 = 499), fs AS (SELECT node, min(ts) AS f FROM ne GROUP BY node), p AS (SELECT m.eid, m.ts, node FROM m JOIN fs ON f <= m.ts)
@@ -247,18 +250,18 @@ def e3_snapshots(spark, sf):
     return state.snapshots(node_events(ev), ev, 500, WINDOW).select("eid", "node", "in_degree", "out_degree")
 
 
-@query(f"""WITH {EV}, {NE}, s AS (SELECT * FROM ev WHERE eid % 20 = 0)
+@query(f"""WITH {EV}, {NE}, s AS (SELECT * FROM ev WHERE eid % 100 = 0)
 SELECT s.eid, (SELECT count(*) FROM ne WHERE node = s.src AND inc AND ts BETWEEN s.ts - {WINDOW} AND s.ts) AS src_in_degree, (SELECT count(*) FROM ne WHERE node = s.dst AND inc AND ts BETWEEN s.ts - {WINDOW} AND s.ts) AS dst_in_degree FROM s""")
 def c15_endpoint_states(spark, sf):
     ev = events_flow(spark, sf)
-    return state.endpoint_states(ev.filter("eid % 20 = 0"), node_events(ev), WINDOW, ["in_degree"])
+    return state.endpoint_states(ev.filter("eid % 100 = 0"), node_events(ev), WINDOW, ["in_degree"])
 
 
 # graph
 
 ROLES = f"""{EV}, mal AS (SELECT * FROM ev WHERE cls <> 'view'), en AS (SELECT src AS node, 1 AS s, 0 AS d FROM mal UNION ALL SELECT dst, 0, 1 FROM mal),
 ro AS (SELECT node, max(s) = 1 AS is_src, max(d) = 1 AS is_dst, node % 3 <> 0 AS is_internal FROM en GROUP BY node),
-bfs AS (SELECT node, min(d) AS d FROM (WITH RECURSIVE w(node, d) AS (SELECT node, 0 FROM ro WHERE is_src AND NOT is_internal UNION SELECT h.dst, w.d + 1 FROM w JOIN (SELECT DISTINCT src, dst FROM mal WHERE src <> dst) h ON h.src = w.node WHERE w.d < 8) SELECT * FROM w) GROUP BY node)"""
+bfs AS (SELECT node, min(d) AS d FROM (WITH RECURSIVE w(node, d) AS (SELECT node, 0 FROM ro WHERE is_src AND NOT is_internal UNION SELECT h.dst, w.d + 1 FROM w JOIN (SELECT DISTINCT src, dst FROM mal WHERE src <> dst) h ON h.src = w.node WHERE w.d < (SELECT count(*) FROM ro)) SELECT * FROM w) GROUP BY node)"""
 
 
 def _bad(spark, sf):
@@ -278,10 +281,10 @@ def c1_encoded_edges(spark, sf):
     return graph.encoded_edges(named, graph.node_dictionary(named)).select("eid", "src_id", "dst_id")
 
 
-@query(f"WITH {EV}, w AS (SELECT * FROM ev WHERE eid % 97 = 0) SELECT w.eid, ev.src, ev.dst FROM w JOIN ev ON ev.eid = w.eid")
+@query(f"WITH {EV}, w AS (SELECT * FROM ev WHERE eid % 100 = 0) SELECT w.eid, ev.src, ev.dst FROM w JOIN ev ON ev.eid = w.eid")
 def c3_point_lookup(spark, sf):
     ev = events_flow(spark, sf)
-    return graph.lookup(ev.filter("eid % 97 = 0").select("eid"), ev.select("eid", "src", "dst"))
+    return graph.lookup(ev.filter("eid % 100 = 0").select("eid"), ev.select("eid", "src", "dst"))
 
 
 @query(f"WITH {ROLES} SELECT * FROM ro")
@@ -343,10 +346,10 @@ def j9_diameters(spark, sf):
 
 def _seeds(spark, sf):
     ev = events_flow(spark, sf)
-    return ev, ev.filter("eid % 400 = 0")
+    return ev, ev.filter("eid % 100 = 0")
 
 
-@query(f"""WITH {EV}, s AS (SELECT * FROM ev WHERE eid % 400 = 0), f AS (SELECT eid AS seed_eid, src AS node, ts AS c FROM s UNION SELECT eid, dst, ts FROM s)
+@query(f"""WITH {EV}, s AS (SELECT * FROM ev WHERE eid % 100 = 0), f AS (SELECT eid AS seed_eid, src AS node, ts AS c FROM s UNION SELECT eid, dst, ts FROM s)
 SELECT seed_eid, 1 AS hop, ev.eid, ev.src, ev.dst, ev.ts FROM f JOIN ev ON ev.dst = f.node AND ev.ts <= f.c""")
 def j2_neighbourhood(spark, sf):
     ev, seeds = _seeds(spark, sf)
@@ -359,13 +362,13 @@ def i10_leakage(spark, sf):
     return sampling.leaks(sampling.sampled_neighbours(ev, seeds, [5, 10]), seeds).select("violations", "leakage_rate")
 
 
-@query(f"WITH {EV} SELECT eid AS seed_eid, n FROM (SELECT eid, count(*) OVER (PARTITION BY dst ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM ev) WHERE eid % 400 = 0")
+@query(f"WITH {EV} SELECT eid AS seed_eid, n FROM (SELECT eid, count(*) OVER (PARTITION BY dst ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM ev) WHERE eid % 100 = 0")
 def c8_eligible_edges(spark, sf):
     ev, seeds = _seeds(spark, sf)
     return sampling.eligible_counts(ev, seeds)
 
 
-NEAR = f"""{EV}, s AS (SELECT * FROM ev WHERE eid % 400 = 0), f AS (SELECT eid AS seed_eid, src AS node, ts AS c FROM s UNION SELECT eid, dst, ts FROM s),
+NEAR = f"""{EV}, s AS (SELECT * FROM ev WHERE eid % 100 = 0), f AS (SELECT eid AS seed_eid, src AS node, ts AS c FROM s UNION SELECT eid, dst, ts FROM s),
 near AS (SELECT DISTINCT seed_eid, ev.eid, greatest((c - ev.ts) / 1000.0, 0.0) AS gap FROM f JOIN ev ON ev.dst = f.node AND ev.ts <= f.c WHERE f.c - ev.ts <= {4 * WINDOW} AND ev.eid <> seed_eid)"""
 
 

@@ -86,19 +86,19 @@ def d12_roc_auc(spark, sf):
 # statistics
 
 
-@query(f"""WITH {EV}, u AS (SELECT src AS k, cls, round(avg(in_bytes), 6) AS x, count(*) AS y FROM ev WHERE src < 12 GROUP BY ALL), p AS (SELECT a.cls, sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM u a JOIN u b ON a.cls = b.cls AND a.k < b.k)
+@query(f"""WITH {EV}, u AS (SELECT src AS k, cls, round(avg(in_bytes), 6) AS x, count(*) AS y FROM ev GROUP BY ALL), p AS (SELECT a.cls, sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM u a JOIN u b ON a.cls = b.cls AND a.k < b.k)
 SELECT cls, round(sum(dx * dy) / sqrt(sum(abs(dx)) * sum(abs(dy))), 6) AS tau FROM p GROUP BY cls""")
 def h21_kendall(spark, sf):
-    u = events_flow(spark, sf).filter("src < 12").groupBy("src", "cls").agg(r(F.avg("in_bytes")).alias("x"), F.count("*").alias("y"))
+    u = events_flow(spark, sf).groupBy("src", "cls").agg(r(F.avg("in_bytes")).alias("x"), F.count("*").alias("y"))
     return stats.kendall(u, "x", "y", ["cls"], "src").select("cls", r("tau").alias("tau"))
 
 
-@query(f"""WITH {EV}, p AS (SELECT eid % 5 AS fam, eid, CASE WHEN eid % 13 = 0 THEN NULL ELSE ((eid * 7919) % 10007) / 10007.0 END AS p FROM ev WHERE eid < 900),
+@query(f"""WITH {EV}, p AS (SELECT eid % 5 AS fam, eid, CASE WHEN eid % 13 = 0 THEN NULL ELSE ((eid * 7919) % 10007) / 10007.0 END AS p FROM ev),
 k AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY p, eid) AS rk, count(*) OVER (PARTITION BY fam) AS n FROM p WHERE p IS NOT NULL),
 q AS (SELECT fam, eid, least(1.0, min(p * n / rk) OVER (PARTITION BY fam ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k) SELECT p.fam, p.eid, round(q, 6) AS q FROM p LEFT JOIN q ON q.fam = p.fam AND q.eid = p.eid""")
 def e13_false_discovery(spark, sf):
     e = F.col("eid")
-    rows = events_flow(spark, sf).filter("eid < 900").select((e % 5).alias("fam"), "eid", F.when(e % 13 != 0, ((e * 7919) % 10007) / 10007.0).alias("p"))
+    rows = events_flow(spark, sf).select((e % 5).alias("fam"), "eid", F.when(e % 13 != 0, ((e * 7919) % 10007) / 10007.0).alias("p"))
     return stats.false_discovery(rows, "p", ["fam"], "eid").select("fam", "eid", r("q").alias("q"))
 
 
@@ -109,11 +109,11 @@ def h22_wilcoxon(spark, sf):
     return stats.wilcoxon(rows, "x", "y", ["cls"]).select("cls", "n", r("w", 2).alias("w"))
 
 
-@query(f"""WITH {EV}, m AS (SELECT src, cls, round(avg(in_bytes), 6) AS v FROM ev WHERE src < 10 GROUP BY ALL), k AS (SELECT *, rank() OVER (PARTITION BY src ORDER BY v) + (count(*) OVER (PARTITION BY src, v) - 1) / 2.0 AS rk FROM m),
+@query(f"""WITH {EV}, m AS (SELECT src, cls, round(avg(in_bytes), 6) AS v FROM ev GROUP BY ALL), k AS (SELECT *, rank() OVER (PARTITION BY src ORDER BY v) + (count(*) OVER (PARTITION BY src, v) - 1) / 2.0 AS rk FROM m),
 t AS (SELECT cls, sum(rk) AS s, count(*) AS n FROM k GROUP BY cls), g AS (SELECT count(*) AS k, max(n) AS n, sum(s * s) AS ss FROM t), q AS (SELECT sum(rk * rk) AS sq FROM k)
 SELECT n AS blocks, k AS treatments, round((k - 1) * (ss / n - n * k * (k + 1) * (k + 1) / 4.0) / (sq - n * k * (k + 1) * (k + 1) / 4.0), 4) AS statistic FROM g, q""")
 def h22_friedman(spark, sf):
-    m = events_flow(spark, sf).filter("src < 10").groupBy("src", "cls").agg(r(F.avg("in_bytes")).alias("v"))
+    m = events_flow(spark, sf).groupBy("src", "cls").agg(r(F.avg("in_bytes")).alias("v"))
     return stats.friedman(m, "v", "src", "cls").select("blocks", "treatments", r("statistic", 4).alias("statistic"))
 
 

@@ -96,7 +96,7 @@ def dimension_audit(states: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def topology(pairs: DataFrame, fan: float = 3.0, share: float = 0.5) -> DataFrame:
-    """cls, dst_per_src, src_per_dst, modal_share, kind: fan_out, fan_in, persistent or other, first rule wins. [D25, D37]"""
+    """cls, dst_per_src, src_per_dst, modal_share, kind: fan_out, fan_in, persistent or other, first rule wins. [D25]"""
     per = pairs.groupBy("cls", "src", "dst").agg(F.count("*").alias("n"))
     s = per.groupBy("cls", "src").agg(F.count("*").alias("k")).groupBy("cls").agg(F.avg("k").alias("dst_per_src"))
     d = per.groupBy("cls", "dst").agg(F.count("*").alias("k")).groupBy("cls").agg(F.avg("k").alias("src_per_dst"))

@@ -53,6 +53,19 @@ def kernel_shap(value: Callable[[np.ndarray], np.ndarray], players: int, samples
     return np.append(head, full - none - head.sum()), float(none), float(full)
 
 
+def kernel_shap_many(value: Callable[[np.ndarray], np.ndarray], players: int, samples: int = 2048, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many games of the same players: ``value`` gives a row per game and a column per coalition. [K1, K10]"""
+    ends = value(np.array([np.zeros(players), np.ones(players)]))
+    none, full = ends[:, 0], ends[:, 1]
+    if players < 2:
+        return (full - none)[:, None][:, :players], none, full
+    z, weight = coalitions(players, samples, seed)
+    y = value(z) - none[:, None] - (full - none)[:, None] * z[:, -1]
+    root = np.sqrt(weight)
+    head = np.linalg.lstsq((z[:, :-1] - z[:, -1:]) * root[:, None], (y * root).T, rcond=None)[0].T
+    return np.column_stack([head, full - none - head.sum(axis=1)]), none, full
+
+
 def live_players(x: Column, background: Column, groups: list[list[int]]) -> Column:
     """Indices of the groups in which a value differs from the background; nulls and NaN keep a group in play. [K2]"""
     same = lambda i: F.coalesce(F.element_at(x, i + 1) == F.element_at(background, i + 1), F.lit(False)) & ~F.isnan(F.element_at(x, i + 1))
@@ -75,19 +88,20 @@ def feature_attribution(rows: DataFrame, groups: list[list[int]], weights: list[
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for eid, x, bg, live in zip(batch["eid"], batch["x"], batch["background"], batch["live"]):
-                x, bg, live = np.asarray(x, float), np.asarray(bg, float), [int(i) for i in live]
+            # games with the same live players share coalitions, and are played side by side
+            for live, games in batch.groupby(batch["live"].map(tuple)):
+                x, bg = np.stack(games["x"].to_numpy()).astype(float), np.stack(games["background"].to_numpy()).astype(float)
 
                 def value(z: np.ndarray, x=x, bg=bg, live=live) -> np.ndarray:
-                    shown = np.tile(bg, (len(z), 1))
+                    part = np.zeros((len(z), x.shape[1]))
                     for k, g in enumerate(live):
-                        shown[:, groups[g]] = np.where(z[:, k : k + 1] == 1, x[groups[g]], bg[groups[g]])
-                    return np.tanh(shown @ w + bias)
+                        part[:, groups[g]] = z[:, k : k + 1]
+                    return np.tanh((bg[:, None] + part * (x - bg)[:, None]) @ w + bias)
 
-                phi = np.zeros(len(groups))
-                got, base, full = kernel_shap(value, len(live), samples)
-                phi[live] = got
-                out.append((eid, phi, base, full, len(groups) - len(live)))
+                phi = np.zeros((len(games), len(groups)))
+                got, base, full = kernel_shap_many(value, len(live), samples)
+                phi[:, list(live)] = got
+                out += zip(games["eid"], phi, base, full, [len(groups) - len(live)] * len(games))
             yield pd.DataFrame(out, columns=["eid", "phi", "base", "value", "degenerate"])
 
     played = rows.withColumn("live", live_players(F.col("x"), F.col("background"), groups))

@@ -146,8 +146,8 @@ def read_archive(content: bytes) -> Iterator[tuple]:
 
 def trained_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample (SAMPLE_PAGES pages, by a hash of their ids, SAMPLE_BYTES of each); empty where there is too little."""
-    chosen = pages.filter("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(SAMPLE_PAGES)
-    sample = [r[0].encode() for r in chosen.select(F.substring("html", 1, SAMPLE_BYTES)).collect() if r[0]]
+    cut = pages.filter("html IS NOT NULL").select(F.substring("html", 1, SAMPLE_BYTES).alias("_cut"), F.xxhash64("page_id").alias("_order"), F.xxhash64("html").alias("_tie"))
+    sample = [r[0].encode() for r in cut.orderBy("_order", "_tie").limit(SAMPLE_PAGES).collect() if r[0]]
     if sum(map(len, sample)) < 8 * DICT_BYTES // 4:
         return b""
     try:

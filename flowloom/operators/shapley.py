@@ -108,32 +108,6 @@ def feature_attribution(rows: DataFrame, groups: list[list[int]], weights: list[
     return played.select("eid", "x", "background", "live").mapInPandas(explain, "eid long, phi array<double>, base double, value double, degenerate int")
 
 
-def neighbour_attribution(neighbours: DataFrame, window: int, samples: int = 512) -> DataFrame:
-    """eid, neighbour, phi of each seed's in-window neighbours, by taking edges away from the seed's rolling volume. [K3]
-
-    ``neighbours``: seed_eid, eid, seed_ts, ts, bytes. The value of a coalition is log1p of its bytes, older ones decaying over the window.
-    """
-
-    def explain(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("eid")
-        size = (frame["bytes"] * np.exp(-(frame["seed_ts"] - frame["ts"]) / window)).to_numpy()
-        phi, _, _ = kernel_shap(lambda z: np.log1p(z @ size), len(size), samples)
-        out = pd.DataFrame({"seed_eid": frame["seed_eid"].to_numpy(), "neighbour": frame["eid"].to_numpy(), "phi": phi})
-        return out.reindex(out["phi"].abs().sort_values(ascending=False, kind="stable").index)
-
-    return neighbours.groupBy("seed_eid").applyInPandas(explain, "seed_eid long, neighbour long, phi double")
-
-
-def novelty_players(flows: DataFrame) -> DataFrame:
-    """Adds n_degenerate (a novelty that is 0 already), n_dummy (novelty the scorer ignores at both anchors); disjoint. [K5]
-
-    ``flows``: src_novelty, dst_novelty and the scorer's outputs with and without each: src_gain, dst_gain.
-    """
-    dead = lambda e: (F.col(f"{e}_novelty") == 0).cast("int")
-    dummy = lambda e: ((F.col(f"{e}_novelty") != 0) & (F.abs(f"{e}_gain") == 0)).cast("int")
-    return flows.withColumn("n_degenerate", dead("src") + dead("dst")).withColumn("n_dummy", dummy("src") + dummy("dst"))
-
-
 def connected_top_k(edges: DataFrame, k: int) -> DataFrame:
     """seed_eid, place, eid: greedily the strongest edges that touch what is already chosen. [F13]
 

@@ -45,13 +45,13 @@ def _window(window: int):
     return W.partitionBy("node", "slice").orderBy("ts").rangeBetween(-window, 0)
 
 
-def rolling_state(events: DataFrame, window: int, probes: DataFrame | None = None, baselines: DataFrame | None = None, internal: Column | None = None, trained: DataFrame | None = None) -> DataFrame:
+def rolling_state(events: DataFrame, window: int, probes: DataFrame | None = None, baselines: DataFrame | None = None, internal: Column | None = None, trained: DataFrame | None = None, counters: bool = False) -> DataFrame:
     """The 15 dimensions at each probe (node, t), or at each event's own node and time. [E1, E2, C7, C9, C10, D1]
 
     Probes join the events as marked rows of the same order instead of a range join. ``trained`` (nodes of the training
     split) switches novelty from "first seen within the window" to "not seen in training". Times are whole numbers. A peer
     counts from its last event, so an event's peer leaves when the same peer's next event comes or the window passes; a
-    gap between events leaves with the earlier of them.
+    gap between events leaves with the earlier of them. ``counters`` adds the sums that a rollback subtracts from.
     """
     here = sliced(events.select("node", "ts", "incoming", "bytes", "bin", "peer", "eid"), window).repartition("node", "slice")
     in_time, same_peer = W.partitionBy("node", "slice").orderBy("ts", "eid"), W.partitionBy("node", "slice", "incoming", "peer").orderBy("ts", "eid")
@@ -113,6 +113,7 @@ def rolling_state(events: DataFrame, window: int, probes: DataFrame | None = Non
         "in_degree", "out_degree", "unique_dst", "unique_src", F.size(F.filter("bins", lambda x: x > 0)).alias("unique_bins"),
         entropy(F.transform("bins", lambda x: x.cast("double"))).alias("port_entropy"), "in_bytes", "out_bytes", sin.alias("time_sin"), cos.alias("time_cos"),
         (F.col("in_bytes") + F.col("out_bytes") - usual).alias("volume_deviation"), "iat_cv",
+        *([F.struct("bins", "gaps", "gap_sum", "gap_squares", "last").alias("counters")] if counters else []),
     )
 
 

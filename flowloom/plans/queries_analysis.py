@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from flowloom.functions import encode, stats
-from flowloom.operators import attribution, balance, checks, graph, metrics, sampling, scoring, shapley, splitting, state, timedist, tuning
+from flowloom.operators import attribution, balance, checks, flow_games, graph, metrics, sampling, scoring, shapley, splitting, state, timedist, tuning
 from flowloom.plans.queries import EV, NE, TAU, WINDOW, _bad, _split, query, r
+from flowloom.plans.scratch import written
 from flowloom.sources.flows import events_flow, node_events
 
 GROUPS = ["bytes", "ports", "timing", "flags"]
@@ -363,12 +365,41 @@ def k7_linear_fidelity(spark, sf):
     return shapley.linear_fidelity(games.withColumn("phi", phi), 2, [0.8, -0.5, 0.3, 0.2], -0.1)
 
 
+def _scorer(units: int = 8, classes: int = 5) -> flow_games.Scorer:
+    """Given weights by a rule; training them is left to the trainer."""
+    wave = lambda *shape: np.sin(np.arange(1, np.prod(shape) + 1) * 1.7).reshape(shape) / shape[-1]
+    n = len(flow_games.DIMS)
+    return flow_games.Scorer([(wave(units, n), wave(units, n)[::-1]), (wave(units, units), wave(units, units)[::-1])], wave(classes, 2 * units), np.zeros(classes))
+
+
+def _context(spark, sf):
+    """Flows whose id is divisible by 100, with their two-hop samples from all edges."""
+    ev = events_flow(spark, sf)
+    ids = spark.createDataFrame([("click", 0), ("error", 1), ("purchase", 2), ("signup", 3), ("view", 4)], "cls string, label int")
+    seeds = ev.filter("eid % 100 = 0").join(F.broadcast(ids), "cls").select("eid", "ts", "src", "dst", "label")
+    events = node_events(ev)
+    return written(flow_games.flow_context(ev, events, seeds, [2, 3], WINDOW), "context"), events
+
+
 @query()
 def k3_neighbour_attribution(spark, sf):
-    ev = events_flow(spark, sf)
-    seeds = ev
-    near = sampling.in_window(sampling.sampled_neighbours(ev, seeds, [10]), seeds, WINDOW).join(ev.select("eid", F.col("in_bytes").alias("bytes")), "eid")
-    return shapley.neighbour_attribution(near.select("seed_eid", "eid", "seed_ts", "ts", "bytes"), WINDOW)
+    context, events = _context(spark, sf)
+    return flow_games.neighbour_games(context, flow_games.rollback_records(context, events, WINDOW), _scorer(), WINDOW)
+
+
+@query()
+def k4_node_attribution(spark, sf):
+    context, _ = _context(spark, sf)
+    return flow_games.node_games(context, flow_games.label_backgrounds(context), _scorer())
+
+
+@query(f"""WITH {EV}, {NE}, s AS (SELECT eid AS seed_eid, ts AS t, unnest([src, dst]) AS node FROM ev WHERE eid % 100 = 0)
+SELECT s.seed_eid, s.node, count(*) FILTER (WHERE inc) AS in_degree, count(*) FILTER (WHERE NOT inc) AS out_degree FROM (SELECT DISTINCT * FROM s) s JOIN ne ON ne.node = s.node AND ne.ts BETWEEN s.t - {WINDOW} AND s.t GROUP BY ALL""")
+def m10_flow_context(spark, sf):
+    context, _ = _context(spark, sf)
+    ends = context.select("seed_eid", F.explode(F.filter("nodes", lambda n: (n["node"] == F.col("seed_src")) | (n["node"] == F.col("seed_dst")))).alias("n"))
+    degree = lambda d: F.element_at("n.x", flow_games.DIMS.index(d) + 1).cast("long").alias(d)
+    return ends.select("seed_eid", "n.node", degree("in_degree"), degree("out_degree"))
 
 
 @query()

@@ -145,9 +145,15 @@ def read_archive(content: bytes) -> Iterator[tuple]:
 
 
 def trained_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from a bounded sample (SAMPLE_PAGES pages, by a hash of their ids, SAMPLE_BYTES of each); empty where there is too little."""
-    cut = pages.filter("html IS NOT NULL").select(F.substring("html", 1, SAMPLE_BYTES).alias("_cut"), F.xxhash64("page_id").alias("_order"), F.xxhash64("html").alias("_tie"))
-    sample = [r[0].encode() for r in cut.orderBy("_order", "_tie").limit(SAMPLE_PAGES).collect() if r[0]]
+    """A dictionary from a bounded sample (SAMPLE_PAGES pages, by a hash of ids and texts, SAMPLE_BYTES of each); empty where there is too little.
+
+    Only hashes below a threshold are candidates, about four times the sample at any size, so what reaches the driver doesn't
+    grow with the pages or their partitions.
+    """
+    share = min(1.0, 4 * SAMPLE_PAGES / max(1, pages.count()))
+    order = F.xxhash64("page_id", "html")
+    drawn = pages.filter("html IS NOT NULL").filter(F.shiftrightunsigned(order, 1) <= F.lit(min(2**63 - 1, int(share * 2**63))))
+    sample = [r[0].encode() for r in drawn.select(F.substring("html", 1, SAMPLE_BYTES).alias("_cut"), order.alias("_order")).orderBy("_order").limit(SAMPLE_PAGES).collect() if r[0]]
     if sum(map(len, sample)) < 8 * DICT_BYTES // 4:
         return b""
     try:

@@ -649,3 +649,10 @@ def test_surplus_draws_are_settled_at_random_shards(spark):
         assert sorted(part["turn"]) == list(range(fills[sid][0]))
     counts = got.groupby("shard").size()
     assert counts.std() < 20 and abs(counts.iloc[-10:].mean() - counts.mean()) < 15
+
+
+def test_dictionary_sample_is_bounded_and_independent_of_partitions(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat(repeat(sha2(cast(id AS string), 256), 20), ' shared words of every page ', sha2(cast(id % 7 AS string), 512)) AS html")
+    made = [warc.trained_dictionary(pages.repartition(n)) for n in (2, 40)]
+    assert made[0] and made[0] == made[1]
+    assert warc.trained_dictionary(pages.limit(0)) == b""

@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1 to op10 and the pipeline, each over its whole tables."""
+"""The queries of this subpackage: op1 to op13 and the pipeline, each over its whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat, decontaminate, jaccard_join, license_scan, media, mixing, quality, sharding, substring_dedup, warc
+from flowloom.llm import chat, collision_search, decontaminate, jaccard_join, license_scan, media, mixing, prefix_trie, quality, sharding, substring_dedup, warc, whitening
 from flowloom.plans.scratch import new_path, written
 from flowloom.plans.session import bounded_batches
 
@@ -81,9 +81,27 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_whiten_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return whitening.long_form(whitening.fit(rows, "embedding", components=32), rows)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.numbered_turns(_table(spark, sf_dir, "conversations")), "numbered-turns")
+    conv = F.col("conv_id")
+    rebuilt, convs = prefix_trie.with_borrowed_heads(turns, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, most=3)
+    return prefix_trie.prefix_trie(rebuilt, convs)
+
+
+def op13_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return collision_search.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ours = (
         op1_mix_sources, op2_license_rules, op3_ngram_jaccard, op4_substring_dedup, op5_warc_roundtrip, op6_line_crf, op7_shard_rows, op8_format_chats, op9_benchmark_index, op10_media_columns,
+        op11_whiten_embeddings, op12_prefix_trie, op13_collision_search,
     )
     return {f.__name__: f for f in ours}
 
@@ -130,6 +148,38 @@ FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP12_SQL = r"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS donor, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), joined AS (
+  SELECT c.conv_id, pos, 0 AS part, role, text FROM convs c JOIN own o ON o.conv_id = c.donor AND pos <= h
+  UNION ALL SELECT c.conv_id, pos, 1, role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND pos > h
+), said AS (
+  SELECT conv_id, row_number() OVER w AS d, role, text, count(*) OVER (PARTITION BY conv_id) AS n_turns, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w AS upto
+  FROM joined WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+), path AS (
+  SELECT conv_id, d, sha256(upto) AS key, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, n_turns FROM said
+  UNION ALL SELECT conv_id, 0, '', 0, (SELECT count(*) FROM joined j WHERE j.conv_id = convs.conv_id) FROM convs
+), node AS (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n, max(words) AS words, string_agg(CASE WHEN n_turns = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id) AS ends FROM path GROUP BY key, d
+), linked AS (
+  SELECT node.*, p.key AS parent FROM node LEFT JOIN path p ON p.conv_id = node.conv_id AND p.d = node.d - 1
+), born AS (SELECT parent AS key, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY parent),
+full_node AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN born USING (key)),
+sums AS (
+  SELECT p.key, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n - 1) * f.words)::BIGINT AS saved_tokens
+  FROM full_node f JOIN path p ON p.conv_id = f.conv_id AND p.d <= f.d GROUP BY p.key
+)
+SELECT f.conv_id, f.d AS depth, up.conv_id AS parent_conv_id, f.n AS n_convs, f.n_children, n_leaves, saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM full_node f JOIN sums USING (key) LEFT JOIN node up ON up.key = f.parent
+"""
+
+
 def _license_sql() -> str:
     """The single-sentence rules and the sequences, over normalised sentences."""
     known = ", ".join(f"('{name}', '{sentence}')" for name, sentence in license_scan.SENTENCES.items())
@@ -149,4 +199,4 @@ SELECT doc_id, sentence_ids, coalesce(array_to_string(list_filter([{", ".join(ca
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_rules": _license_sql(), "op9_benchmark_index": OP9_SQL, "op5_warc_roundtrip": OP5_SQL, "op8_format_chats": OP8_SQL}
+    return {"op2_license_rules": _license_sql(), "op9_benchmark_index": OP9_SQL, "op5_warc_roundtrip": OP5_SQL, "op8_format_chats": OP8_SQL, "op12_prefix_trie": OP12_SQL}

@@ -40,6 +40,15 @@ def numbered(df: DataFrame, order: list[str], by: list[str] = [], name: str = "e
     return running(df, F.lit(1).cast("long"), order, by, name).withColumn(name, F.col(name) - 1)
 
 
+def counts_upto(points: DataFrame, asks: DataFrame, by: list[str], at: str, name: str = "n") -> DataFrame:
+    """``asks`` with ``name``: how many of ``points`` have the same ``by`` and an ``at`` not above the ask's; both name columns of both."""
+    keys = [*by, at]
+    marks = points.groupBy(*keys).agg(F.count("*").alias("_count")).withColumn("_kind", F.lit(0))
+    wanted = asks.select(*keys).distinct().withColumns({"_count": F.lit(0).cast("long"), "_kind": F.lit(1)})
+    upto = running(marks.unionByName(wanted), F.col("_count"), [at, "_kind"], by, name).filter("_kind = 1")
+    return joined_on(asks, upto.select(*keys, name), keys)
+
+
 def ranked_values(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """by, value, n (rows of this value), upto (rows up to and including it), total: a row per distinct value that isn't null."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flowloom.operators.adjacency import draw, eligible, fetched, time_runs
+from flowloom.operators.ranges import counts_upto, quantiles
 from flowloom.plans.scratch import written
 
 
@@ -14,27 +15,26 @@ def sampled_neighbours(edges: DataFrame, seeds: DataFrame, fanouts: list[int], s
 
     The hop nearest the seed takes fanouts[-1]. A node's cutoff is the seed's time at first and then the earliest time of
     the sampled edges that lead to it, kept per seed, so nothing later can enter. All eligible edges are taken up to the
-    fanout; of more, a hash of (seed, edge) decides. The cap is the operator's own parameter.
+    fanout; of more, as many are drawn by their places in time. The cap is the operator's own parameter. Only drawn edges are
+    fetched: a seed never meets all in-edges of a hub.
     """
-    links = edges.select("eid", "src", "dst", "ts")
+    runs = time_runs(edges)
     s = seeds.select(F.col("eid").alias("seed_eid"), "src", "dst", "ts")
     front = s.select("seed_eid", F.explode(F.array("src", "dst")).alias("node"), F.col("ts").alias("cutoff")).distinct()
     out = None
     for hop, fanout in enumerate(reversed(fanouts), 1):
-        # the window ranks within (seed, node): a rank of the eligible in-edges of one node
-        eligible = front.join(links, (F.col("node") == F.col("dst")) & (F.col("ts") <= F.col("cutoff")))
-        rank = F.row_number().over(W.partitionBy("seed_eid", "dst").orderBy(F.xxhash64("seed_eid", "eid", F.lit(seed)), "eid"))
-        taken = written(eligible.withColumn("_r", rank).filter(F.col("_r") <= fanout).select("seed_eid", F.lit(hop).alias("hop"), "eid", "src", "dst", "ts", "cutoff"), "hop")
+        drawn = draw(F.col("p"), fanout, F.lit(seed), F.lit(hop), F.col("seed_eid"), F.col("node"))
+        places = eligible(runs, front).select("seed_eid", "node", "cutoff", F.explode(drawn).alias("place"))
+        taken = written(fetched(runs, places).select("seed_eid", F.lit(hop).alias("hop"), "eid", "src", F.col("node").alias("dst"), "ts", "cutoff"), "hop")
         out = taken if out is None else out.unionByName(taken)
         front = taken.groupBy("seed_eid", F.col("src").alias("node")).agg(F.min(F.least("cutoff", "ts")).alias("cutoff"))
     return out.drop("cutoff")
 
 
 def eligible_counts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seed_eid, n: in-edges of the seed's destination up to its own time, ties included, from a running count. [C8]"""
-    upto = W.partitionBy("dst").orderBy("ts").rangeBetween(W.unboundedPreceding, 0)
-    counted = edges.withColumn("n", F.count("*").over(upto))
-    return seeds.select("eid").join(counted.select("eid", "n"), "eid").select(F.col("eid").alias("seed_eid"), "n")
+    """seed_eid, n: in-edges of the seed's destination up to its own time, ties included. [C8]"""
+    asks = seeds.select(F.col("eid").alias("seed_eid"), F.col("dst").alias("node"), F.col("ts").alias("cutoff"))
+    return eligible(time_runs(edges), asks).select("seed_eid", F.col("p").alias("n"))
 
 
 def in_window(neighbours: DataFrame, seeds: DataFrame, window: int) -> DataFrame:
@@ -50,9 +50,10 @@ def gap_seconds(near: DataFrame) -> DataFrame:
 
 
 def future_edges(edges: DataFrame, window: int, key: str = "dst") -> DataFrame:
-    """eid, n_future: edges of the same node with t < ts <= t + window, by a range frame. [C21]"""
-    after = W.partitionBy(key).orderBy("ts").rangeBetween(1, window)
-    return edges.select("eid", F.count("*").over(after).alias("n_future"))
+    """eid, n_future: edges of the same node with t < ts <= t + window, as a difference of two running counts. [C21]"""
+    asks = edges.select("eid", key, F.explode(F.array(F.struct(F.col("ts"), F.lit(-1).alias("sign")), F.struct((F.col("ts") + window).alias("ts"), F.lit(1).alias("sign")))).alias("a")).select("eid", key, "a.ts", "a.sign")
+    counted = counts_upto(edges.select(key, "ts"), asks, [key], "ts")
+    return counted.groupBy("eid").agg(F.sum(F.col("n") * F.col("sign")).alias("n_future"))
 
 
 def leaks(neighbours: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -67,9 +68,9 @@ def window_coverage(gaps_: DataFrame, seeds: DataFrame, windows: list[float]) ->
     """Per window in seconds: seeds with a neighbour within it, share of edges within it, mean per seed, and gap quantiles. [D17, M31, M40]"""
     grid = gaps_.sparkSession.createDataFrame([(float(w),) for w in windows], "w double")
     n = seeds.agg(F.count("*").alias("seeds"))
-    each = gaps_.join(F.broadcast(grid), F.lit(True)).withColumn("inside", F.col("gap") <= F.col("w"))
+    each = gaps_.crossJoin(F.broadcast(grid)).withColumn("inside", F.col("gap") <= F.col("w"))  # a row per window
     per = each.groupBy("w").agg(
         F.countDistinct(F.when(F.col("inside"), F.col("seed_eid"))).alias("covered"), F.avg(F.col("inside").cast("double")).alias("share"), F.count_if("inside").alias("edges"),
-        F.percentile("gap", F.lit(0.05)).alias("p5"), F.percentile("gap", F.lit(0.5)).alias("median"), F.percentile("gap", F.lit(0.95)).alias("p95"),
     )
-    return per.join(F.broadcast(n), F.lit(True)).select("w", "covered", "share", (F.col("edges") / F.col("seeds")).alias("per_seed"), "p5", "median", "p95")
+    places = quantiles(gaps_, "gap", {"p5": 0.05, "median": 0.5, "p95": 0.95})
+    return per.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(places)).select("w", "covered", "share", (F.col("edges") / F.col("seeds")).alias("per_seed"), "p5", "median", "p95")

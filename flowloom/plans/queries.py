@@ -356,6 +356,23 @@ def j2_neighbourhood(spark, sf):
     return sampling.sampled_neighbours(ev, seeds, [1_000_000])
 
 
+def _drawn(hop: int, fanout: int) -> str:
+    """The places drawn from p, in SQL: all up to the fanout, else Floyd's draw by MD5."""
+    number = f"CAST('0x' || left(md5('0:{hop}:' || seed_eid || ':' || node || ':' || j[1]), 15) AS BIGINT) % (j[1] + 1)"
+    return f"CASE WHEN p <= {fanout} THEN range(p) ELSE list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(range(greatest(p - {fanout}, 0), p), lambda x: [x])), lambda taken, j: list_append(taken, CASE WHEN list_contains(taken, {number}) THEN j[1] ELSE {number} END)) END"
+
+
+@query(f"""WITH {EV}, adj AS (SELECT eid, src, dst, ts, row_number() OVER (PARTITION BY dst ORDER BY ts, eid) - 1 AS place FROM ev), s AS (SELECT * FROM ev WHERE eid % 100 = 0),
+f1 AS (SELECT eid AS seed_eid, src AS node, ts AS c FROM s UNION SELECT eid, dst, ts FROM s), p1 AS (SELECT seed_eid, node, c, count(*) AS p FROM f1 JOIN ev ON dst = node AND ts <= c GROUP BY ALL),
+h1 AS (SELECT seed_eid, 1 AS hop, eid, src, dst, ts, c FROM (SELECT seed_eid, node, c, unnest({_drawn(1, 10)}) AS place FROM p1) d JOIN adj ON dst = node AND adj.place = d.place),
+f2 AS (SELECT seed_eid, src AS node, min(least(c, ts)) AS c FROM h1 GROUP BY ALL), p2 AS (SELECT seed_eid, node, c, count(*) AS p FROM f2 JOIN ev ON dst = node AND ts <= c GROUP BY ALL),
+h2 AS (SELECT seed_eid, 2 AS hop, eid, src, dst, ts, c FROM (SELECT seed_eid, node, c, unnest({_drawn(2, 5)}) AS place FROM p2) d JOIN adj ON dst = node AND adj.place = d.place)
+SELECT seed_eid, hop, eid, src, dst, ts FROM h1 UNION ALL SELECT seed_eid, hop, eid, src, dst, ts FROM h2""")
+def f5_capped_neighbourhood(spark, sf):
+    ev, seeds = _seeds(spark, sf)
+    return sampling.sampled_neighbours(ev, seeds, [5, 10])
+
+
 @query(f"""WITH {EV}, s AS (SELECT * FROM ev WHERE eid % 100 = 0), f AS (SELECT eid AS seed_eid, src AS node, ts AS c FROM s UNION SELECT eid, dst, ts FROM s), n AS (SELECT c, ev.ts FROM f JOIN ev ON ev.dst = f.node AND ev.ts <= f.c)
 SELECT count(*) AS neighbours, count(*) FILTER (WHERE ts > c) AS violations, round(avg(CASE WHEN ts > c THEN 1.0 ELSE 0.0 END), 6) AS leakage_rate FROM n""")
 def i10_leakage(spark, sf):
@@ -384,10 +401,10 @@ def b10_window_neighbours(spark, sf):
 
 
 @query(f"""WITH {NEAR}, g AS (SELECT unnest([1800.0, 3600.0, 21600.0]) AS w), n AS (SELECT count(*) AS seeds FROM s)
-SELECT CAST(w AS DOUBLE) AS w, count(DISTINCT seed_eid) FILTER (WHERE gap <= w) AS covered, round(avg(CASE WHEN gap <= w THEN 1.0 ELSE 0.0 END), 6) AS share, round(count(*) FILTER (WHERE gap <= w) / any_value(seeds), 6) AS per_seed, round(quantile_cont(gap, 0.5), 3) AS median FROM near, g, n GROUP BY w""")
+SELECT CAST(w AS DOUBLE) AS w, count(DISTINCT seed_eid) FILTER (WHERE gap <= w) AS covered, round(avg(CASE WHEN gap <= w THEN 1.0 ELSE 0.0 END), 6) AS share, round(count(*) FILTER (WHERE gap <= w) / any_value(seeds), 6) AS per_seed, round(quantile_cont(gap, 0.05), 3) AS p5, round(quantile_cont(gap, 0.5), 3) AS median, round(quantile_cont(gap, 0.95), 3) AS p95 FROM near, g, n GROUP BY w""")
 def d17_window_coverage(spark, sf):
     g, seeds = _near(spark, sf)
-    return sampling.window_coverage(g, seeds, [1800, 3600, 21600]).select("w", "covered", r("share").alias("share"), r("per_seed").alias("per_seed"), r("median", 3).alias("median"))
+    return sampling.window_coverage(g, seeds, [1800, 3600, 21600]).select("w", "covered", r("share").alias("share"), r("per_seed").alias("per_seed"), r("p5", 3).alias("p5"), r("median", 3).alias("median"), r("p95", 3).alias("p95"))
 
 
 @query(f"WITH {EV} SELECT eid, count(*) OVER (PARTITION BY dst ORDER BY ts RANGE BETWEEN 1 FOLLOWING AND {WINDOW} FOLLOWING) AS n_future FROM ev")

@@ -36,7 +36,7 @@ def test_rollback_from_counters_equals_recomputed_states(spark, flows):
     baselines = state.hourly_baselines(events)
     rng = np.random.default_rng(3)
     compared = 0
-    for row in context.join(records, "seed_eid").filter("seed_eid in (40, 59)").collect():
+    for row in context.join(records, "seed_eid").filter("seed_eid in (17, 40, 59)").collect():
         eids = sorted({r["eid"] for r in row["records"]})
         assert all(0 <= row["seed_ts"] - r["ts"] <= WINDOW and r["eid"] != row["seed_eid"] for r in row["records"])
         for absent in ([eids[0]], list(rng.choice(eids, len(eids) // 2 + 1, replace=False)), eids):

@@ -24,8 +24,8 @@ def sampled_neighbours(edges: DataFrame, seeds: DataFrame, fanouts: list[int], s
     out = None
     for hop, fanout in enumerate(reversed(fanouts), 1):
         drawn = draw(F.col("p"), fanout, F.lit(seed), F.lit(hop), F.col("seed_eid"), F.col("node"))
-        places = eligible(runs, front).select("seed_eid", "node", "cutoff", F.explode(drawn).alias("place"))
-        taken = written(fetched(runs, places).select("seed_eid", F.lit(hop).alias("hop"), "eid", "src", F.col("node").alias("dst"), "ts", "cutoff"), "hop")
+        asks = eligible(runs, front).select("seed_eid", "node", "cutoff", "p", drawn.alias("places"))
+        taken = written(fetched(runs, asks).select("seed_eid", F.lit(hop).alias("hop"), "eid", "src", F.col("node").alias("dst"), "ts", "cutoff"), "hop")
         out = taken if out is None else out.unionByName(taken)
         front = taken.groupBy("seed_eid", F.col("src").alias("node")).agg(F.min(F.least("cutoff", "ts")).alias("cutoff"))
     return out.drop("cutoff")

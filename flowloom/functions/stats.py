@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from flowloom.operators.ranges import joined_on, numbered, ranked_values, running
+from flowloom.operators.ranges import joined_on, numbered, ranked_values, running, scan
 from flowloom.plans.scratch import written
 
 
@@ -65,12 +64,16 @@ def top_k(scores: Column, k: int) -> Column:
 
 
 def false_discovery(df: DataFrame, p: str, family: list[str], key: str) -> DataFrame:
-    """Adds q: Benjamini-Hochberg within ``family``; null p-values stay null and don't count. [E13]"""
-    known = F.col(p).isNotNull()
-    n = F.count(p).over(W.partitionBy(*family))
-    ranked = df.withColumn("_r", F.when(known, F.row_number().over(W.partitionBy(*family, known).orderBy(p, key)))).withColumn("_a", F.col(p) * n / F.col("_r"))
-    onward = W.partitionBy(*family, known).orderBy("_r").rowsBetween(0, W.unboundedFollowing)
-    return ranked.withColumn("q", F.when(known, F.least(F.lit(1.0), F.min("_a").over(onward)))).drop("_r", "_a")
+    """Adds q: Benjamini-Hochberg within ``family``; null p-values stay null and don't count. [E13]
+
+    Ranks are a scan forward, the least adjusted value of this and all larger ranks a scan backward: a family of any size spans ranges.
+    """
+    known = df.filter(F.col(p).isNotNull())
+    sizes = known.groupBy(*family).agg(F.count("*").alias("_n"))
+    ranked = joined_on(scan(known, {"_r": ("sum", F.lit(1).cast("long"))}, [p, key], family), sizes, family)
+    least = scan(ranked, {"q": ("min", F.col(p) * F.col("_n") / F.col("_r"))}, [p, key], family, backward=True)
+    adjusted = least.select(*df.columns, F.least(F.lit(1.0), F.col("q")).alias("q"))
+    return adjusted.unionByName(df.filter(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
 def normal_tail(z: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Running sums, row numbers and quantiles over ranges of the order, so that no task sees all rows or a whole hot group.
+"""Running sums, minima, maxima and last values, row numbers and quantiles over ranges of the order, so that no task sees all rows or a whole hot group.
 
 Rows are dealt to ranges of (group, order) and written once; each range is summed, the few range totals get running sums,
 and every range is finished on its own. A group of any size may span many ranges. ``order`` must be total where rows of
@@ -25,14 +25,40 @@ def joined_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -
     return a.join(other, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]), how).drop(*[f"_right_{k}" for k in keys])
 
 
-def running(df: DataFrame, value: Column, order: list[str], by: list[str] = [], name: str = "upto") -> DataFrame:  # noqa: B006  never changed
+def scan(df: DataFrame, values: dict[str, tuple[str, Column]], order: list[str], by: list[str] = [], backward: bool = False) -> DataFrame:  # noqa: B006  never changed
+    """Adds a column per entry of ``values``: the sum, min, max or last value that isn't null over the rows of the same ``by`` up to
+    and including this row in ``order``, or from this row on when ``backward`` ("last" then is the next one on).
+
+    All entries share one pass. Any number of ranges may hold one group: what a range adds up to is carried over the
+    ranges' totals, a row per group and range.
+    """
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+    held = {name: f"_value{i}" for i, name in enumerate(values)}
+    place = F.struct(*[F.col(o) for o in order])
+
+    def total(kind: str, column: str) -> Column:
+        if kind != "last":
+            return kinds[kind](column)
+        known = F.when(F.col(column).isNotNull(), place)
+        return F.min_by(column, known) if backward else F.max_by(column, known)
+
+    def combined(kind: str, earlier: str, own: Column) -> Column:
+        before = F.col(earlier)
+        return {"sum": lambda: F.coalesce(before, F.lit(0)) + own, "min": lambda: F.least(before, own), "max": lambda: F.greatest(before, own), "last": lambda: F.coalesce(own, before)}[kind]()
+
+    dealt = written(df.withColumns({held[n]: v for n, (_, v) in values.items()}).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    towards = [F.desc(o) if backward else F.asc(o) for o in ["_range", *order]]
+    earlier = W.partitionBy(*by).orderBy(towards[0]).rowsBetween(W.unboundedPreceding, -1)  # a row per group and range
+    totals = dealt.groupBy(*by, "_range").agg(*[total(kind, held[n]).alias(f"_total{n}") for n, (kind, _) in values.items()])
+    before = totals.select(*by, "_range", *[kinds[kind](f"_total{n}").over(earlier).alias(f"_before{n}") for n, (kind, _) in values.items()])
+    inside = W.partitionBy(*by, "_range").orderBy(*towards[1:]).rowsBetween(W.unboundedPreceding, 0)
+    out = joined_on(dealt, before, [*by, "_range"])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[combined(kind, f"_before{n}", kinds[kind](held[n]).over(inside)).alias(n) for n, (kind, _) in values.items()])
+
+
+def running(df: DataFrame, value: Column, order: list[str], by: list[str] = [], name: str = "upto") -> DataFrame:  # noqa: B006
     """Adds ``name``: the sum of ``value`` over the rows of the same ``by`` up to and including this row."""
-    dealt = written(df.withColumn("_value", value).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    totals = dealt.groupBy(*by, "_range").agg(F.sum("_value").alias("_sum"))
-    earlier = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row per group and range
-    before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-    inside = W.partitionBy(*by, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return joined_on(dealt, before, [*by, "_range"]).withColumn(name, F.col("_before") + F.sum("_value").over(inside)).drop("_value", "_range", "_before")
+    return scan(df, {name: ("sum", value)}, order, by)
 
 
 def numbered(df: DataFrame, order: list[str], by: list[str] = [], name: str = "eid") -> DataFrame:  # noqa: B006

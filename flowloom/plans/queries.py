@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions import encode, stats
-from flowloom.operators import attribution, balance, checks, cleaning, graph, metrics, sampling, scoring, splitting, state, timedist, tuning
+from flowloom.operators import attribution, balance, checks, cleaning, flow_games, graph, metrics, samples, sampling, scoring, splitting, state, timedist, tuning
 from flowloom.operators.ordering import with_eid
 from flowloom.sources.flows import events_flow, lineitem_flow, node_events, orders_flow
 
@@ -228,6 +228,21 @@ def e1_rolling_state(spark, sf):
     return s.select("node", "ts", "is_internal", "unique_bins", "novelty", "in_degree", "out_degree", "unique_dst", "unique_src", *[r(c, 5).alias(c) for c in five])
 
 
+#: Per class, the mean state of the ends of the 1,000 flows of the least digests.
+_SAMPLED = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY md5('7:' || event_id), event_id) AS k FROM (SELECT event_id, epoch_us(ts) // 1000 AS t, user_id AS src, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS dst, event_type AS cls FROM events)) WHERE k <= 1000"""
+_BACKGROUND = [d for d in flow_games.DIMS if d != "is_internal"]
+
+
+@query(f"""WITH state AS ({STATE_SQL.replace(", 5) AS", ", 14) AS")}), sampled AS ({_SAMPLED})
+SELECT cls, {", ".join(f"round(avg((a.{d} + b.{d}) / 2.0), 6) AS {d}" for d in _BACKGROUND)} FROM sampled JOIN state a ON a.node = src AND a.ts = t JOIN state b ON b.node = dst AND b.ts = t GROUP BY cls""")
+def d3_sampled_backgrounds(spark, sf):
+    ev = events_flow(spark, sf)
+    sampled = samples.bottom_k(ev, 1000, ["cls"], "eid", seed=7)
+    states = state.endpoint_states(sampled, node_events(ev), WINDOW, _BACKGROUND)
+    means = scoring.state_backgrounds(states.join(sampled.select("eid", "cls"), "eid"), _BACKGROUND)
+    return means.select("cls", *[r(d).alias(d) for d in _BACKGROUND])
+
+
 @query(f"""WITH {EV}, {NE}, b AS (SELECT node, CAST(floor((ts / 3600000.0) % 24) AS INTEGER) AS hour, avg(ln(1 + greatest(bytes, 0))) AS m FROM ne GROUP BY ALL)
 SELECT node, hour, round(m, 6) AS baseline, (SELECT round(avg(ln(1 + greatest(bytes, 0))), 6) FROM ne) AS global_mean FROM b""")
 def d1_hourly_baselines(spark, sf):

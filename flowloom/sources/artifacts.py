@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.operators.samples import bottom_k
+
 
 def save_state(events: DataFrame, path: str, novelty_mode: str) -> None:
     """Node events with the mode that they were made for. [A7, A8]"""
@@ -37,13 +39,8 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 
 def sample_per_class(records: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` records of each class by a seeded hash; 0 means all. [A13, F6, F7, F10]"""
-    from pyspark.sql import Window as W
-
-    if n == 0:
-        return records
-    ranked = records.withColumn("_r", F.row_number().over(W.partitionBy("cls").orderBy(F.xxhash64(F.lit(seed), "eid"), "eid")))
-    return ranked.filter(F.col("_r") <= n).drop("_r")
+    """``n`` records of each class by a seeded digest; 0 means all. [A13, F6, F10]"""
+    return bottom_k(records, n, ["cls"], "eid", seed)
 
 
 def merge_csv(spark: SparkSession, path: str, fresh: DataFrame, keys: list[str]) -> DataFrame:

@@ -65,6 +65,19 @@ def temporal_summary(rows: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
+def novelty_summary(rows: DataFrame, k: int = 3) -> DataFrame:
+    """cls (null: overall), n, with_novelty, share; the same of flows with more than ``k`` players; mean fidelities of these. [D15]
+
+    ``rows``: cls, n_players, novelty_in_top (novelty players among the k strongest), fidelity_plus, fidelity_minus.
+    """
+    many, novel = F.col("n_players") > k, F.col("novelty_in_top") > 0
+    return rows.rollup("cls").agg(
+        F.count("*").alias("n"), F.count_if(novel).alias("with_novelty"), F.avg(novel.cast("double")).alias("share"),
+        F.count_if(many).alias("n_informative"), F.count_if(many & novel).alias("with_novelty_informative"), F.avg(F.when(many, novel.cast("double"))).alias("share_informative"),
+        F.avg(F.when(many, F.col("fidelity_plus"))).alias("mean_plus"), F.avg(F.when(many, F.col("fidelity_minus"))).alias("mean_minus"),
+    )
+
+
 def efficiency_audit(rows: DataFrame) -> DataFrame:
     """cls (null: overall), mean_err, max_err, pass_rate, mean_rel: |sum phi - (value - base)| against max(0.1 |gap|, 1e-3). [D20]"""
     gap = F.col("value") - F.col("base")

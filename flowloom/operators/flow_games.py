@@ -29,14 +29,20 @@ TOP = 3
 
 @dataclass(frozen=True)
 class Scorer:
-    """Message passing layers (own, near), furthest hop first, and a linear head over both ends; one logit a class."""
+    """Message passing layers (own, near), furthest hop first, and a linear head over both ends; one logit a class.
+
+    States are centred and scaled first, where these are given.
+    """
 
     layers: list[tuple[np.ndarray, np.ndarray]]
     head: np.ndarray
     bias: np.ndarray
+    centre: np.ndarray | float = 0.0
+    scale: np.ndarray | float = 1.0
 
     def logits(self, x: np.ndarray, hops: list[np.ndarray], src: int, dst: int) -> np.ndarray:
         """``x``: coalitions x nodes x dims; ``hops``: for each layer a nodes x nodes matrix of in-neighbour means."""
+        x = (x - self.centre) / self.scale
         for (own, near), mean in zip(self.layers, hops):
             x = np.maximum(0.0, x @ own.T + (mean @ x) @ near.T)
         return np.concatenate([x[:, src], x[:, dst]], axis=1) @ self.head.T + self.bias

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from flowloom.functions import encode, stats
-from flowloom.operators import attribution, balance, checks, flow_games, graph, metrics, sampling, scoring, shapley, splitting, state, timedist, tuning
+from flowloom.operators import attribution, balance, checks, fitting, flow_games, graph, metrics, samples, sampling, scoring, shapley, splitting, state, timedist, tuning
 from flowloom.plans.queries import EV, NE, TAU, WINDOW, _bad, _split, query, r
 from flowloom.plans.scratch import written
 from flowloom.sources.flows import events_flow, node_events
@@ -365,32 +364,69 @@ def k7_linear_fidelity(spark, sf):
     return shapley.linear_fidelity(games.withColumn("phi", phi), 2, [0.8, -0.5, 0.3, 0.2], -0.1)
 
 
-def _scorer(units: int = 8, classes: int = 5) -> flow_games.Scorer:
-    """Given weights by a rule; training them is left to the trainer."""
-    wave = lambda *shape: np.sin(np.arange(1, np.prod(shape) + 1) * 1.7).reshape(shape) / shape[-1]
-    n = len(flow_games.DIMS)
-    return flow_games.Scorer([(wave(units, n), wave(units, n)[::-1]), (wave(units, units), wave(units, units)[::-1])], wave(classes, 2 * units), np.zeros(classes))
+CLASSES = ["click", "error", "purchase", "signup", "view"]
+FANOUTS = [2, 3]
+#: Flows of each class that the scorer is fitted on and judged by, at most: a bounded sample of the earlier splits.
+FIT_ROWS, JUDGE_ROWS = 200, 100
+
+
+def _labelled(spark, flows):
+    ids = spark.createDataFrame([(c, i) for i, c in enumerate(CLASSES)], "cls string, label int")
+    return flows.join(F.broadcast(ids), "cls")
+
+
+def _fitted(spark, sf):
+    """The scorer, fitted on flows of the training split, stopped by those of the validation split."""
+    ev = events_flow(spark, sf)
+    split = splitting.with_split(ev, splitting.thresholds(ev, 0.6, 0.3))
+    parts = [samples.bottom_k(split.filter(F.col("split") == part), n, ["cls"], "eid", seed=1).withColumn("part", F.lit(part)) for part, n in (("train", FIT_ROWS), ("val", JUDGE_ROWS))]
+    seeds = written(_labelled(spark, parts[0].unionByName(parts[1])).select("eid", "ts", "src", "dst", "label", "part"), "fit-seeds")
+    context = flow_games.flow_context(ev, node_events(ev), seeds, FANOUTS, WINDOW).join(seeds.select(F.col("eid").alias("seed_eid"), "part"), "seed_eid")
+    weights = balance.class_weights(_labelled(spark, split.filter("split = 'train'")), "label", len(CLASSES)).orderBy("label").collect()  # a row a class
+    return fitting.fit(fitting.packed(context), len(CLASSES), [w["weight"] for w in weights])
 
 
 def _context(spark, sf):
     """Flows whose id is divisible by 100, with their two-hop samples from all edges."""
     ev = events_flow(spark, sf)
-    ids = spark.createDataFrame([("click", 0), ("error", 1), ("purchase", 2), ("signup", 3), ("view", 4)], "cls string, label int")
-    seeds = ev.filter("eid % 100 = 0").join(F.broadcast(ids), "cls").select("eid", "ts", "src", "dst", "label")
+    seeds = _labelled(spark, ev.filter("eid % 100 = 0")).select("eid", "ts", "src", "dst", "label")
     events = node_events(ev)
-    return written(flow_games.flow_context(ev, events, seeds, [2, 3], WINDOW), "context"), events
+    return written(flow_games.flow_context(ev, events, seeds, FANOUTS, WINDOW), "context"), events
+
+
+@query()
+def j14_fit_history(spark, sf):
+    return spark.createDataFrame(_fitted(spark, sf).history, "epoch int, train_loss double, val_macro_f1 double, best boolean")
 
 
 @query()
 def k3_neighbour_attribution(spark, sf):
     context, events = _context(spark, sf)
-    return flow_games.neighbour_games(context, flow_games.rollback_records(context, events, WINDOW), _scorer(), WINDOW)
+    return flow_games.neighbour_games(context, flow_games.rollback_records(context, events, WINDOW), _fitted(spark, sf).scorer, WINDOW)
+
+
+@query()
+def d14_neighbour_fidelity(spark, sf):
+    """The temporal summary of what the games on neighbour edges return."""
+    played = k3_neighbour_attribution(spark, sf).withColumn("n_neighbours", F.size("players"))
+    named = played.join(events_flow(spark, sf).select(F.col("eid").alias("seed_eid"), "cls"), "seed_eid")
+    out = attribution.temporal_summary(named)
+    return out.select("cls", "n_nonempty", "n_informative", *[r(c).alias(c) for c in ("mean_n", "plus_nonempty", "minus_informative")])
+
+
+@query()
+def d15_novelty_summary(spark, sf):
+    """Novelty among the strongest players of the games on nodes."""
+    played = k4_node_attribution(spark, sf).withColumn("n_players", F.size("nodes") + 2 - F.col("n_degenerate") - F.col("n_dummy"))
+    named = played.join(events_flow(spark, sf).select(F.col("eid").alias("seed_eid"), "cls"), "seed_eid")
+    out = attribution.novelty_summary(named)
+    return out.select("cls", "n", "with_novelty", "n_informative", "with_novelty_informative", *[r(c).alias(c) for c in ("share", "share_informative", "mean_plus", "mean_minus")])
 
 
 @query()
 def k4_node_attribution(spark, sf):
     context, _ = _context(spark, sf)
-    return flow_games.node_games(context, flow_games.label_backgrounds(context), _scorer())
+    return flow_games.node_games(context, flow_games.label_backgrounds(context), _fitted(spark, sf).scorer)
 
 
 @query(f"""WITH {EV}, {NE}, s AS (SELECT eid AS seed_eid, ts AS t, unnest([src, dst]) AS node FROM ev WHERE eid % 100 = 0)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import flow_games, state
+from flowloom.operators import attribution, flow_games, state
 from flowloom.operators.shapley import kernel_shap
 from flowloom.sources.flows import node_events
 
@@ -104,3 +104,13 @@ def test_node_games(flows):
 def test_a_game_of_no_players():
     phi, none, full = kernel_shap(lambda z: np.full(len(z), 2.0), 0)
     assert (len(phi), none, full) == (0, 2.0, 2.0)
+
+
+def test_novelty_summary(spark):
+    rows = spark.createDataFrame([("a", 5, 1, 0.5, 0.25), ("a", 2, 0, 9.0, 9.0), ("a", 4, 0, 0.1, 0.05), ("b", 1, 2, 9.0, 9.0)], "cls string, n_players int, novelty_in_top int, fidelity_plus double, fidelity_minus double")
+    got = {r["cls"]: r for r in attribution.novelty_summary(rows, 3).collect()}
+    a, b, every = got["a"], got["b"], got[None]
+    assert (a["n"], a["with_novelty"], a["n_informative"], a["with_novelty_informative"], a["share_informative"]) == (3, 1, 2, 1, 0.5)
+    assert (a["mean_plus"], a["mean_minus"]) == (pytest.approx(0.3), pytest.approx(0.15))
+    assert (b["n"], b["with_novelty"], b["n_informative"], b["share_informative"], b["mean_plus"]) == (1, 1, 0, None, None)
+    assert (every["n"], every["with_novelty"], every["share"]) == (4, 2, 0.5)

@@ -17,7 +17,7 @@ component, and only pairs of different components that share enough prefix token
 different components is left out, and a group of n near copies costs about n verifications.
 
 Defined results: null or wordless texts have no shingles and link with nothing (component_id is their own doc_id); fewer
-words than a shingle make one shingle; equal texts are one class; rows with a null doc_id take part, and the smallest
+words than a shingle make one shingle; equal texts are one class, of which one row is verified; rows with a null doc_id take part, and the smallest
 doc_id ignores nulls; very long texts are shingled whole, one at a time; an empty table gives no rows; extra columns are
 ignored by ``components`` and kept by ``one_per_component``.
 """
@@ -110,6 +110,9 @@ class JaccardJoin:
         self.part_bits = int(ranges - 1).bit_length()
         #: A row per document: PROFILE. keys and places are the prefix tokens that other documents have, and where they stand.
         self.profile = written(self._profile(), "shingle-profile")
+        #: Rows that repeat another one's id and text: their texts are picked once.
+        self.again = written(self.profile.filter("n > 0").groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).agg(F.count("*").alias("_rows")).filter("_rows > 1").drop("_rows"), "repeated-rows")
+        self.repeats = not self.again.isEmpty()
 
     # frequencies and prefixes
 
@@ -232,22 +235,27 @@ class JaccardJoin:
         apart = sum((F.bit_count(bits[i].bitwiseXOR(other[i])) for i in range(1, BITS // 64)), F.bit_count(bits[0].bitwiseXOR(other[0])))
         return apart <= n + m - 2 * self._least_overlap(n, m)
 
+    def texts(self, wanted: DataFrame, name: str) -> DataFrame:
+        """The text of each wanted digest (in column ``name``) beside its other columns, picked out of a scan: one row of a class."""
+        rows = self.classes().select("digest", "row")
+        named = written(wanted.join(rows, wanted[name] == rows["digest"]).drop("digest").select(*wanted.columns, F.col("row.doc_id").alias("_id"), F.col("row.hash").alias("_h")), "wanted")
+        size = named.agg(F.sum(F.coalesce(F.octet_length("_id"), F.lit(0)) + ROW_BYTES).alias("n")).first()["n"] or 0  # one number
+        small = size <= SENT_BYTES
+        side = F.broadcast(named) if small else named
+        found = self.docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_h")))
+        if not self.repeats:
+            return found.select(*wanted.columns, "text")
+        marked = found.join(self.again.withColumnsRenamed({"_id": "_again", "_h": "_again_h"}), F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_h") == F.col("_again_h")), "left")
+        once, many = marked.filter("_again_h IS NULL"), marked.filter("_again_h IS NOT NULL")
+        return once.select(*wanted.columns, "text").unionByName(many.select(*wanted.columns, "text").dropDuplicates(wanted.columns))
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b, shared, n_a, n_b of the pairs (digests a and b) that are similar enough, from the whole texts."""
         words, percent = self.words, self.percent
-        rows = self.classes().select("digest", "row")
         pairs = written(pairs.select("a", "b").distinct(), "pairs")
 
-        def texts(wanted: DataFrame, name: str) -> DataFrame:
-            """The text of each wanted digest beside its other columns, picked out of a scan."""
-            named = written(wanted.join(rows, wanted[name] == rows["digest"]).drop("digest").select(*wanted.columns, F.col("row.doc_id").alias("_id"), F.col("row.hash").alias("_h")), "wanted")
-            size = named.agg(F.sum(F.coalesce(F.octet_length("_id"), F.lit(0)) + ROW_BYTES).alias("n")).first()["n"] or 0  # one number
-            small = size <= SENT_BYTES
-            side = F.broadcast(named) if small else named
-            return self.docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_h"))).select(*wanted.columns, "text")
-
-        a = texts(pairs, "a")
-        b = texts(pairs.select("b").distinct(), "b").withColumnRenamed("text", "_other")
+        a = self.texts(pairs, "a")
+        b = self.texts(pairs.select("b").distinct(), "b").withColumnRenamed("text", "_other")
 
         @F.pandas_udf(T.StructType([T.StructField("shared", T.LongType()), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType())]))
         def overlap(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

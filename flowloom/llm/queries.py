@@ -107,12 +107,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP5_SQL = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
-SELECT page_id, payload_bytes, p.payload_digest,
-       CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
-FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+WITH p AS (SELECT page_id, url, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, coalesce(url, '')) AS place FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR first_id IS NULL OR place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND place > 1 THEN first_id END AS refers_to
+FROM f
 """
 
 OP8_SQL = r"""

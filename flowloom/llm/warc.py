@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm.numbering import looked_up
+from flowloom.operators.ranges import numbered as placed_in_ranges
 from flowloom.plans.scratch import written
 
 #: The skippable frame type that holds a dictionary at the start of an archive.
@@ -51,10 +52,19 @@ def with_first_copies(pages: DataFrame, dedup_from: int = 100) -> DataFrame:
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     keys = written(rows.filter(F.octet_length("html") >= dedup_from).select("page_id", F.sha2("html", 256).alias("digest")), "page-digests")
     repeated = keys.groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 AND _first IS NOT NULL")
-    found = looked_up(keys, written(repeated, "repeated"), "digest").filter("NOT page_id <=> _first AND _first IS NOT NULL")
-    refers = written(found.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "_first").distinct(), "revisits")
+    known = written(looked_up(keys, written(repeated, "repeated"), "digest").filter("_first IS NOT NULL"), "known")
+    refers = written(known.filter("NOT page_id <=> _first").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "_first").distinct(), "revisits")
+    holders = written(known.filter("page_id <=> _first").groupBy(F.col("page_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "repeated-holders")
     same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))
-    return rows.withColumn("digest", F.sha2("html", 256)).join(refers, same, "left").select("page_id", "url", "html", "digest", F.col("_first").alias("refers_to"))
+    digested = rows.withColumn("digest", F.sha2("html", 256))
+    names = ["page_id", "url", "html", "digest"]
+    once = lambda df: df.join(refers, same, "left").select(*names, F.col("_first").alias("refers_to"))
+    if holders.isEmpty():
+        return once(digested)
+    # a first holder that repeats its page_id: one of its rows is the response, the others revisit it
+    again = digested.join(holders, same, "left_semi").withColumn("_any", F.monotonically_increasing_id())
+    placed = placed_in_ranges(again, ["url", "_any"], ["page_id", "digest"], "_place")
+    return once(digested.join(holders, same, "left_anti")).unionByName(placed.select(*names, F.when(F.col("_place") > 0, F.col("page_id")).alias("refers_to")))
 
 
 def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from flowloom.llm import chat, decontaminate, jaccard_join, license_scan, media, mixing, quality, queries, sharding, substring_dedup, warc
+from flowloom.llm import chat, decontaminate, jaccard_join, license_scan, media, mixing, numbering, quality, queries, sharding, substring_dedup, warc
 from flowloom.plans.scratch import new_path, written
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -277,7 +277,7 @@ def test_warc_round_trip(spark):
     got = warc.read_archives(spark, folder).collect()
     assert len(got) == len(rows)
     kinds = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got), key=str)
-    assert kinds == sorted([(1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None), (None, "revisit", 1), (7, "response", None)], key=str)
+    assert kinds == sorted([(1, "response", None), (1, "revisit", 1), (2, "revisit", 1), (3, "response", None), (4, "response", None), (5, "response", None), (None, "revisit", 1), (7, "response", None)], key=str)
     for r in got:
         html = next(h for p, _, h in rows if p == r["page_id"]) or ""
         assert (r["payload_bytes"], r["payload_digest"]) == (len(html.encode()), hashlib.sha256(html.encode()).hexdigest())
@@ -285,6 +285,43 @@ def test_warc_round_trip(spark):
     assert {r["target"] for r in got} >= {"http://b\r\nX: y", "%0D é", ""}
 
 
+def test_warc_repeated_first_holder(spark):
+    page = "<p>" + "y" * 200 + "</p>"
+    rows = [(5, "u", page), (5, "u", page), (5, "t", page), (7, "u", page), (9, "u", page), (None, "u", page), (11, "u", "z" * 150), (11, "u", "z" * 150)]
+    folder = new_path(spark, "warc-repeats")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, archive_bytes=300).collect()
+    got = warc.read_archives(spark, folder).collect()
+    kinds = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got), key=str)
+    assert kinds == sorted([(5, "response", None), (5, "revisit", 5), (5, "revisit", 5), (7, "revisit", 5), (9, "revisit", 5), (None, "revisit", 5), (11, "response", None), (11, "revisit", 11)], key=str)
+    assert [r["target"] for r in got if r["page_id"] == 5 and r["record_type"] == "response"] == ["t"]  # the least url
+
+
+def test_numbering_of_a_hot_hash(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("key")).withColumn("_hash", F.xxhash64("key"))
+    made = numbering.numbered(rows, "_hash", ["_hash", "key"])
+    got = made.toPandas()
+    assert sorted(got["row_no"]) == list(range(40_000)) and set(got["row_total"]) == {40_000}
+    again = numbering.numbered(rows.repartition(5), "_hash", ["_hash", "key"]).toPandas()
+    assert dict(zip(got["row_no"], got["key"])) == dict(zip(again["row_no"], again["key"]))  # equal rows are interchangeable, others keep their places
+    # the 20,000 equal rows are numbered in many windows
+    assert made.filter("key = -1").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert numbering.numbered(rows.filter("key = 5"), "_hash", ["_hash", "key"]).collect()[0]["row_no"] == 0
+    assert numbering.numbered(rows.filter("key = 4"), "_hash", ["_hash", "key"]).count() == 0
+
+
+def test_join_verifies_one_row_of_a_class(spark):
+    one, two = words(60), words(60)[:-3] + "zzz"
+    rows = make(spark, [(1, one, "a")] * 40 + [(2, two, "a")] * 30 + [(3, one, "b")] * 20)
+    join = jaccard_join.JaccardJoin(rows, 5, 80)
+    pairs = join.classes().select("digest").collect()
+    assert len(pairs) == 2
+    wanted = spark.createDataFrame([(pairs[0][0], pairs[1][0])], "a string, b string")
+    assert join.repeats and [tuple(r)[2:] for r in join.verified(wanted).collect()] == [(55, 56, 56)]
+    assert join.texts(wanted, "a").count() == join.texts(wanted, "b").count() == 1  # not one of each repeated row
+    out = join.components().collect()
+    assert len(out) == 90 and {r["component_id"] for r in out} == {1}
+
+
 def test_warc_reader_rejects(spark):
     import zstandard
 

@@ -96,3 +96,23 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]
         part = F.max(place - F.floor(place))
         out.append((low + (high - low) * part).alias(name))
     return ranked.groupBy(*by).agg(*out)
+
+
+def islands(df: DataFrame, number: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, first, last, n: the longest runs of consecutive whole numbers among the values of ``number``, each counted once; nulls are left out."""
+    distinct = df.filter(F.col(number).isNotNull()).select(*by, F.col(number).cast("long").alias("_v")).distinct()
+    placed = numbered(distinct, ["_v"], by, "_k")
+    return placed.groupBy(*by, (F.col("_v") - F.col("_k")).alias("_run")).agg(F.min("_v").alias("first"), F.max("_v").alias("last"), F.count("*").alias("n")).drop("_run")
+
+
+def gaps(df: DataFrame, number: str, low: int, high: int) -> DataFrame:
+    """first, last, n: the longest runs of whole numbers from ``low`` to ``high`` that aren't among the values of ``number``. [G6]
+
+    Runs are numbered over ranges and each meets the next by its number, so runs of any count stay distributed.
+    """
+    inside = df.filter(F.col(number).between(low, high))
+    ends = df.sparkSession.createDataFrame([(low - 1, low - 1), (high + 1, high + 1)], "first long, last long")
+    runs = written(numbered(islands(inside, number).select("first", "last").union(ends), ["first"], name="k"), "islands")
+    after = runs.select((F.col("k") - 1).alias("k"), F.col("first").alias("next"))
+    out = runs.join(after, "k").select((F.col("last") + 1).alias("first"), (F.col("next") - 1).alias("last"))
+    return out.filter("first <= last").withColumn("n", F.col("last") - F.col("first") + 1)

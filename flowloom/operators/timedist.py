@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,6 +39,53 @@ def histogram(df: DataFrame, bins_per_hour: int = 1, ts: str = "ts", cls: str =
     return df.join(F.broadcast(t0), F.lit(True)).groupBy(F.col(cls).alias("cls"), F.floor(elapsed * bins_per_hour).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def fine_grid(df: DataFrame, extra: DataFrame, bin_seconds: float = 1.0, most_bins: int = 5_000_000, ts: str = "ts") -> DataFrame:
+    """One row: t0, hours, per_hour, extra, bins: a grid of equal bins of elapsed hours, with the edges of ``extra`` put in. [H29]
+
+    Every full hour is an edge. Above ``most_bins`` the hour is cut into fewer bins, at least one, so the number of bins may
+    pass the bound on spans of more hours than that. ``extra`` is one row, extra_h: edges in elapsed hours, of which those
+    outside the grid or within a millionth of half a bin of another edge are left out, the earlier in the list staying.
+    """
+    s = span(df, ts).join(F.broadcast(extra.select("extra_h")), F.lit(True))  # one row each
+    wanted = round(3600 / bin_seconds)
+    s = s.withColumn("hours", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("span") / HOUR)))
+    s = s.withColumn("per_hour", F.when(F.col("hours") * wanted > most_bins, F.greatest(F.lit(1).cast("long"), F.floor(F.lit(most_bins) / F.col("hours")))).otherwise(F.lit(wanted).cast("long")))
+    close = lambda a, b: F.abs(a - b) <= 0.5e-6 / F.col("per_hour")
+
+    def put_in(kept: Column, x: Column) -> Column:
+        new = (x > 0) & (x < F.col("hours")) & ~close(F.round(x * F.col("per_hour")) / F.col("per_hour"), x) & ~F.exists(kept, lambda k: close(k, x))
+        return F.when(new, F.concat(kept, F.array(x))).otherwise(kept)
+
+    kept = F.array_sort(F.aggregate(F.coalesce("extra_h", F.array().cast("array<double>")), F.array().cast("array<double>"), put_in))
+    s = s.withColumn("extra", kept)
+    return s.select("t0", "hours", "per_hour", "extra", (F.col("hours") * F.col("per_hour") + F.size("extra")).alias("bins"))
+
+
+def fine_histogram(df: DataFrame, grid: DataFrame, ts: str = "ts", cls: str = "cls") -> DataFrame:
+    """cls, bin, start_h, end_h, n: counts of each class in the bins of ``fine_grid``; bins without rows are absent. [I2]
+
+    A bin holds its start and not its end, but for the last one. A row's bin is computed from its time: the equal bin by
+    division, mended where rounding put it beside the edge, and how many inserted edges are not above it.
+    """
+    e, per, top = F.col("_e"), F.col("_g.per_hour"), F.col("_g.hours") * F.col("_g.per_hour") - 1
+    both = df.select(F.col(cls).alias("cls"), F.col(ts).alias("_ts")).filter("_ts IS NOT NULL").join(F.broadcast(grid.select(F.struct("*").alias("_g"))), F.lit(True))
+    both = both.withColumn("_e", (F.col("_ts") - F.col("_g.t0")) / HOUR).withColumn("_k", F.floor(e * per))
+    k = F.col("_k") + F.when(e >= (F.col("_k") + 1) / per, 1).when(e < F.col("_k") / per, -1).otherwise(0)
+    both = both.withColumn("_k", F.least(k, top)).withColumn("_j", F.size(F.filter("_g.extra", lambda x: x <= e)))
+    start, end = F.col("_k") / per, (F.col("_k") + 1) / per
+    before, after = F.get("_g.extra", F.col("_j") - 1), F.get("_g.extra", F.col("_j"))
+    binned = both.select("cls", (F.col("_k") + F.col("_j")).alias("bin"), F.greatest(start, before).alias("start_h"), F.least(end, after).alias("end_h"))
+    return binned.groupBy("cls", "bin", "start_h", "end_h").agg(F.count("*").alias("n"))
+
+
+def split_support(df: DataFrame, taus: DataFrame, ts: str = "ts", cls: str = "cls") -> DataFrame:
+    """cls, n, n_train, n_val, n_test, and tie_train and tie_val, the rows exactly at the cuts. [I2]"""
+    both = df.join(F.broadcast(taus.select("tau_train", "tau_val")), F.lit(True))
+    t, a, b = F.col(ts), F.col("tau_train"), F.col("tau_val")
+    counts = {"n_train": t <= a, "n_val": (t > a) & (t <= b), "n_test": t > b, "tie_train": t == a, "tie_val": t == b}
+    return both.groupBy(F.col(cls).alias("cls")).agg(F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
 def cumulative(hist: DataFrame) -> DataFrame:
     """Adds cdf: the share of the class up to and including the bin. [E9]"""
     upto = W.partitionBy("cls").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)

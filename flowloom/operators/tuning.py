@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -44,8 +45,27 @@ def select_best(trials: DataFrame, score: str = "score") -> DataFrame:
     return trials.orderBy(F.col(score).desc(), "trial").limit(1)
 
 
-def select_best_in_band(trials: DataFrame, points: float, axes: dict[str, list], score: str = "score") -> DataFrame:
-    """Of the trials within ``points`` percent points of the best, the one earliest on each axis in turn, then of lowest number. [F14]"""
-    near = trials.withColumn("_m", F.max(score).over(W.partitionBy())).filter(F.col("_m") - F.col(score) <= points / 100).drop("_m")
-    place = [F.array_position(F.array(*[F.lit(v) for v in values]), F.col(name)) for name, values in axes.items()]
-    return near.orderBy(*place, "trial").limit(1)
+def tie_set(trials: DataFrame, points: float, score: str = "score") -> DataFrame:
+    """The trials within ``points`` percent points of the best score. [F14]"""
+    if points < 0:
+        raise ValueError(f"a band of {points} points")
+    best = trials.agg(F.max(score).alias("_m"))
+    return trials.join(F.broadcast(best), F.lit(True)).filter(F.col("_m") - F.col(score) <= points / 100).drop("_m")
+
+
+def select_best_in_band(trials: DataFrame, points: float, axes: dict[str, list], score: str = "score", cheapest: dict[str, str] | None = None) -> DataFrame:
+    """Of the trials within ``points`` percent points of the best, the cheapest on each axis in turn, then of lowest number. [F14]
+
+    ``cheapest`` names the axes to go by, in their order, and which end of each axis is cheap, "first" or "last"; without it
+    all axes count, their first values cheap. A trial of the band whose value isn't on its axis is an error.
+    """
+    order = dict.fromkeys(axes, "first") if cheapest is None else cheapest
+    for name, end in order.items():
+        if name not in axes or end not in ("first", "last"):
+            raise ValueError(f"{name!r}: {end!r} is not an axis with its cheap end, first or last")
+    place = {name: F.array_position(F.array(*[F.lit(v) for v in axes[name]]), F.col(name)) for name in order}
+    near = tie_set(trials, points, score)
+    foreign = [F.coalesce(p, F.lit(0)) == 0 for p in place.values()]
+    if foreign and (bad := near.filter(reduce(or_, foreign)).head(1)):
+        raise ValueError(f"trial {bad[0]['trial']} has a value that isn't on its axis")
+    return near.orderBy(*[p.asc() if order[n] == "first" else p.desc() for n, p in place.items()], "trial").limit(1)

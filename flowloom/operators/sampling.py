@@ -73,4 +73,4 @@ def window_coverage(gaps_: DataFrame, seeds: DataFrame, windows: list[float]) ->
         F.countDistinct(F.when(F.col("inside"), F.col("seed_eid"))).alias("covered"), F.avg(F.col("inside").cast("double")).alias("share"), F.count_if("inside").alias("edges"),
     )
     places = quantiles(gaps_, "gap", {"p5": 0.05, "median": 0.5, "p95": 0.95})
-    return per.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(places)).select("w", "covered", "share", (F.col("edges") / F.col("seeds")).alias("per_seed"), "p5", "median", "p95")
+    return per.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(places)).select("w", "covered", "seeds", "share", (F.col("edges") / F.col("seeds")).alias("per_seed"), "p5", "median", "p95")

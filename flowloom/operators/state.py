@@ -117,6 +117,45 @@ def rolling_state(events: DataFrame, window: int, probes: DataFrame | None = Non
     )
 
 
+def window_sums(events: DataFrame, windows: list[int], probes: DataFrame | None = None) -> DataFrame:
+    """node, ts, window, in_degree, out_degree, unique_src, unique_dst, in_bytes, out_bytes at each probe, or each event's node and time. [I9]
+
+    One sorted sweep for all windows: an event arrives once, and leaves each window at its own time, so a sum is what arrived
+    less what left that window. Events are sliced by the widest window only. Bytes are plain sums, not logarithms.
+    """
+    widest = max(windows)
+    here = sliced(events.select("node", "ts", "incoming", "bytes", "peer", "eid"), widest).repartition("node", "slice")
+    same_peer = W.partitionBy("node", "slice", "incoming", "peer").orderBy("ts", "eid")
+    marked = here.withColumn("_next", F.lead("ts").over(same_peer))
+    step = lambda t, of, event, peers: F.struct(t.alias("t"), F.lit(of).alias("of"), F.lit(event).alias("event"), F.lit(peers).alias("peers"))
+    steps = [step(F.col("ts"), -1, 1, 1)]
+    for i, w in enumerate(windows):
+        leaves = F.col("ts") + F.lit(w + 1)
+        steps += [step(leaves, i, 1, 0), step(F.least(F.coalesce("_next", leaves), leaves), i, 0, 1)]
+    moves = marked.select("node", "slice", "core", "incoming", "bytes", F.explode(F.array(*steps)).alias("s")).select("node", "slice", "core", "incoming", "bytes", "s.*")
+    if probes is None:
+        rows = moves.withColumn("probe", (F.col("of") == -1) & F.col("core"))
+    else:
+        at = sliced(probes.select("node", "ts").distinct(), widest).filter("core")
+        blank = {"incoming": F.lit(False), "bytes": F.lit(0.0), "of": F.lit(-1), "event": F.lit(0), "peers": F.lit(0)}
+        marks = at.select("node", "slice", "core", F.col("ts").alias("t"), F.lit(True).alias("probe"), *[v.alias(k) for k, v in blank.items()])
+        rows = moves.withColumn("probe", F.lit(False)).unionByName(marks).repartition("node", "slice")
+    upto = W.partitionBy("node", "slice").orderBy("t").rangeBetween(W.unboundedPreceding, 0)
+    inc, out = F.col("incoming"), ~F.col("incoming")
+    measures = {"in_degree": (inc, F.col("event")), "out_degree": (out, F.col("event")), "unique_src": (inc, F.col("peers")), "unique_dst": (out, F.col("peers")), "in_bytes": (inc, F.col("bytes") * F.col("event")), "out_bytes": (out, F.col("bytes") * F.col("event"))}
+    total = lambda name, of: F.coalesce(F.sum(F.when(measures[name][0] & (F.col("of") == of), measures[name][1])).over(upto), F.lit(0))
+    swept = rows.select("node", "slice", "probe", F.col("t").alias("ts"), *[total(m, i).alias(f"{m}_{i}") for m in measures for i in range(-1, len(windows))])
+    swept = swept.filter("probe").dropDuplicates(["node", "slice", "ts"])
+
+    def held(i: int) -> Column:
+        left = {m: F.col(f"{m}_-1") - F.col(f"{m}_{i}") for m in measures}
+        for m, degree in (("in_bytes", "in_degree"), ("out_bytes", "out_degree")):  # without events a sum is 0, whatever rounding left
+            left[m] = F.when(left[degree] > 0, F.greatest(left[m], F.lit(0.0))).otherwise(F.lit(0.0))
+        return F.struct(F.lit(windows[i]).cast("long").alias("window"), *[c.alias(m) for m, c in left.items()])
+
+    return swept.select("node", "ts", F.explode(F.array(*[held(i) for i in range(len(windows))])).alias("_h")).select("node", "ts", "_h.*")
+
+
 def rolled_back(events: DataFrame, excluded: DataFrame) -> DataFrame:
     """``events`` of each probe without its excluded edges: one record less for each exclusion. [C11]
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowloom.operators import ledger, ranges, splitting, timedist
-from flowloom.plans.queries import EV, TAU, query, r
-from flowloom.plans.scratch import new_path
+from flowloom.operators import ablation, ledger, ranges, sampling, splitting, state, timedist
+from flowloom.plans.queries import EV, NE, TAU, query, r
+from flowloom.plans.queries_analysis import FANOUTS, _fitted, _labelled
+from flowloom.plans.scratch import new_path, written
 from flowloom.sources import feature_store as store
-from flowloom.sources.flows import events_flow, orders_flow
+from flowloom.sources.flows import events_flow, node_events, orders_flow
+
+#: Windows that are compared, in seconds.
+WINDOWS = [1800, 3600, 21600]
 
 
 def _orders_store(spark, sf):
@@ -96,3 +100,28 @@ def j15_trial_ledger(spark, sf):
     ledger.run(spark, path, RULES, config, evaluate, batch=10, batches=2)
     ledger.run(spark, path, RULES, config, evaluate, batch=10)
     return ledger.promote(spark, path, RULES, config, 0.5, CHEAP)
+
+
+def _swept(w):
+    over = f"OVER (PARTITION BY node ORDER BY ts RANGE BETWEEN {w * 1000} PRECEDING AND CURRENT ROW)"
+    count, peers = f"count(*) FILTER (WHERE {{}}inc) {over}", f"count(DISTINCT peer) FILTER (WHERE {{}}inc) {over}"
+    total = f"round(coalesce(sum(bytes) FILTER (WHERE {{}}inc) {over}, 0), 4)"
+    measures = [("in_degree", count, ""), ("out_degree", count, "NOT "), ("unique_src", peers, ""), ("unique_dst", peers, "NOT "), ("in_bytes", total, ""), ("out_bytes", total, "NOT ")]
+    return f"SELECT DISTINCT node, ts, CAST({w * 1000} AS BIGINT) AS \"window\", " + ", ".join(f"{sql.format(side)} AS {name}" for name, sql, side in measures) + " FROM ne"
+
+
+@query(f"WITH {EV}, {NE} " + " UNION ALL ".join(_swept(w) for w in WINDOWS))
+def i9_window_sums(spark, sf):
+    """All events' nodes and times, three windows in one sweep."""
+    out = state.window_sums(node_events(events_flow(spark, sf)), [w * 1000 for w in WINDOWS])
+    return out.withColumns({c: r(c, 4) for c in ("in_bytes", "out_bytes")})
+
+
+@query()
+def m31_window_curve(spark, sf):
+    """Coverage and attribution under each window: all flows are sampled, the fitted scorer plays the first five covered ones of each class."""
+    ev = events_flow(spark, sf)
+    seeds = written(_labelled(spark, ev).select("eid", "ts", "src", "dst", "label", "cls"), "seeds")
+    gaps, games = ablation.window_games(ev, node_events(ev), seeds, FANOUTS, _fitted(spark, sf).scorer, WINDOWS)
+    curve = ablation.window_curve(sampling.window_coverage(gaps, seeds, WINDOWS), written(games, "games"))
+    return curve.select("w", "n_games", *[r(c).alias(c) for c in ("coverage", "p5", "median", "p95", "mean_top", "max_top", "delta")])

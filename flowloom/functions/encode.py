@@ -167,3 +167,26 @@ def encode_categories(df: DataFrame, fitted: DataFrame, column: str) -> DataFram
     """``column``_index: the category's index, 0 for rare ones, null for values that training lacks (all zeros in one-hot). [H6]"""
     names = fitted.select(F.col("value").alias("_value"), F.col("index").alias(f"{column}_index"))
     return df.join(names, F.coalesce(F.col(column).cast("string"), F.lit("nan")) == F.col("_value"), "left").drop("_value")
+
+
+def unscale_with(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
+    """The inverse of ``scale_with``: scaled ``columns`` back in their own units. [M5]
+
+    ValueError unless ``fitted`` is what ``fit_scaler`` made for at least these columns.
+    """
+    unknown = [c for c in columns if c not in df.columns or f"{c}_mean" not in fitted.columns or f"{c}_scale" not in fitted.columns]
+    if unknown:
+        raise ValueError(f"not scaled here: {unknown}")
+    both = df.join(F.broadcast(fitted), F.lit(True))
+    return both.select(*[(F.col(c) * F.col(f"{c}_scale") + F.col(f"{c}_mean")).alias(c) if c in columns else c for c in df.columns])
+
+
+def decode_categories(df: DataFrame, fitted: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """The inverse of ``encode_categories``: adds ``name`` (``column``_decoded) for each ``column``_index. [M5]
+
+    Index 0 stands for several rare values, so it, and a null index, decode to null; the category 'nan' stays a text. An
+    index that ``fitted`` lacks is a null, too. The fitted table has a row per category that isn't rare: at most one over
+    the least share it was fitted with.
+    """
+    back = fitted.filter("index > 0").select(F.col("index").alias("_index"), F.col("value").alias(name or f"{column}_decoded"))
+    return df.join(F.broadcast(back), F.col(f"{column}_index") == F.col("_index"), "left").drop("_index")

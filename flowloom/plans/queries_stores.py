@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from flowloom.functions import encode
 from flowloom.operators import ablation, ledger, ranges, sampling, splitting, state, timedist
 from flowloom.plans.queries import EV, NE, TAU, query, r
 from flowloom.plans.queries_analysis import FANOUTS, _fitted, _labelled
@@ -125,3 +126,14 @@ def m31_window_curve(spark, sf):
     gaps, games = ablation.window_games(ev, node_events(ev), seeds, FANOUTS, _fitted(spark, sf).scorer, WINDOWS)
     curve = ablation.window_curve(sampling.window_coverage(gaps, seeds, WINDOWS), written(games, "games"))
     return curve.select("w", "n_games", *[r(c).alias(c) for c in ("coverage", "p5", "median", "p95", "mean_top", "max_top", "delta")])
+
+
+@query("""WITH c AS (SELECT l_returnflag, count(*) AS n, sum(count(*)) OVER () AS whole FROM lineitem GROUP BY 1)
+SELECT l_orderkey, l_linenumber, round(l_quantity, 4) AS l_quantity, round(l_extendedprice, 4) AS l_extendedprice, CASE WHEN n >= whole * CAST(0.3 AS DOUBLE) THEN l_returnflag END AS flag FROM lineitem JOIN c USING (l_returnflag)""")
+def m5_inverse_encoders(spark, sf):
+    """Scaled and encoded line items turned back; rare flags share an index, so they can't be."""
+    rows, scaled = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_extendedprice").cast("double").alias("l_extendedprice"), "l_returnflag"), ["l_quantity", "l_extendedprice"]
+    found, names = encode.fit_scaler(rows, scaled), encode.fit_categories(rows, "l_returnflag", 0.3)
+    coded = encode.encode_categories(encode.scale_with(rows, found, scaled), names, "l_returnflag").drop("l_returnflag")
+    back = encode.decode_categories(encode.unscale_with(coded, found, scaled), names, "l_returnflag", "flag")
+    return back.select("l_orderkey", "l_linenumber", *[r(c, 4).alias(c) for c in scaled], "flag")

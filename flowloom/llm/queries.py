@@ -24,7 +24,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.filter(F.size("sentences") > 0).select(
+    return found.filter((F.size("sentences") > 0) | (F.size("licenses") > 0)).select(
         "doc_id", F.array_join(F.transform("sentences", lambda x: x["id"]), ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"),
     )
 
@@ -181,20 +181,51 @@ FROM full_node f JOIN sums USING (key) LEFT JOIN node up ON up.key = f.parent
 
 
 def _license_sql() -> str:
-    """The single-sentence rules and the sequences, over normalised sentences."""
-    known = ", ".join(f"('{name}', '{sentence}')" for name, sentence in license_scan.SENTENCES.items())
-    cases = []
-    for name, ways in sorted(license_scan.RULES.items()):
-        hit = " OR ".join(f"contains(said, ',{','.join(way)},')" for way in ways)
-        cases.append(f"CASE WHEN {hit} THEN '{name}' END")
+    """The same table and rules by joins: places by a sentence's first words, then the whole sentence; containment by a running maximum."""
+    scan = license_scan
+    sentences = ", ".join(f"('{name}', '{s}', NULL)" for name, s in scan.SENTENCES.items())
+    names = ", ".join(f"('{scan.reference_id(license)}', '{license}', '{name}')" for license, all_names in scan.NAMES.items() for name in all_names)
+    leads = ", ".join(f"('{lead}')" for lead in scan.LEADS)
+    ids = ", ".join(f"('{license}')" for license in sorted({*scan.RULES, *scan.NAMES}))
+    denials = ", ".join(f"'{w}'" for w in scan.NEGATIONS)
+
+    def matched(name: str) -> str:
+        return "(" + " OR ".join(f"regexp_matches(said, '{scan.pattern(way)}')" for way in scan.RULES.get(name, [])) + ")"
+
+    rules = " UNION ALL ".join(
+        f"SELECT r, '{name}' AS license FROM seq WHERE {matched(name)}" + (f" AND NOT {matched(scan.PART_OF[name])}" if name in scan.PART_OF else "") for name in sorted(scan.RULES))
     return rf"""
-WITH known(id, s) AS (VALUES {known}),
-cut AS (SELECT doc_id, string_split_regex(text, '\n+|[.!?;]+[ \t]+') AS parts FROM documents WHERE text IS NOT NULL),
-each AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS number FROM cut),
-clean AS (SELECT doc_id, number, trim(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s FROM each),
-hit AS (SELECT doc_id, number, id, number - lag(number) OVER (PARTITION BY doc_id ORDER BY number) AS apart FROM clean JOIN known USING (s)),
-seq AS (SELECT doc_id, string_agg(id, ',' ORDER BY number) AS sentence_ids, ',' || string_agg(CASE WHEN apart > {license_scan.GAP + 1} THEN '|,' ELSE '' END || id || ',', '' ORDER BY number) AS said FROM hit GROUP BY doc_id)
-SELECT doc_id, sentence_ids, coalesce(array_to_string(list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL), ','), '') AS licenses FROM seq
+WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{scan.UPPER}|', '{scan.LOWER} ') AS t FROM documents),
+sentences(id, s, license) AS (VALUES {sentences}), names(id, license, name) AS (VALUES {names}), leads(lead) AS (VALUES {leads}), ids(license) AS (VALUES {ids}),
+known AS MATERIALIZED (
+  SELECT *, array_to_string(string_split(s, ' ')[1:{scan.ANCHOR}], ' ') AS anchor, len(string_split(s, ' ')) AS n
+  FROM (SELECT * FROM sentences UNION ALL SELECT id, lead || ' ' || name, license FROM names, leads)
+), parts AS (
+  SELECT r, list_filter(list_transform(string_split_regex(t, '{scan.ENDS}'), lambda p: trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g'))), lambda p: p <> '') AS ps FROM texts
+), part AS (SELECT r, unnest(ps) AS p, generate_subscripts(ps, 1) AS u FROM parts),
+split AS (SELECT r, u, string_split(p, ' ') AS ws FROM part),
+word AS (SELECT r, u, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM split),
+placed AS MATERIALIZED (
+  SELECT r, u, w, row_number() OVER o AS i, concat_ws(' ', w, lead(w) OVER o, lead(w, 2) OVER o) AS anchor FROM word WINDOW o AS (PARTITION BY r ORDER BY u, k)
+), starts AS (SELECT p.r, p.i, p.u, k.id, k.s, k.n, k.license FROM placed p JOIN known k USING (anchor)),
+whole AS (SELECT r, list(w ORDER BY i) AS ws, list(u ORDER BY i) AS us FROM placed WHERE r IN (SELECT r FROM starts) GROUP BY r),
+hit AS (
+  SELECT r, i, i + n - 1 AS e, u AS first, us[i + n - 1] AS last, id, license, ws, us
+  FROM starts JOIN whole USING (r) WHERE array_to_string(ws[i:i + n - 1], ' ') = s QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY n DESC) = 1
+), outer_hit AS (
+  SELECT *, len(list_filter(range(greatest(1, i - {scan.NEAR}), i), lambda j: us[j] = first AND ws[j] IN ({denials}))) > 0 AS denied
+  FROM hit QUALIFY coalesce(max(e) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < e, true)
+), found AS (
+  SELECT r, i, id, license, coalesce(first - lag(last) OVER (PARTITION BY r ORDER BY i), 0) AS apart FROM outer_hit WHERE license IS NULL OR NOT denied
+), seq AS (
+  SELECT r, string_agg(id, ',' ORDER BY i) AS sentence_ids, string_agg(repeat(';', greatest(0, least({scan.GAP + 2}, apart))) || '<' || id || '>', '' ORDER BY i) AS said FROM found GROUP BY r
+), lines AS (SELECT r, unnest(regexp_extract_all(t, '{scan.SPDX_LINE}', 1)) AS e FROM texts WHERE contains(t, 'spdx-license-identifier')),
+tags AS (SELECT r, regexp_replace(tag, '{scan.SPDX_TAIL}', '') AS tag FROM (SELECT r, unnest(string_split_regex(e, '{scan.SPDX_ENDS}')) AS tag FROM lines)),
+hits AS (
+  {rules} UNION ALL SELECT r, license FROM found WHERE license IS NOT NULL UNION ALL SELECT r, license FROM tags JOIN ids ON lower(license) = tag
+), named AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM hits GROUP BY r)
+SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(licenses, CASE WHEN contains(said, '<{scan.RESERVED}>') THEN '{scan.OWN}' ELSE '' END) AS licenses
+FROM texts LEFT JOIN seq USING (r) LEFT JOIN named USING (r) WHERE said IS NOT NULL OR licenses IS NOT NULL
 """
 
 

@@ -154,6 +154,43 @@ def test_licenses_of_wrapped_texts_and_clauses(spark):
     assert [(r["doc_id"], r["want"]) for r in license_scan.scan(docs).collect() if ",".join(r["licenses"]) != r["want"]] == []
 
 
+def test_licenses_named_denied_and_between(spark):
+    reserved = "Copyright (c) 2001 A Person. All rights reserved.\n\n"
+    grant, notice = MIT.split("\n\n")
+    cases = [
+        ("BSD-2-Clause", reserved + BSD), ("MIT", f"{grant}\n\nAll rights reserved.\n\n{notice}"), ("", f"{grant}\na\nAll rights reserved.\nb\n{notice}".replace("reserved", "kept")),
+        ("", "This is not released under the MIT License."), ("", "It isn't licensed under the Apache License, Version 2.0"), ("MIT", "Not free.\nReleased under the MIT License"),
+        ("", "no longer available under the MIT license"), ("MIT", "# SPDX-License-Identifier: MIT"), ("Apache-2.0,MIT", "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */"),
+        ("GPL-2.0", "// spdx-license-identifier: GPL-2.0-or-later WITH Classpath-exception-2.0"), ("", "SPDX-License-Identifier: None-Known"), ("LGPL-2.1", "SPDX-License-Identifier:\tLGPL-2.1+\r\n"),
+        ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-SA-4.0", "Available under the Creative Commons Attribution-ShareAlike 4.0 International License"), ("CC-BY-4.0", "licensed under CC BY 4.0"),
+        ("Apache-2.0,MIT", "Licensed under the Apache License, Version 2.0\nor released under the MIT license"), ("Proprietary", "All rights reserved"), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+        ("AGPL-3.0", "distributed under the terms: licensed under AGPLv3"), ("", "license"), ("Zlib", "It's released under the zlib\n# license"), ("MIT", "word " * 300_000 + "released under the MIT license" + " word" * 300_000),
+        ("MIT", "released under the MIT license\n" * 2_000), ("MIT", "released under the MIT license "),
+    ]
+    rows = [(i, want, text) for i, (want, text) in enumerate(cases)] + [(0, *cases[0]), (None, *cases[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    assert [(r["doc_id"], r["want"], r["licenses"]) for r in license_scan.scan(docs).collect() if ",".join(r["licenses"]) != r["want"]] == []
+    two = license_scan.scan(docs.filter("doc_id = 17")).first()["sentences"]
+    assert [x["id"] for x in two] == ["gpl3_ref"]  # the reference within it doesn't count
+    plan = license_scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "EvalPython" not in plan and "InPandas" not in plan
+
+
+def test_license_sql_knows_the_same(spark, tmp_path):
+    import duckdb
+
+    grant, notice = MIT.split("\n\n")
+    texts = [MIT, BSD, BSD + NAMES, "All rights reserved.\n" + BSD, GPL, APACHE, f"{grant}\nx\ny\nz\n{notice}", f"{grant}\nAll rights reserved.\n{notice}", "It's not released under the MIT license", None, "", "|",
+             "SPDX-License-Identifier: MIT AND (BSD-3-Clause OR GPL-3.0+)", "This work is licensed under the GNU General Public License, version 3. All rights reserved.", "all rights reserved", "licensed under the gplv2; released under cc by-nc-sa 4.0"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, MIT])], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = base.execute("SELECT doc_id, sentence_ids, licenses FROM (" + queries.oracle_sql()["op2_license_rules"] + ")").fetchall()
+    got = [(r["doc_id"], r["sentence_ids"], r["licenses"]) for r in queries.op2_license_rules(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 10
+
+
 # Jaccard join
 
 

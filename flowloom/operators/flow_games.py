@@ -6,16 +6,16 @@ node costs no more than any other. Games are played in Arrow batches; the states
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flowloom.functions.encode import N_BINS
+from flowloom.operators.failures import all_finite, play_each
 from flowloom.operators.sampling import sampled_neighbours
 from flowloom.operators.shapley import kernel_shap
 from flowloom.operators.state import SLICE_WINDOWS, rolling_state, sliced
@@ -157,43 +157,40 @@ def _fidelity(states: Callable[[np.ndarray], np.ndarray], logits: Callable[[np.n
     return top, round(float(p[0] - p[1]), 6), round(float(p[0] - p[2]), 6)
 
 
-def neighbour_games(context: DataFrame, records: DataFrame, scorer: Scorer, window: int, samples: int = 1024) -> DataFrame:
-    """seed_eid, players (eid, ts, phi by falling |phi|), base, value, fidelity_plus, fidelity_minus. [K3, K8]
+def neighbour_games(context: DataFrame, records: DataFrame, scorer: Scorer, window: int, samples: int = 1024, errors: bool = False) -> DataFrame:
+    """seed_eid, players (eid, ts, phi by falling |phi|), base, value, fidelity_plus, fidelity_minus. [K3, K6, K8]
 
     An absent edge is rolled back at both of its ends. Without neighbours: no players, 0, 0 and null fidelity.
+    With ``errors``, a game that can't be played is a row with its error.
     """
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                if row.records is None:
-                    out.append((row.seed_eid, [], 0.0, 0.0, None, None))
-                    continue
-                order = {n["node"]: i for i, n in enumerate(row.nodes)}
-                x, hops = np.array([n["x"] for n in row.nodes], dtype=float), _hops(row, order, len(scorer.layers))
-                eids = sorted({int(r["eid"]) for r in row.records})
-                times = {int(r["eid"]): int(r["ts"]) for r in row.records}
-                mine = {}
-                for r in row.records:
-                    mine.setdefault(r["node"], []).append(r)
-
-                def states(z: np.ndarray) -> np.ndarray:
-                    masked = np.repeat(x[None], len(z), axis=0)
-                    for node, held in mine.items():
-                        masked[:, order[node]] = _without(x[order[node]], row.nodes[order[node]]["counters"], held, z[:, [eids.index(r["eid"]) for r in held]] == 0, row.seed_ts, window)
-                    full = z.all(axis=1)
-                    masked[full] = x
-                    return masked
-
-                logits = lambda s: scorer.logits(s, hops, order[row.seed_src], order[row.seed_dst])
-                phi, base, value = kernel_shap(lambda z: logits(states(z))[:, row.label], len(eids), samples)
-                _, plus, minus = _fidelity(states, logits, phi, row.label)
-                ranked = sorted(range(len(eids)), key=lambda i: (-abs(phi[i]), i))
-                out.append((row.seed_eid, [{"eid": eids[i], "ts": times[eids[i]], "phi": float(phi[i])} for i in ranked], base, value, plus, minus))
-            yield pd.DataFrame(out, columns=["seed_eid", "players", "base", "value", "fidelity_plus", "fidelity_minus"])
-
-    return context.join(records, "seed_eid", "left").mapInPandas(explain, "seed_eid long, players array<struct<eid:long,ts:long,phi:double>>, base double, value double, fidelity_plus double, fidelity_minus double")
+    def play(row) -> tuple:
+        if row.records is None:
+            return [], 0.0, 0.0, None, None
+        order = {n["node"]: i for i, n in enumerate(row.nodes)}
+        x, hops = all_finite(np.array([n["x"] for n in row.nodes], dtype=float), list(order)), _hops(row, order, len(scorer.layers))
+        eids = sorted({int(r["eid"]) for r in row.records})
+        times = {int(r["eid"]): int(r["ts"]) for r in row.records}
+        mine = {}
+        for r in row.records:
+            mine.setdefault(r["node"], []).append(r)
+
+        def states(z: np.ndarray) -> np.ndarray:
+            masked = np.repeat(x[None], len(z), axis=0)
+            for node, held in mine.items():
+                masked[:, order[node]] = _without(x[order[node]], row.nodes[order[node]]["counters"], held, z[:, [eids.index(r["eid"]) for r in held]] == 0, row.seed_ts, window)
+            full = z.all(axis=1)
+            masked[full] = x
+            return masked
+
+        logits = lambda s: scorer.logits(s, hops, order[row.seed_src], order[row.seed_dst])
+        phi, base, value = kernel_shap(lambda z: logits(states(z))[:, row.label], len(eids), samples)
+        _, plus, minus = _fidelity(states, logits, phi, row.label)
+        ranked = sorted(range(len(eids)), key=lambda i: (-abs(phi[i]), i))
+        return [{"eid": eids[i], "ts": times[eids[i]], "phi": float(phi[i])} for i in ranked], base, value, plus, minus
+
+    fields = "players array<struct<eid:long,ts:long,phi:double>>, base double, value double, fidelity_plus double, fidelity_minus double"
+    return play_each(context.join(records, "seed_eid", "left"), "seed_eid", play, fields, errors)
 
 
 def label_backgrounds(context: DataFrame) -> DataFrame:
@@ -203,57 +200,55 @@ def label_backgrounds(context: DataFrame) -> DataFrame:
     return means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("background"))
 
 
-def node_games(context: DataFrame, backgrounds: DataFrame, scorer: Scorer, samples: int = 1024) -> DataFrame:
-    """seed_eid, phi_src, phi_dst (novelty), nodes (node, phi), n_degenerate, n_dummy, novelty_in_top, base, value, fidelity_plus, fidelity_minus. [K4, K5, K9]
+def node_games(context: DataFrame, backgrounds: DataFrame, scorer: Scorer, samples: int = 1024, errors: bool = False) -> DataFrame:
+    """seed_eid, phi_src, phi_dst (novelty), nodes (node, phi), n_degenerate, n_dummy, novelty_in_top, base, value, fidelity_plus, fidelity_minus. [K4, K5, K6, K9]
 
     An absent endpoint's novelty is 0; another node's absent state is its label's background but for the time of day. A
     novelty that is 0 already is degenerate, one that changes no logit with all or with no others present is a dummy; both
     have phi 0 and leave the game. In a self-loop the source's novelty stands for both.
+    With ``errors``, a game that can't be played is a row with its error.
     """
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples():
-                order = {n["node"]: i for i, n in enumerate(row.nodes)}
-                x, hops = np.array([n["x"] for n in row.nodes], dtype=float), _hops(row, order, len(scorer.layers))
-                src, dst = order[row.seed_src], order[row.seed_dst]
-                others = [i for i in range(len(x)) if i not in (src, dst)]
-                usual = np.repeat(np.asarray(row.background, dtype=float)[None], len(x), axis=0)
-                usual[:, TIME] = x[:, TIME]
-
-                def states(z: np.ndarray) -> np.ndarray:
-                    masked = np.repeat(x[None], len(z), axis=0)
-                    masked[z[:, 0] == 0, src, NOVELTY] = 0.0
-                    if dst != src:
-                        masked[z[:, 1] == 0, dst, NOVELTY] = 0.0
-                    for k, i in enumerate(others, 2):
-                        masked[z[:, k] == 0, i] = usual[i]
-                    return masked
-
-                logits = lambda s: scorer.logits(s, hops, src, dst)
-                players = 2 + len(others)
-                dead = [e for e, i in enumerate((src, dst)) if x[i, NOVELTY] == 0]
-                anchors = []
-                for e in (0, 1):
-                    flipped = np.array([np.ones(players), np.ones(players), np.zeros(players), np.zeros(players)])
-                    flipped[1, e], flipped[3, e] = 0, 1
-                    score = logits(states(flipped))[:, row.label]
-                    anchors.append(score[0] == score[1] and score[2] == score[3])
-                dummy = [e for e in (0, 1) if e not in dead and anchors[e]]
-                live = [i for i in range(players) if i not in dead and i not in dummy]
-
-                def value(z: np.ndarray) -> np.ndarray:
-                    whole = np.ones((len(z), players))
-                    whole[:, live] = z
-                    return logits(states(whole))[:, row.label]
-
-                phi = np.zeros(players)
-                phi[live], base, full = kernel_shap(value, len(live), samples)
-                top, plus, minus = _fidelity(states, logits, phi, row.label)
-                names = [{"node": int(row.nodes[i]["node"]), "phi": float(phi[k])} for k, i in enumerate(others, 2)]
-                out.append((row.seed_eid, phi[0], phi[1], names, len(dead), len(dummy), sum(i < 2 and abs(phi[i]) > 0 for i in top), base, full, plus, minus))
-            yield pd.DataFrame(out, columns=["seed_eid", "phi_src", "phi_dst", "nodes", "n_degenerate", "n_dummy", "novelty_in_top", "base", "value", "fidelity_plus", "fidelity_minus"])
-
+    def play(row) -> tuple:
+        order = {n["node"]: i for i, n in enumerate(row.nodes)}
+        x, hops = all_finite(np.array([n["x"] for n in row.nodes], dtype=float), list(order)), _hops(row, order, len(scorer.layers))
+        src, dst = order[row.seed_src], order[row.seed_dst]
+        others = [i for i in range(len(x)) if i not in (src, dst)]
+        usual = np.repeat(np.asarray(row.background, dtype=float)[None], len(x), axis=0)
+        usual[:, TIME] = x[:, TIME]
+
+        def states(z: np.ndarray) -> np.ndarray:
+            masked = np.repeat(x[None], len(z), axis=0)
+            masked[z[:, 0] == 0, src, NOVELTY] = 0.0
+            if dst != src:
+                masked[z[:, 1] == 0, dst, NOVELTY] = 0.0
+            for k, i in enumerate(others, 2):
+                masked[z[:, k] == 0, i] = usual[i]
+            return masked
+
+        logits = lambda s: scorer.logits(s, hops, src, dst)
+        players = 2 + len(others)
+        dead = [e for e, i in enumerate((src, dst)) if x[i, NOVELTY] == 0]
+        anchors = []
+        for e in (0, 1):
+            flipped = np.array([np.ones(players), np.ones(players), np.zeros(players), np.zeros(players)])
+            flipped[1, e], flipped[3, e] = 0, 1
+            score = logits(states(flipped))[:, row.label]
+            anchors.append(score[0] == score[1] and score[2] == score[3])
+        dummy = [e for e in (0, 1) if e not in dead and anchors[e]]
+        live = [i for i in range(players) if i not in dead and i not in dummy]
+
+        def value(z: np.ndarray) -> np.ndarray:
+            whole = np.ones((len(z), players))
+            whole[:, live] = z
+            return logits(states(whole))[:, row.label]
+
+        phi = np.zeros(players)
+        phi[live], base, full = kernel_shap(value, len(live), samples)
+        top, plus, minus = _fidelity(states, logits, phi, row.label)
+        names = [{"node": int(row.nodes[i]["node"]), "phi": float(phi[k])} for k, i in enumerate(others, 2)]
+        return phi[0], phi[1], names, len(dead), len(dummy), sum(i < 2 and abs(phi[i]) > 0 for i in top), base, full, plus, minus
+
+    fields = "phi_src double, phi_dst double, nodes array<struct<node:long,phi:double>>, n_degenerate int, n_dummy int, novelty_in_top int, base double, value double, fidelity_plus double, fidelity_minus double"
     # a row a label
-    return context.join(F.broadcast(backgrounds), "label").mapInPandas(explain, "seed_eid long, phi_src double, phi_dst double, nodes array<struct<node:long,phi:double>>, n_degenerate int, n_dummy int, novelty_in_top int, base double, value double, fidelity_plus double, fidelity_minus double")
+    return play_each(context.join(F.broadcast(backgrounds), "label"), "seed_eid", play, fields, errors)

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.operators.failures import array_fault
+
 
 def coalitions(players: int, samples: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Coalition rows (without the empty and full ones) and their kernel weights: all if they fit ``samples``, else drawn by size."""
@@ -78,16 +80,21 @@ def live_players(x: Column, background: Column, groups: list[list[int]]) -> Colu
     return F.filter(F.array(*tests), lambda v: v.isNotNull())
 
 
-def feature_attribution(rows: DataFrame, groups: list[list[int]], weights: list[float], bias: float, samples: int = 2048) -> DataFrame:
+def feature_attribution(rows: DataFrame, groups: list[list[int]], weights: list[float], bias: float, samples: int = 2048, errors: bool = False) -> DataFrame:
     """eid, phi, base, value, degenerate of a linear-logit scorer over (eid, x, background) rows. [K1, K2, K6]
 
     Groups whose values equal the background's are dead: their phi is exactly 0 and the game is played by the rest.
+    With ``errors``, a row whose x or background isn't as many finite numbers as weights has only its eid and the fault in
+    ``error``, which is null for the others.
     """
     w = np.array(weights)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
+            if errors:
+                out = [(eid, None, None, None, None, error) for eid, error in zip(batch["eid"], batch["error"]) if error is not None]
+                batch = batch[batch["error"].isna()]
             # games with the same live players share coalitions, and are played side by side
             for live, games in batch.groupby(batch["live"].map(tuple)):
                 x, bg = np.stack(games["x"].to_numpy()).astype(float), np.stack(games["background"].to_numpy()).astype(float)
@@ -101,11 +108,18 @@ def feature_attribution(rows: DataFrame, groups: list[list[int]], weights: list[
                 phi = np.zeros((len(games), len(groups)))
                 got, base, full = kernel_shap_many(value, len(live), samples)
                 phi[:, list(live)] = got
-                out += zip(games["eid"], phi, base, full, [len(groups) - len(live)] * len(games))
-            yield pd.DataFrame(out, columns=["eid", "phi", "base", "value", "degenerate"])
-
+                out += zip(games["eid"], phi, base, full, [len(groups) - len(live)] * len(games), *([[None] * len(games)] if errors else []))
+            yield pd.DataFrame(out, columns=names, dtype=object if errors else None)
+
+    form, names = "eid long, phi array<double>, base double, value double, degenerate int", ["eid", "phi", "base", "value", "degenerate"]
+    kept = ["eid", "x", "background", "live"]
+    if errors:
+        form, names, kept = form + ", error string", [*names, "error"], [*kept, "error"]
+        fault = F.coalesce(array_fault(F.col("x"), len(w), "x"), array_fault(F.col("background"), len(w), "background"))
+        still = F.array_repeat(F.lit(0.0), len(w))  # in place of what can't be compared
+        rows = rows.select("eid", "x", "background", fault.alias("error")).withColumns({c: F.when(F.col("error").isNull(), F.col(c)).otherwise(still) for c in ("x", "background")})
     played = rows.withColumn("live", live_players(F.col("x"), F.col("background"), groups))
-    return played.select("eid", "x", "background", "live").mapInPandas(explain, "eid long, phi array<double>, base double, value double, degenerate int")
+    return played.select(*kept).mapInPandas(explain, form)
 
 
 def connected_top_k(edges: DataFrame, k: int) -> DataFrame:

@@ -50,16 +50,25 @@ def never_coverable(cover: DataFrame) -> DataFrame:
 def split_sweep(df: DataFrame, trains: list[float], val_share: float, ts: str = "ts", cls: str = "cls") -> DataFrame:
     """For each training share: how many classes occur in all three splits. [I7]
 
-    One pass counts rows by (time, class); the candidates' thresholds, a handful of rows, meet these counts.
+    Rows are counted by (time, class) and summed over ranges once; the row at which a candidate's share is reached names its
+    cut, so no row meets all candidates. The cuts, at most two a candidate, cut time into bins; only the counts by class and
+    bin meet the candidates.
     """
     spark = df.sparkSession
     counts = written(df.groupBy(F.col(ts).alias("t"), F.col(cls).alias("cls")).agg(F.count("*").alias("c")), "counts")
     every = counts.groupBy("t").agg(F.sum("c").alias("c"))
     upto = joined_on(running(every, F.col("c"), ["t"]), every.agg(F.sum("c").alias("n")), [])
-    grid = spark.createDataFrame([(round(t, 6), round(t + (1 - t) * val_share, 6)) for t in trains], "train double, upto_val double")
-    first = lambda c: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * F.col(c)), F.col("n") - 1), F.col("t")))
-    cuts = upto.join(F.broadcast(grid), F.lit(True)).groupBy("train").agg(first("train").alias("a"), first("upto_val").alias("b"))
-    per = counts.join(F.broadcast(cuts), F.lit(True)).groupBy("train", "cls").agg(
-        F.sum(F.when(F.col("t") <= F.col("a"), F.col("c"))).alias("x"), F.sum(F.when((F.col("t") > F.col("a")) & (F.col("t") <= F.col("b")), F.col("c"))).alias("y"), F.sum(F.when(F.col("t") > F.col("b"), F.col("c"))).alias("z"),
+    grid = [(round(t, 6), round(t + (1 - t) * val_share, 6)) for t in trains]
+    place = lambda share: F.least(F.floor(F.col("n") * share), F.col("n") - 1)
+    reached = F.filter(F.array(*[F.lit(x) for x in sorted({x for pair in grid for x in pair})]), lambda x: (place(x) >= F.col("upto") - F.col("c")) & (place(x) < F.col("upto")))
+    cuts = written(upto.select("t", F.explode(reached).alias("share")), "cuts")  # a row a share
+    edges = cuts.agg(F.array_sort(F.collect_set("t")).alias("edges"))
+    below = lambda t: F.size(F.filter("edges", lambda e: e < t))
+    bins = counts.join(F.broadcast(edges), F.lit(True)).groupBy("cls", below(F.col("t")).alias("bin")).agg(F.sum("c").alias("c"))
+    at = cuts.join(F.broadcast(edges), F.lit(True)).select("share", below(F.col("t")).alias("at"))
+    pairs = spark.createDataFrame(grid, "train double, upto_val double").join(F.broadcast(at.select(F.col("share").alias("train"), F.col("at").alias("a"))), "train")
+    pairs = pairs.join(F.broadcast(at.select(F.col("share").alias("upto_val"), F.col("at").alias("b"))), "upto_val")
+    per = bins.join(F.broadcast(pairs), F.lit(True)).groupBy("train", "cls").agg(
+        F.sum(F.when(F.col("bin") <= F.col("a"), F.col("c"))).alias("x"), F.sum(F.when((F.col("bin") > F.col("a")) & (F.col("bin") <= F.col("b")), F.col("c"))).alias("y"), F.sum(F.when(F.col("bin") > F.col("b"), F.col("c"))).alias("z"),
     )
     return per.groupBy("train").agg(F.count_if((F.col("x") > 0) & (F.col("y") > 0) & (F.col("z") > 0)).alias("covered"), F.count("*").alias("classes"))

@@ -131,12 +131,12 @@ def j10_positional_split(spark, sf):
 
 
 @query("""WITH l AS (SELECT epoch_ms(l_shipdate) AS t, l_returnflag AS cls, row_number() OVER (ORDER BY l_shipdate) - 1 AS r, count(*) OVER () AS n FROM lineitem),
-g AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS train), gg AS (SELECT train, round(train + (1 - train) * 0.5, 6) AS up FROM g),
+g AS (SELECT CAST(i AS DOUBLE) / 100 AS train FROM range(5, 96) t(i)), gg AS (SELECT train, round(train + (1 - train) * CAST(0.5 AS DOUBLE), 6) AS up FROM g),
 cuts AS (SELECT train, min(t) FILTER (WHERE r = CAST(floor(n * train) AS BIGINT)) AS a, min(t) FILTER (WHERE r = CAST(floor(n * up) AS BIGINT)) AS b FROM l, gg GROUP BY train),
 p AS (SELECT train, cls, count(*) FILTER (WHERE t <= a) AS x, count(*) FILTER (WHERE t > a AND t <= b) AS y, count(*) FILTER (WHERE t > b) AS z FROM l, cuts GROUP BY ALL)
 SELECT CAST(train AS DOUBLE) AS train, count(*) FILTER (WHERE x > 0 AND y > 0 AND z > 0) AS covered, count(*) AS classes FROM p GROUP BY train""")
 def i7_split_sweep(spark, sf):
-    return splitting.split_sweep(lineitem_flow(spark, sf), [0.05, 0.25, 0.5, 0.75, 0.95], 0.5)
+    return splitting.split_sweep(lineitem_flow(spark, sf), [i / 100 for i in range(5, 96)], 0.5)
 
 
 # encoders

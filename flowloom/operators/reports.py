@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Cut points per column that spread its distinct values over tasks when they are ranked.
-CUTS = 256
+from flowloom.operators.ranges import ranked_values
+from flowloom.plans.scratch import written
 
 
 def correct(records: DataFrame) -> DataFrame:
@@ -87,30 +87,34 @@ def ablation_table(scores: DataFrame, base: str) -> DataFrame:
     return scores.join(F.broadcast(own), F.lit(True)).select("variant", "score", (F.col("score") - F.col("_base")).alias("delta"))
 
 
-def average_ranks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key, name, rank: average ranks of every column, in a row each. [E7, H5]
+def rank_correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """x, y, rho: Spearman's correlation of each pair of columns, x before y; null where one is constant. [H5]
 
-    Equal values are counted first. Distinct values are dealt to ranges by approximate quantiles, the ranges' totals get running
-    sums, and each range is ranked by itself: no task orders a whole column.
+    Only distinct values are ranked. Equal rows are counted first, and each distinct row looks its values' ranks up, column by
+    column: rows need no key, aren't taken apart and put together again, and a column of few values is broadcast.
     """
-    cells = rows.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(key, "x.*").filter("value IS NOT NULL")
-    values = cells.groupBy("name", "value").agg(F.count("*").alias("n"))
-    steps = [i / CUTS for i in range(1, CUTS)]
-    cuts = values.groupBy("name").agg(F.percentile_approx("value", steps, 10 * CUTS).alias("cuts"))  # a row per column
-    dealt = values.join(F.broadcast(cuts), "name").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
-    parts = dealt.groupBy("name", "part").agg(F.sum("n").alias("_n"))
-    starts = parts.withColumn("start", F.coalesce(F.sum("_n").over(W.partitionBy("name").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    upto = F.sum("n").over(W.partitionBy("name", "part").orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    ranked = dealt.join(F.broadcast(starts), ["name", "part"]).select("name", "value", (F.col("start") + upto - (F.col("n") - 1) / 2).alias("rank"))
-    return cells.join(ranked, ["name", "value"]).select(key, "name", "rank")
-
-
-def rank_correlations(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """x, y, rho: Spearman's correlation of each pair of columns, x before y; null where one is constant. [H5]"""
-    wide = average_ranks(rows, key, columns).groupBy(key).pivot("name", columns).agg(F.first("rank"))
+    distinct = written(rows.groupBy(*[F.col(c).cast("double").alias(c) for c in columns]).agg(F.count("*").alias("_rows")), "distinct")
+    ranked = distinct
+    for c in columns:
+        values = ranked_values(distinct.withColumnRenamed(c, "_value"), "_value", weight="_rows")
+        ranks = written(values.select(F.col("_value").alias(c), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"_rank_{c}")), "ranks")
+        ranked = ranked.join(ranks, c, "left")
+    rank = lambda c: F.col(f"_rank_{c}")
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1 :]]
-    found = wide.agg(*[F.corr(x, y).alias(f"{x}|{y}") for x, y in pairs])
-    return found.select(F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.nanvl(F.col(f"{x}|{y}"), F.lit(None).cast("double")).alias("rho")) for x, y in pairs])).alias("p")).select("p.*")
+    centre = ranked.agg(*[F.floor(F.sum(rank(c) * F.col("_rows")) / F.sum(F.when(rank(c).isNotNull(), F.col("_rows")))).alias(f"_mid_{c}") for c in columns])  # one row
+    mid = ranked.join(F.broadcast(centre), F.lit(True))
+
+    def rho(x: str, y: str) -> Column:
+        both = F.col("_rows") * F.when(rank(x).isNotNull() & rank(y).isNotNull(), 1.0)
+        a, b = rank(x) - F.col(f"_mid_{x}"), rank(y) - F.col(f"_mid_{y}")
+        n, sx, sy = F.sum(both), F.sum(both * a), F.sum(both * b)
+        spread = lambda v, s: F.sum(both * v * v) - s * s / n
+        p = spread(a, sx) * spread(b, sy)
+        varies = lambda v: F.max(F.when(both > 0, v)) > F.min(F.when(both > 0, v))
+        return F.when(varies(a) & varies(b) & (p > 0), (F.sum(both * a * b) - sx * sy / n) / F.sqrt(p))
+
+    found = mid.agg(*[rho(x, y).alias(f"{x}|{y}") for x, y in pairs])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"`{x}|{y}`").alias("rho")) for x, y in pairs])).alias("p")).select("p.*")
 
 
 def pruned_columns(correlations: DataFrame, columns: list[str], threshold: float = 0.995) -> list[str]:

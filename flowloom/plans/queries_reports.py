@@ -69,8 +69,7 @@ COLUMNS = ["l_quantity", "l_extendedprice", "doubled", "l_discount", "l_tax", "i
 
 
 def _priced(spark, sf):
-    rows = with_eid(spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("ts", F.unix_millis(F.col("l_shipdate").cast("timestamp"))), "ts", ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    return rows.select("eid", "l_quantity", "l_extendedprice", (F.col("l_extendedprice") * 2).alias("doubled"), "l_discount", "l_tax", (-F.col("l_quantity")).alias("inverse"))
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_quantity", "l_extendedprice", (F.col("l_extendedprice") * 2).alias("doubled"), "l_discount", "l_tax", (-F.col("l_quantity")).alias("inverse"))
 
 
 RANKED = "WITH l AS (SELECT *, l_extendedprice * 2 AS doubled, -l_quantity AS inverse FROM lineitem), k AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in COLUMNS) + " FROM l)"
@@ -78,12 +77,12 @@ RANKED = "WITH l AS (SELECT *, l_extendedprice * 2 AS doubled, -l_quantity AS in
 
 @query(RANKED + " ".join("" if (i, j) == (0, 0) else f"{' UNION ALL' if (i, j) != (0, 1) else ''} SELECT '{x}' AS x, '{y}' AS y, round(corr({x}, {y}), 6) AS rho FROM k" for i, x in enumerate(COLUMNS) for j, y in enumerate(COLUMNS) if i < j))
 def h5_rank_correlations(spark, sf):
-    return reports.rank_correlations(_priced(spark, sf), "eid", COLUMNS).select("x", "y", r("rho").alias("rho"))
+    return reports.rank_correlations(_priced(spark, sf), COLUMNS).select("x", "y", r("rho").alias("rho"))
 
 
 @query("SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS name")
 def h5_pruned_columns(spark, sf):
-    stay = reports.pruned_columns(reports.rank_correlations(_priced(spark, sf), "eid", COLUMNS), COLUMNS)
+    stay = reports.pruned_columns(reports.rank_correlations(_priced(spark, sf), COLUMNS), COLUMNS)
     return spark.createDataFrame([(c,) for c in stay], "name string")
 
 

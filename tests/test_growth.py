@@ -2,7 +2,7 @@
 
 import pytest
 
-from flowloom.operators import ranges, sampling
+from flowloom.operators import ranges, reports, sampling
 
 
 def plan(df):
@@ -55,3 +55,16 @@ def test_selected_quantiles_are_exact(spark):
         want = ranges.quantiles(df, "v", shares).first().asDict()
         for cuts in (1, 5, 4096):
             assert ranges.selected_quantiles(df, "v", shares, cuts).first().asDict() == pytest.approx(want)
+
+
+def test_rank_correlations_need_no_key(spark):
+    """Repeated rows count each; a null is left out of its column's pairs; a side that is constant where both are known has no rho."""
+    rows = [(float(i % 7), float(-(i * i) % 11), None if i % 3 else float(i % 5), 2.0, 1.0 if i % 3 else float(i)) for i in range(90)] * 2
+    names = ["a", "b", "c", "d", "e"]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    want = df.toPandas().rank().corr()
+    got = {(r.x, r.y): r.rho for r in reports.rank_correlations(df, names).collect()}
+    assert len(got) == 10
+    for (x, y), rho in got.items():
+        assert rho is None if want[x][y] != want[x][y] else rho == pytest.approx(want[x][y], abs=1e-9)
+    assert got["a", "d"] is None and got["a", "c"] is not None

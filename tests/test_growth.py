@@ -2,7 +2,7 @@
 
 import pytest
 
-from flowloom.operators import ranges, reports, sampling
+from flowloom.operators import ranges, reports, sampling, shapley
 
 
 def plan(df):
@@ -68,3 +68,14 @@ def test_rank_correlations_need_no_key(spark):
     for (x, y), rho in got.items():
         assert rho is None if want[x][y] != want[x][y] else rho == pytest.approx(want[x][y], abs=1e-9)
     assert got["a", "d"] is None and got["a", "c"] is not None
+
+
+def test_connected_top_k_takes_many_seeds_a_batch(spark):
+    """Two seeds of one batch: an edge given twice counts once, unknown strengths come last, edges without ends are skipped."""
+    edges = [(10, 1, 2, 0.1), (11, 2, 3, -0.9), (11, 2, 3, -0.9), (12, 7, 8, 1.0), (13, 3, 4, None), (14, None, 1, 2.0), (15, 4, 7, 0.05)]
+    rows = [(s, *e, s, 99) for s in (1, 7) for e in edges]
+    df = spark.createDataFrame(rows, "seed_eid long, eid long, src long, dst long, phi double, seed_src long, seed_dst long")
+    found = shapley.connected_top_k(df, 4)
+    got = {s: [r.eid for r in sorted(found.collect(), key=lambda r: r.place) if r.seed_eid == s] for s in (1, 7)}
+    assert got == {1: [10, 11, 13, 15], 7: [12, 15, 13, 11]}
+    assert "FlatMapGroupsInPandas" not in plan(found)

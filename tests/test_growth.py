@@ -2,7 +2,7 @@
 
 import pytest
 
-from flowloom.operators import ranges, reports, sampling, shapley
+from flowloom.operators import ranges, reports, sampling, shapley, state
 
 
 def plan(df):
@@ -79,3 +79,22 @@ def test_connected_top_k_takes_many_seeds_a_batch(spark):
     got = {s: [r.eid for r in sorted(found.collect(), key=lambda r: r.place) if r.seed_eid == s] for s in (1, 7)}
     assert got == {1: [10, 11, 13, 15], 7: [12, 15, 13, 11]}
     assert "FlatMapGroupsInPandas" not in plan(found)
+
+
+def test_snapshots_come_without_a_shuffle_of_marks(spark):
+    """Every tenth edge is a mark; marks of one time, nodes that come later, idle nodes and an unknown node."""
+    flows = [(i, 7 * (i // 15), i % 4 if i < 40 else 9, i % 3) for i in range(90)] + [(90, 100, None, 2), (99, 500, 1, 2)]
+    edges = spark.createDataFrame(flows, "eid long, ts long, src long, dst long")
+    ends = [(s, t, False, e) for e, t, s, _ in flows] + [(d, t, True, e) for e, t, _, d in flows]
+    events = spark.createDataFrame(ends, "node long, ts long, incoming boolean, eid long")
+    found = state.snapshot_degrees(events, edges, 10, 20)
+    want = set()
+    for e, t, _, _ in flows:
+        if e % 10 == 9:
+            for n in {n for n, at, _, _ in ends if at <= t}:
+                inside = [i for m, at, i, _ in ends if n is not None and m == n and t - 20 <= at <= t]
+                want.add((e, n, sum(inside), len(inside) - sum(inside)))
+    got = found.collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    final = plan(found).split("== Physical Plan ==")[1]
+    assert "Generate" in final.split("Exchange")[0]  # rows of single marks come last

@@ -98,3 +98,14 @@ def test_snapshots_come_without_a_shuffle_of_marks(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     final = plan(found).split("== Physical Plan ==")[1]
     assert "Generate" in final.split("Exchange")[0]  # rows of single marks come last
+
+
+def test_sweeps_are_dealt_by_their_rows(spark, monkeypatch):
+    """Ten times the events, ten times the tasks, of one size."""
+    events = spark.range(2000).selectExpr("id % 50 AS node", "id * 10 AS ts", "id % 2 = 0 AS incoming", "1.0D AS bytes", "0 AS bin", "id % 7 AS peer", "id AS eid")
+    monkeypatch.setattr(state, "SWEEP_ROWS", 20)
+    assert state.sweep_parts(events) == 100
+    assert state.sweep_parts(events.limit(3)) == spark.sparkContext.defaultParallelism
+    for swept in (state.rolling_state(events, 100), state.window_sums(events, [50, 100])):
+        assert "slice#" in plan(swept) and ", 100), REPARTITION_BY_NUM" in plan(swept)
+        assert swept.select("node", "ts").distinct().count() == 2000

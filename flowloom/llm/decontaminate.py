@@ -35,8 +35,9 @@ from flowloom.plans.scratch import written
 BLOCK_WINDOWS = 20_000
 #: Words of a shard; a longer document is a shard of its own.
 BATCH_WORDS = 1_000_000
-#: Bytes of index that a reader decodes at once.
-ROW_GROUP = 8 << 20
+#: A shard is a row group of its own, so writers and readers hold one at a time. A bound in bytes alone doesn't give that: Parquet
+#: first looks at its size after 100 rows, and 100 shards are gigabytes.
+ONE_AT_A_TIME = {"parquet.block.row.count.limit": "1"}
 SHARD = "rows array<string>, ids array<string>, sizes array<int>, terms array<string>, counts array<int>, posts array<int>"
 #: ASCII bytes that aren't letters or digits divide words, A-Z become a-z, other bytes stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -152,7 +153,7 @@ class Index:
     def __init__(self, docs: DataFrame, benchmark: DataFrame, length: int = 10):
         self.id_type = docs.schema["doc_id"].dataType
         self.windows = written(item_windows(benchmark, length), "windows")
-        self.shards = written(postings(docs), "postings", **{"parquet.block.size": str(ROW_GROUP)})
+        self.shards = written(postings(docs), "postings", **ONE_AT_A_TIME)
         #: doc_id, row, n_words: a row per document.
         self.documents = self.shards.select(F.explode(F.arrays_zip("ids", "rows", "sizes")).alias("d")).select(F.col("d.ids").alias("doc_id"), F.col("d.rows").alias("row"), F.col("d.sizes").cast("long").alias("n_words"))
         distinct = self.windows.select("window").distinct()

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -517,6 +518,15 @@ def test_proximity_and_empty(spark):
     assert [r["doc_id"] for r in decontaminate.without_contaminated(docs, bench).collect()] == [2]
 
 
+def test_a_shard_of_the_index_is_read_alone(spark):
+    docs = make(spark, [(i, f"a{i} b c d " * (decontaminate.BATCH_WORDS // 4), "s") for i in range(3)]).coalesce(1)
+    index = decontaminate.Index(docs, spark.createDataFrame([(1, "d a1 b")], "item_id long, text string"))
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.shards.inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert [n for n in groups if n] == [1, 1, 1]
+    assert [r["doc_id"] for r in index.report().filter("n_hit > 0").collect()] == [1]
+
+
 # media
 
 

@@ -25,6 +25,7 @@ ignored by ``components`` and kept by ``one_per_component``.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 
 from flowloom.llm.numbering import looked_up, row_order
 from flowloom.operators.components import connected_components
-from flowloom.plans.scratch import written
+from flowloom.plans.scratch import new_path, written
 
 KEY_BITS = 48
 #: Tokens (and documents) that a task packs at once, and tokens in a range of keys.
@@ -46,9 +47,8 @@ BATCH_TOKENS, BATCH_DOCS, RANGE_TOKENS = 250_000, 50_000, 1 << 18
 BITS = 512
 #: The longest extension of a prefix that is tried, and what a candidate's verification costs in postings.
 MOST_MATCHES = 4
-#: Bytes of ids and digests that are sent to all tasks at most, to pick texts out of a scan; more are joined by a shuffle.
-#: Both ways give the same rows. A row in memory is counted as ROW_BYTES and its id.
-SENT_BYTES, ROW_BYTES = 32 << 20, 256
+#: Bytes of text in a bucket of the table of texts.
+BUCKET_BYTES = 32 << 20
 
 PACKED = "part int, batch string, base int, size int, blob binary, extra binary, info binary"
 PROFILE = "doc_id string, hash long, n int, digest string, matches int, bits array<long>, keys array<long>, places array<int>"
@@ -110,9 +110,17 @@ class JaccardJoin:
         self.part_bits = int(ranges - 1).bit_length()
         #: A row per document: PROFILE. keys and places are the prefix tokens that other documents have, and where they stand.
         self.profile = written(self._profile(), "shingle-profile")
-        #: Rows that repeat another one's id and text: their texts are picked once.
-        self.again = written(self.profile.filter("n > 0").groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).agg(F.count("*").alias("_rows")).filter("_rows > 1").drop("_rows"), "repeated-rows")
-        self.repeats = not self.again.isEmpty()
+        #: _h, _text: each text once, in buckets of its hash, so that what is looked up goes to the texts and no text moves.
+        self.laid = self._laid(max(1, size // BUCKET_BYTES))
+        self.repeats = self.laid.count() < self.profile.count()
+
+    def _laid(self, least: int) -> DataFrame:
+        """The table of texts: at least ``least`` buckets, a multiple of the shuffle's partitions, so that each bucket is one task's file."""
+        spark = self.docs.sparkSession
+        tasks, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
+        each = self.docs.groupBy(F.col("hash").alias("_h")).agg(F.max("text").alias("_text"))  # copies meet in their own tasks first
+        each.write.bucketBy(-(-least // tasks) * tasks, "_h").options(path=new_path(spark, "texts"), compression="zstd").saveAsTable(name)
+        return spark.table(name)
 
     # frequencies and prefixes
 
@@ -236,18 +244,10 @@ class JaccardJoin:
         return apart <= n + m - 2 * self._least_overlap(n, m)
 
     def texts(self, wanted: DataFrame, name: str) -> DataFrame:
-        """The text of each wanted digest (in column ``name``) beside its other columns, picked out of a scan: one row of a class."""
-        rows = self.classes().select("digest", "row")
-        named = written(wanted.join(rows, wanted[name] == rows["digest"]).drop("digest").select(*wanted.columns, F.col("row.doc_id").alias("_id"), F.col("row.hash").alias("_h")), "wanted")
-        size = named.agg(F.sum(F.coalesce(F.octet_length("_id"), F.lit(0)) + ROW_BYTES).alias("n")).first()["n"] or 0  # one number
-        small = size <= SENT_BYTES
-        side = F.broadcast(named) if small else named
-        found = self.docs.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_h")))
-        if not self.repeats:
-            return found.select(*wanted.columns, "text")
-        marked = found.join(self.again.withColumnsRenamed({"_id": "_again", "_h": "_again_h"}), F.col("_id").eqNullSafe(F.col("_again")) & (F.col("_h") == F.col("_again_h")), "left")
-        once, many = marked.filter("_again_h IS NULL"), marked.filter("_again_h IS NOT NULL")
-        return once.select(*wanted.columns, "text").unionByName(many.select(*wanted.columns, "text").dropDuplicates(wanted.columns))
+        """The text of each wanted digest (in column ``name``) beside its other columns: that of one row of the class."""
+        rows = self.classes().select("digest", F.col("row.hash").alias("_h"))
+        named = wanted.join(rows, wanted[name] == rows["digest"]).select(*wanted.columns, "_h")
+        return named.join(self.laid, "_h").select(*wanted.columns, F.col("_text").alias("text"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """a, b, shared, n_a, n_b of the pairs (digests a and b) that are similar enough, from the whole texts."""
@@ -334,8 +334,11 @@ def one_per_component(docs: DataFrame, words: int = 5, percent: int = 80) -> Dat
     again = found.groupBy("doc_id", "hash").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id", "hash", F.lit(True).alias("_again"))
     marks = gone.unionByName(again).groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_h")).agg(F.min("_again").alias("_again"))
     marks = written(marks, "near-copies")
+    twice = written(marks.filter("_again").drop("_again"), "repeated-rows")
     rows = docs.select(F.struct("*").alias("_doc"), row_order(docs).alias("_order"))  # packed, so that no column of the input clashes with ours
     same = F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("_doc.text") == F.col("_h"))
     once = rows.join(marks, same, "left_anti").select("_doc")
-    repeated = rows.join(marks.filter("_again"), same, "left_semi").groupBy(F.col("_doc.doc_id").alias("_id"), F.xxhash64("_doc.text").alias("_h")).agg(F.min_by("_doc", "_order").alias("_doc"))
+    if twice.isEmpty():  # the texts are shuffled once less
+        return once.select("_doc.*")
+    repeated = rows.join(twice, same, "left_semi").groupBy(F.col("_doc.doc_id").alias("_id"), F.xxhash64("_doc.text").alias("_h")).agg(F.min_by("_doc", "_order").alias("_doc"))
     return once.unionByName(repeated.select("_doc")).select("_doc.*")

@@ -360,6 +360,19 @@ def test_join_verifies_one_row_of_a_class(spark):
     assert len(out) == 90 and {r["component_id"] for r in out} == {1}
 
 
+def test_join_looks_texts_up_where_they_lie(spark):
+    join = jaccard_join.JaccardJoin(make(spark, [(i, words(40, 100 * (i % 30)), "a") for i in range(90)]), 5, 80)
+    wanted = written(join.classes().select(F.col("digest").alias("a")), "wanted")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = join.texts(wanted, "a")
+        side = found._jdf.queryExecution().executedPlan().toString().split("Sort [_h#")[-1]
+        assert "_text" in side and "Exchange" not in side and "SelectedBucketsCount" in side  # the wanted digests go to the texts, however many they are
+        assert sorted(r["text"] for r in found.collect()) == sorted(words(40, 100 * i) for i in range(30))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_warc_reader_rejects(spark):
     import zstandard
 

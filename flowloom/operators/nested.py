@@ -16,10 +16,29 @@ from flowloom.plans.scratch import written
 NOT_SUPPLIED = "not_supplied"
 
 
+#: Kinds by the first word of a value's schema.
+KINDS = {"OBJECT": "object", "ARRAY": "array", "VOID": "null", "STRING": "string", "BOOLEAN": "boolean", "BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number"}
+
+
 def _kind(value: Column) -> Column:
+    """The schema is read once, not once a kind: that of a container takes a walk through all of it."""
     shape = F.schema_of_variant(value)
-    out = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "VOID", "null").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
-    return out.when(shape.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number").otherwise(F.lower(shape))
+    names = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.regexp_extract(shape, "^[A-Z]+", 0)), F.lower(shape))
+
+
+def _once(column: Column) -> Column:
+    """Made by a generator, which is evaluated once, however often the column is used."""
+    return F.explode(F.array(column))
+
+
+def _read(level: DataFrame) -> DataFrame:
+    """A level with kind, number and text; only containers keep their value, for the next level."""
+    level = level.select("*", _once(F.when(F.col("value").isNull(), "malformed").otherwise(_kind(F.col("value")))).alias("kind"))
+    kind, value = F.col("kind"), F.col("value")
+    number = F.when(kind == "number", F.try_variant_get("value", "$", "double"))
+    text = F.when(kind.isin("string", "number", "boolean"), F.try_variant_get("value", "$", "string"))
+    return level.withColumns({"number": number, "text": text, "value": F.when(kind.isin("object", "array"), value)})
 
 
 def json_paths(docs: DataFrame, json: str, keys: list[str]) -> DataFrame:
@@ -33,12 +52,11 @@ def json_paths(docs: DataFrame, json: str, keys: list[str]) -> DataFrame:
     clash = {"path", "steps", "kind", "number", "text"} & set(keys)
     if clash:
         raise ValueError(f"keys would clash with columns of the result: {sorted(clash)}")
-    value = F.try_parse_json(docs[json])
-    level = docs.filter(docs[json].isNotNull()).select(
-        *keys, F.lit("$").alias("path"), F.array().cast("array<string>").alias("steps"), F.when(value.isNull(), "malformed").otherwise(_kind(value)).alias("kind"), value.alias("value"))
+    given = docs.select(*keys, _once(docs[json]).alias("text")).filter("text IS NOT NULL")
+    level = given.select(*keys, F.lit("$").alias("path"), F.array().cast("array<string>").alias("steps"), _once(F.try_parse_json("text")).alias("value"))
     levels = []
     while True:
-        level = written(level, "json-level")
+        level = written(_read(level), "json-level")
         levels.append(level)
         inner = level.filter(F.col("kind").isin("object", "array"))
         if inner.isEmpty():
@@ -48,13 +66,11 @@ def json_paths(docs: DataFrame, json: str, keys: list[str]) -> DataFrame:
         step = F.when(F.col("outer_row.kind") == "object", F.concat(F.lit("."), key)).otherwise(F.concat(F.lit("["), pos, F.lit("]")))
         level = opened.select(
             *[F.col(f"outer_row.{k}").alias(k) for k in keys], F.concat(F.col("outer_row.path"), step).alias("path"),
-            F.concat(F.col("outer_row.steps"), F.array(F.coalesce(key, pos))).alias("steps"), _kind(value).alias("kind"), value.alias("value"))
+            F.concat(F.col("outer_row.steps"), F.array(F.coalesce(key, pos))).alias("steps"), value.alias("value"))
     every = levels[0]
     for one in levels[1:]:
         every = every.unionByName(one)
-    number = F.when(F.col("kind") == "number", F.try_variant_get("value", "$", "double"))
-    text = F.when(F.col("kind").isin("string", "number", "boolean"), F.try_variant_get("value", "$", "string"))
-    return every.select(*keys, "path", "steps", "kind", number.alias("number"), text.alias("text"))
+    return every.select(*keys, "path", "steps", "kind", "number", "text")
 
 
 def per_class(paths: DataFrame, prefix: list[str], fields: dict[str, str], keys: list[str] | None = None) -> DataFrame:

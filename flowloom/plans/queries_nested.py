@@ -27,12 +27,17 @@ t AS (SELECT cls, regexp_replace(fullkey, '\\[[0-9]+\\]', '[*]', 'g') AS path, {
 SELECT cls, path, kind, count(*) AS n, round(sum(CASE WHEN kind = 'number' THEN CAST(atom AS DOUBLE) END), 2) AS total, count(DISTINCT CASE WHEN kind = 'string' THEN CAST(atom AS VARCHAR) END) AS texts FROM t GROUP BY ALL""")
 def m21_order_paths(spark, sf):
     line = F.struct(F.col("l_linenumber").alias("_at"), F.struct(F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("sum"), F.array("l_returnflag", "l_linestatus").alias("flags"), (F.col("l_discount") == 0).alias("whole")).alias("line"))
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
+    # dealt out before they become JSON of many times their size, which a plan that goes by bytes would give to few tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_discount")
+    lines = items.repartition(tasks, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
     at = F.struct(F.col("o_totalprice").alias("total"), F.lit(None).cast("string").alias("note"), F.col("o_orderpriority").alias("by"))
     whole = F.to_json(F.struct(F.col("o_orderkey").alias("id"), at.alias("at"), "lines"), {"ignoreNullFields": "false"})
     docs = spark.read.parquet(f"{sf}/orders.parquet").join(lines, "o_orderkey").select(F.col("o_orderstatus").alias("cls"), F.when(F.col("o_orderkey") % 97 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("doc"))
-    paths = nested.json_paths(docs, "doc", ["cls"]).withColumn("path", F.regexp_replace("path", r"\[[0-9]+\]", "[*]"))
-    return paths.groupBy("cls", "path", "kind").agg(F.count("*").alias("n"), r(F.sum("number"), 2).alias("total"), F.countDistinct(F.when(F.col("kind") == "string", F.col("text"))).alias("texts"))
+    # raw paths and texts are few: they are counted as they are, then places are blotted out
+    text = F.when(F.col("kind") == "string", F.col("text")).alias("text")
+    each = nested.json_paths(docs, "doc", ["cls"]).groupBy("cls", "path", "kind", text).agg(F.count("*").alias("n"), F.sum("number").alias("total"))
+    return each.withColumn("path", F.regexp_replace("path", r"\[[0-9]+\]", "[*]")).groupBy("cls", "path", "kind").agg(F.sum("n").alias("n"), r(F.sum("total"), 2).alias("total"), F.countDistinct("text").alias("texts"))
 
 
 #: Expectations that a user gives, by class.

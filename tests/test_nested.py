@@ -24,6 +24,12 @@ def test_paths_of_any_shape(spark):
         nested.json_paths(docs.withColumnRenamed("id", "kind"), "value", ["kind"])
 
 
+def test_values_are_read_once(spark):
+    made = nested.json_paths(spark.createDataFrame([(1, '{"a": [1, "x"]}')], "id int, j string"), "j", ["id"])
+    assert "variant" not in made._jdf.queryExecution().executedPlan().toString()  # kinds, numbers and texts are stored with their level
+    assert sorted(r["path"] for r in made.collect()) == ["$", "$.a", "$.a[0]", "$.a[1]"]
+
+
 def test_measurements_by_class(spark):
     text = '{"d": {"per_class": {"dos": {"mean": 1.5, "n": "7", "more": [1]}, "a.b": {"mean": null, "n": 2}, "none": {}}}, "x": {"per_class": {"other": {"mean": 9}}}}'
     paths = nested.json_paths(spark.createDataFrame([(1, text), (2, '{"d": 1}')], "run int, j string"), "j", ["run"])
